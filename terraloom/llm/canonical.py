@@ -11,6 +11,7 @@ nothing.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from terraloom.runtime import broadcast_if_small, materialise
 
-THRESHOLD, MARGIN = 0.40, 0.06
+THRESHOLD, MARGIN = 0.5, 0.06
+SURE = 0.7  # of a family named without a number
 SHORTEST_OPENING = 3
 # Suffixes that make another model.
 SUFFIXES = ["pro", "rtk", "ii"]
@@ -42,6 +44,7 @@ class Value:
     suffixes: str
     focal: int
     aperture: int
+    make_words: list[str]  # of the make field alone, with all of it as one word
 
 
 def fold(s: str | None) -> str:
@@ -62,6 +65,21 @@ def _lens(text: str) -> tuple[int, int, str]:
     return focal, aperture, text
 
 
+def _glued(token: str) -> tuple[str, str, str]:
+    """Word, number and suffix of a token that writes them as one, such as sky410rtk or kestrel3oopro."""
+    suffix = next((x for x in SUFFIXES if token.endswith(x) and re.search(r"\d[oil]*$", token[: -len(x)])), "")
+    rest = token[: len(token) - len(suffix)]
+    m = re.search(r"\d[\doil]*", rest)
+    if not m:
+        return token, "", ""
+    word, number, after = rest[: m.start()], m[0], rest[m.end() :]
+    while word and len(number) < 3 and word[-1] in "oil":  # a look-alike in front
+        word, number = word[:-1], word[-1] + number
+    if len(number) > 3 and not number.isdigit() and number[:3].isdigit():  # letters behind
+        number, after = number[:3], number[3:] + after
+    return (word + " " + after).strip(), number.translate(_LOOKS), suffix
+
+
 def _split(text: str) -> tuple[list[str], list[str], list[str]]:
     """Words, numbers and suffixes of a make or model text; look-alikes in numbers become digits."""
     words, numbers, suffixes = [], [], []
@@ -69,42 +87,42 @@ def _split(text: str) -> tuple[list[str], list[str], list[str]]:
     for token in re.findall(r"[^\W_]+", text):
         if token in SUFFIXES:
             suffixes.append(token)
-            continue
-        if len(token) >= 3 and re.fullmatch(r"[\doil]+", token) and (re.search(r"\d", token) or len(token) == 3):
+        elif re.fullmatch(r"[\doil]+", token) and not re.search(r"\dii$", token) and (re.search(r"\d", token) or len(token) == 3):
             numbers.append(token.translate(_LOOKS))
-            continue
-        # Letters and digits written as one, such as sky410rtk or 12opro.
-        for part in re.findall(r"[^\W\d_]+|\d[\doil]*(?![a-z])|\d+", token):
-            tail = re.fullmatch(r"([oil]{1,2})([a-z]*)", part) if numbers and words[-1:] != [part] and len(numbers[-1]) < 3 else None
-            if part[0].isdigit():
-                numbers.append(part.translate(_LOOKS))
-            elif tail and len(numbers[-1]) + len(tail[1]) == 3 and token.startswith(numbers[-1]):
-                numbers[-1] += tail[1].translate(_LOOKS)
-                if tail[2]:
-                    (suffixes if tail[2] in SUFFIXES else words).append(tail[2])
-            elif part in SUFFIXES:
-                suffixes.append(part)
-            else:
-                words.append(part)
+        elif re.search(r"\d", token):
+            word, number, suffix = _glued(token)
+            words += word.split()
+            numbers += [number] * bool(number)
+            suffixes += [suffix] * bool(suffix)
+        else:
+            words.append(token)
     return words, [n for n in numbers if len(n) >= 2], suffixes
 
 
+_LENS_TEXT = re.compile(r"\d\s*mm|f\s*/\s*\d|f\d[.,]?\d|(?<!\d)\d{1,2}[.,]\d(?!\d)")
+_LENS_BEHIND = re.compile(r"(?:\bw/|\bwith\b|\+|,)\s*(?=.*(?:mm|f\s*/?\s*\d))")
+_LENS_INSIDE = re.compile(r"(?:[^\W\d_]+\.?\s*)?\d{1,3}\s*mm(?:\s*f\s*/?\s*\d{1,2}[.,]?\d)?")
+
+
 def read_value(make: str | None, model: str | None, lens: str | None) -> Value:
     make, model, lens = fold(make), fold(model), fold(lens)
-    moved = re.compile(r"\d\s*mm|f\s*/\s*\d|f\d[.,]?\d|\d[.,]\d")
-    if not moved.search(lens):  # the lens may stand in another field
-        if moved.search(make):
-            make, lens = lens, make
-        elif moved.search(model) and not re.search(r"\d", lens):
-            model, lens = (lens, model) if not re.search(r"(?<![\d.,])\d{3}(?!\d)", model) else (model, lens)
+    typed_make = [w for w in re.findall(r"[^\W\d_]+", make) if len(w) > 1]
+    typed_make = list(dict.fromkeys([*typed_make, "".join(typed_make)])) if typed_make else []
+    if not _LENS_TEXT.search(lens):  # the lens may stand in another field
+        if _LENS_TEXT.search(make) and not _LENS_TEXT.search(model):
+            make, model = model, make
+        if m := _LENS_BEHIND.search(model):
+            model, lens = model[: m.start()], model[m.end() :]
+        elif m := _LENS_INSIDE.search(model):
+            model, lens = f"{lens} {model[: m.start()]} {model[m.end() :]}", m[0]
     words, numbers, suffixes = _split(f"{make} {model}")
     focal, aperture, rest = _lens(lens)
     lens_words = [w for w in re.findall(r"[^\W\d_]+", rest) if w not in FILLERS and len(w) > 2]
     keep = [w for w in dict.fromkeys(words) if w not in FILLERS and len(w) > 1]
-    return Value(keep, list(dict.fromkeys(lens_words)), " ".join(sorted(set(numbers))), " ".join(sorted(set(suffixes))), focal, aperture)
+    return Value(keep, list(dict.fromkeys(lens_words)), " ".join(sorted(set(numbers))), " ".join(sorted(set(suffixes))), focal, aperture, typed_make)
 
 
-_VALUE = "words array<string>, lens_words array<string>, number string, suffixes string, focal int, aperture int"
+_VALUE = "words array<string>, lens_words array<string>, number string, suffixes string, focal int, aperture int, make_words array<string>"
 
 
 def _read(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -115,7 +133,7 @@ def _read(df: DataFrame, fields: list[str]) -> DataFrame:
         for b in batches:
             text = lambda c: [x if isinstance(x, str) else None for x in b[c]]
             v = [read_value(*x) for x in zip(*map(text, fields))]
-            yield b.assign(**{n: [getattr(x, n) for x in v] for n in ("words", "lens_words", "number", "suffixes", "focal", "aperture")})
+            yield b.assign(**{n: [getattr(x, n) for x in v] for n in ("words", "lens_words", "number", "suffixes", "focal", "aperture", "make_words")})
 
     return df.mapInPandas(run, f"{ddl}, {_VALUE}")
 
@@ -132,15 +150,14 @@ def match_words(words: DataFrame, vocabulary: DataFrame, threshold: float = THRE
 
     ``vocabulary`` is indexed with its openings: an abbreviation meets the opening of its length. Grams count by rarity in the index."""
     openings = F.transform(F.sequence(F.lit(SHORTEST_OPENING), F.greatest(F.length("entry_word"), F.lit(SHORTEST_OPENING))), lambda n: F.substring("entry_word", F.lit(1), n))
-    alias = vocabulary.select("entry_word", F.explode(F.array_distinct(openings)).alias("alias")).withColumn("full", F.col("alias") == F.col("entry_word"))
-    posting = alias.select("entry_word", "alias", F.explode(grams(F.when(F.col("full"), F.col("alias")).otherwise(F.col("alias")))).alias("gram"))
-    # The gram that closes an opening stands for a typed end, as it does for a whole word.
+    alias = vocabulary.select("entry_word", F.explode(F.array_distinct(openings)).alias("alias"))
+    posting = alias.select("entry_word", "alias", F.explode(grams(F.col("alias"))).alias("gram"))
     n = alias.count()
     weight = posting.groupBy("gram").agg(F.log1p(F.lit(float(max(n, 1))) / F.count("*")).alias("w"))
     posting = posting.join(weight, "gram")
     norm = posting.groupBy("entry_word", "alias").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     index = materialise(posting.join(norm, ["entry_word", "alias"]))
-    unseen = F.lit(float(pd.Series([max(n, 1)]).apply(__import__("math").log1p).iloc[0]))
+    unseen = F.lit(math.log1p(max(n, 1)))
     asked = words.select("word", F.explode(grams(F.col("word"))).alias("gram"))
     asked = asked.join(broadcast_if_small(weight), "gram", "left").withColumn("w", F.coalesce("w", unseen))
     own = asked.groupBy("word").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
@@ -158,38 +175,32 @@ def match_words(words: DataFrame, vocabulary: DataFrame, threshold: float = THRE
 
 def map_values(df: DataFrame, key: str, reference: DataFrame, ref_key: str, fields: list[str]) -> DataFrame:
     """(key, ref_key, candidates): the entry meant by each key's value, -1 where none or several are left (``candidates`` tells how many)."""
-    make, model, lens = fields
-    same = lambda r, l: F.coalesce(F.col(r), F.lit("")) == F.col(l)
     one = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))).alias("v"))
     one = one.select(key, *(F.col(f"v.{f}").alias(f) for f in fields))
     typed = one.select(*fields).distinct()
     typed = materialise(_read(typed.withColumn("value_id", F.monotonically_increasing_id()), fields))
     entries = reference.filter(F.col(ref_key).isNotNull()).groupBy(F.col(ref_key).alias("entry")).agg(F.min(F.struct(*(F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields))).alias("v"))
     entries = materialise(_read(entries.select("entry", *(F.col(f"v.{f}").alias(f) for f in fields)), fields))
-    glued = lambda f: F.regexp_replace(F.lower(F.col(f)), r"[^\p{L}]", "")
-    make_words = entries.select("entry", F.explode(F.filter(F.split(F.lower(F.col(make)), r"[^\p{L}]+"), lambda w: F.length(w) > 0)).alias("m"))
-    body_vocab = entries.select("entry", F.explode(F.concat("words", F.array(*(F.filter(F.array(glued(make)), lambda w: F.length(w) > 0)[0],)))).alias("entry_word")).filter(F.length("entry_word") > 1).distinct()
-    lens_vocab = entries.select("entry", F.explode("lens_words").alias("entry_word")).distinct()
+    body_words = F.transform(F.array_union("words", "make_words"), lambda w: F.struct(w.alias("w"), (~F.array_contains("make_words", w)).alias("f")))
+    body_vocab = entries.select("entry", F.explode(body_words).alias("x")).select("entry", F.col("x.w").alias("entry_word"), F.col("x.f").alias("family")).filter(F.length("entry_word") > 1).distinct()
+    lens_vocab = entries.select("entry", F.explode("lens_words").alias("entry_word"), F.lit(False).alias("family")).distinct()
 
     def resolve(column: str, vocab: DataFrame) -> DataFrame:
         said = typed.select("value_id", F.explode(column).alias("word"))
         hits = match_words(said.select("word").distinct(), vocab.select("entry_word").distinct())
-        return said.join(hits, "word").join(vocab, "entry_word").groupBy("value_id", "word", "entry").agg(F.max("score").alias("score"))
+        found = said.join(hits, "word").join(vocab, "entry_word")
+        return found.groupBy("value_id", "word", "entry").agg(F.max("score").alias("score"), F.max(F.when(F.col("family"), F.col("score")).otherwise(F.lit(0.0))).alias("family"))
 
     body, glass = materialise(resolve("words", body_vocab)), materialise(resolve("lens_words", lens_vocab))
-    fold_make = F.udf(fold)
-    make_of = make_words.select("entry", fold_make("m").alias("w")).distinct()
-    kind = entries.select("entry", F.explode("words").alias("w")).join(make_of, ["entry", "w"], "left_anti").select("entry", F.col("w").alias("family")).distinct()
     needed = body.groupBy("value_id").agg(F.countDistinct("word").alias("needed"))
-    hits = body.groupBy("value_id", "entry").agg(F.countDistinct("word").alias("held"), F.sum("score").alias("score"))
-    # A family word names a model; a make word with the model number does, too.
+    hits = body.groupBy("value_id", "entry").agg(F.countDistinct("word").alias("held"), F.max("family").alias("family"))
     hits = hits.join(needed, "value_id").filter("held = needed")
     e = entries.select("entry", F.col("number").alias("e_number"), F.col("suffixes").alias("e_suffixes"), F.col("focal").alias("e_focal"), F.col("aperture").alias("e_aperture"), (F.size("lens_words") > 0).alias("e_lens"))
-    v = typed.select("value_id", "number", "suffixes", "focal", "aperture")
+    v = typed.select("value_id", "number", "suffixes", "focal", "aperture", F.size("words").alias("said"))
     fits = hits.join(v, "value_id").join(broadcast_if_small(e), "entry")
     fits = fits.filter("(number = '' or number = e_number) and suffixes = e_suffixes")
-    family_hit = body.join(kind, "entry").filter(F.levenshtein("word", "family") <= F.length("family")).select("value_id", "entry").distinct()
-    fits = fits.filter("number <> ''").unionByName(fits.filter("number = ''").join(family_hit, ["value_id", "entry"], "left_semi"))
+    # A make or lens alone names none: a family must be named, or the make with a number and no word that stays unknown.
+    fits = fits.filter(f"(family > 0 and (number <> '' or family >= {SURE})) or (number <> '' and needed = said)")
     fits = fits.filter("not e_lens or ((focal < 0 or focal = e_focal) and (aperture < 0 or aperture = e_aperture))")
     lens_needed = glass.groupBy("value_id").agg(F.countDistinct("word").alias("l_needed"))
     lens_hits = glass.groupBy("value_id", "entry").agg(F.countDistinct("word").alias("l_held"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import canonical, formatting, tokens, vectors
+from terraloom.llm import canonical, formatting, mixing, quality, tokens, vectors
 from terraloom.runtime import read
 
 CAMERA = ["make", "model", "lens_model"]
@@ -58,8 +58,35 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents"), "doc_id", "text")
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = read(spark, d, "documents")
+    counted = tokens.token_counts(documents, "doc_id", "text")
+    sized = documents.select("doc_id", "source").distinct().join(counted, "doc_id")
+    return mixing.mix(sized, "doc_id", "source", "n_tokens", read(spark, d, "mix_targets"))
+
+
+def p9_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix, with how often each is used for which source."""
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return _mixed(spark, d)[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.outlierness(read(spark, d, "documents"), "doc_id", "text").filter("form is not null").select("doc_id", "form")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every text, its distance from prose and each statistic's part of it."""
+    return quality.outlierness(read(spark, d, "documents"), "doc_id", "text").drop("prose", "item", "row", "noise")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_recall, p4_found, p4_unmatched, p8_ids)}
+    names = (p1_found, p1_records, p2_found, p2_recall, p4_found, p4_unmatched, p8_ids, p9_selected, p9_shares, p10_found, p10_statistics)
+    return {f.__name__: f for f in names}
 
 
 _P1_KEYS = r"""
