@@ -38,6 +38,8 @@ COMMON = {
     "ru": "и в не на что мы у за с это как но его к по уже была был было были из то же так хотя никто об этом где там эта этот для от до о после мы я он она они есть её ещё нет раньше почему при во со бы ли домой вышло дней файлы сайт чтобы вы этим сожалению ещё раз немного пожалуйста или была",
 }
 COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+_TELLING = {k: frozenset(w for w in COMMON[k] if len(w) > 1) for k in ("en", "de", "es", "fr")}
+LANGUAGE_SHARE = 0.06
 STATS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "distinct_share", "log_line_length", "item_share", "row_share", "noise_share"]
 #: Least standard deviation of each statistic, so that one without spread in prose can't divide by zero.
 FLOOR = dict(zip(STATS, [0.3, 0.2, 0.01, 0.01, 0.1, 0.03, 0.05, 0.3, 0.08, 0.08, 0.08]))
@@ -69,12 +71,15 @@ _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
 
 def language(words: list[str], letters: int, japanese: int, cyrillic: int) -> str:
-    """The language whose common words a text has most of; by script for Japanese and Russian."""
+    """The language whose common words a text has most of; by script for Japanese and Russian. Too few common words tell nothing: then it
+    is the first of the list, whose prose such texts are held against."""
     if japanese > 0.3 * letters:
         return "ja"
     if cyrillic > 0.4 * letters:
         return "ru"
-    return max((sum(map(COMMON[k].__contains__, words)), k == "en", k) for k in ("en", "de", "es", "fr"))[2]
+    hits = {k: sum(map(_TELLING[k].__contains__, words)) for k in _TELLING}
+    best = max(hits, key=hits.__getitem__)
+    return best if hits[best] >= LANGUAGE_SHARE * len(words) else next(iter(_TELLING))
 
 
 def line_key(s: str) -> str:
