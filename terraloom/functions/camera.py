@@ -72,3 +72,19 @@ def unproject_forward(px: Vec, m: dict[str, Column], rounds: int = 10) -> Vec:
 
     p = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(tx, ty), step)
     return unit((p[0], p[1], F.lit(1.0)))
+
+
+def seen(point: Vec, position: Vec, q: Vec, m: dict[str, Column]) -> Column:
+    """Struct (px, py, depth) of a world point in a camera. The camera coordinates are bound once, so that the expression stays small."""
+    fields = {n: c.alias(n) for n, c in m.items()}
+    start = F.struct(*(c.alias(n) for n, c in zip("abcdefg", (*(x - y for x, y in zip(point, position)), *q))), *fields.values())
+
+    def turned(s: Column) -> Column:
+        v = rotate(inverse(tuple(s[n] for n in "defg")), tuple(s[n] for n in "abc"))
+        return F.struct(*(c.alias(n) for n, c in zip("abc", v)), *(s[n].alias(n) for n in fields))
+
+    def placed(s: Column) -> Column:
+        px, py = project(tuple(s[n] for n in "abc"), {n: s[n] for n in fields})
+        return F.struct(px.alias("px"), py.alias("py"), s["c"].alias("depth"))
+
+    return F.transform(F.transform(F.array(start), turned), placed)[0]

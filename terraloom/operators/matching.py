@@ -17,15 +17,15 @@ def ratio_match(links: DataFrame, features: DataFrame, ratio: float = 0.8, block
     One task holds the features of two images; candidate pairs exist only as a block of a distance matrix, never as rows."""
     f = features.filter("node_id is not null and idx is not null and descriptor is not null").groupBy("node_id", "idx").agg(F.min("descriptor").alias("descriptor"))
     ends = links.filter("edge_id is not null").select("edge_id", "src", "dst").dropDuplicates(["edge_id"])
-    one = ends.join(f, F.col("src") == F.col("node_id")).select("edge_id", "idx", "descriptor")
-    two = ends.join(f, F.col("dst") == F.col("node_id")).select("edge_id", "idx", "descriptor")
+    one = ends.join(f.select(F.col("node_id").alias("src"), F.col("idx").alias("i1"), F.col("descriptor").alias("v1")), "src").select(F.col("edge_id").alias("e1"), "i1", "v1")
+    two = ends.join(f.select(F.col("node_id").alias("dst"), F.col("idx").alias("i2"), F.col("descriptor").alias("v2")), "dst").select(F.col("edge_id").alias("e2"), "i2", "v2")
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"edge_id": [], "idx1": [], "idx2": [], "distance": []})
         if not len(a) or not len(b):
             return empty
-        a, b = a.sort_values("idx"), b.sort_values("idx")
-        x, y = (np.stack(d["descriptor"].to_numpy()).astype(np.int64).view(np.uint64) for d in (a, b))
+        a, b = a.sort_values("i1"), b.sort_values("i2")
+        x, y = (np.stack(d.to_numpy()).astype(np.int64).view(np.uint64) for d in (a["v1"], b["v2"]))
         parts = []
         for s in range(0, len(x), block):
             d = np.bitwise_count(x[s : s + block, None] ^ y[None]).sum(2, dtype=np.int32)
@@ -35,10 +35,10 @@ def ratio_match(links: DataFrame, features: DataFrame, ratio: float = 0.8, block
             d[rows, best] = np.iinfo(np.int32).max
             second = d.min(1)
             keep = (first < ratio * second) | (len(y) == 1)
-            parts.append(pd.DataFrame({"edge_id": a["edge_id"].iloc[0], "idx1": a["idx"].to_numpy()[s : s + block][keep], "idx2": b["idx"].to_numpy()[best[keep]], "distance": first[keep] / BITS}))
+            parts.append(pd.DataFrame({"edge_id": a["e1"].iloc[0], "idx1": a["i1"].to_numpy()[s : s + block][keep], "idx2": b["i2"].to_numpy()[best[keep]], "distance": first[keep] / BITS}))
         return pd.concat(parts)
 
-    return one.groupBy("edge_id").cogroup(two.groupBy("edge_id")).applyInPandas(match, "edge_id bigint, idx1 int, idx2 int, distance double")
+    return one.groupBy("e1").cogroup(two.groupBy("e2")).applyInPandas(match, "edge_id bigint, idx1 int, idx2 int, distance double")
 
 
 def best_per_cell(df: DataFrame, keys: list[str], x: str, y: str, side: float, score: str, tie: list[str]) -> DataFrame:

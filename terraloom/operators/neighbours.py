@@ -27,12 +27,12 @@ def _usable(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return df.filter(f"`{key}` is not null and `{x}` is not null and `{y}` is not null and not isnan(`{x}`) and not isnan(`{y}`)")
 
 
-def radius_join(probes: DataFrame, points: DataFrame, radius: float, p_xy: tuple[str, str] = ("px", "py"), q_xy: tuple[str, str] = ("qx", "qy")) -> DataFrame:
-    """All pairs at most ``radius`` apart, with d2. Column names of the two sides must differ; cells have the radius as side, so none is lost."""
+def radius_join(probes: DataFrame, points: DataFrame, radius: float, p_xy: tuple[str, str] = ("px", "py"), q_xy: tuple[str, str] = ("qx", "qy"), on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs at most ``radius`` apart with equal ``on`` columns, with d2. Other column names of the two sides must differ; cells have the radius as side, so none is lost."""
     a = _around(_cells(probes, *p_xy, radius))
     b = _cells(points, *q_xy, radius)
     dx, dy = F.col(p_xy[0]) - F.col(q_xy[0]), F.col(p_xy[1]) - F.col(q_xy[1])
-    return a.join(b, ["_cx", "_cy"]).withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") <= radius * radius).drop("_cx", "_cy")
+    return a.join(b, ["_cx", "_cy", *on]).withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") <= radius * radius).drop("_cx", "_cy")
 
 
 def knn_join(probes: DataFrame, points: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:

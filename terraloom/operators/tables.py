@@ -37,12 +37,21 @@ def concurrency(df: DataFrame, key: str, start: Column, end: Column, chunk: str)
     """(key, total, weighted): running time of each key, and with every stretch divided among the keys that run in it.
 
     Intervals are cut at the borders of ``chunk`` (a column's name: a span of time, such as an hour), so every window holds one chunk."""
-    rows = df.select(F.col(key).alias("key"), F.col(chunk).alias("c"), start.alias("s"), end.alias("e"))
+    rows = df.select(F.col(key).alias("key"), F.col(chunk).alias("c"), start.alias("s"), end.alias("e")).filter("e > s")
+    total = rows.groupBy("key").agg(F.sum(F.col("e") - F.col("s")).alias("total"))
     marks = rows.select("c", "key", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
     marks = marks.groupBy("c", "key", F.col("m.t").alias("t")).agg(F.sum("m.d").alias("d"))
     per = Window.partitionBy("c", "key").orderBy("t")
     marks = marks.withColumn("run", F.sum("d").over(per)).withColumn("was", F.coalesce(F.lag("run").over(per), F.lit(0)))
-    return marks
+    # A key's turns on and off; between two turns of any key every running key gets one part in as many as run.
+    turns = marks.select("c", "key", "t", (F.when(F.col("run") > 0, 1).otherwise(0) - F.when(F.col("was") > 0, 1).otherwise(0)).alias("turn")).filter("turn <> 0")
+    times = turns.groupBy("c", "t").agg(F.sum("turn").alias("turn"))
+    at = Window.partitionBy("c").orderBy("t")
+    times = times.withColumn("n", F.sum("turn").over(at)).withColumn("step", F.lead("t").over(at) - F.col("t"))
+    part = F.when(F.col("n") > 0, F.coalesce("step", F.lit(0)) / F.col("n")).otherwise(F.lit(0.0))
+    times = times.withColumn("area", F.sum(part).over(at) - part)
+    weighted = turns.join(times.select("c", "t", "area"), ["c", "t"]).groupBy("key").agg(F.sum(-F.col("turn") * F.col("area")).alias("weighted"))
+    return total.join(weighted, "key")
 
 
 def overview(df: DataFrame, row: str, col: str, value: str, factor: int) -> DataFrame:
