@@ -24,8 +24,9 @@ _SEPARATOR = "\u001f"
 
 
 def canonical_text(c: Column) -> Column:
-    """Letters and digits only, without case; null as the empty text. Upper before lower folds letters with several capitals alike."""
-    return F.coalesce(F.regexp_replace(F.lower(F.upper(c.cast("string"))), r"[^\p{L}\p{N}]", ""), F.lit(""))
+    """Letters and digits only, without case (sharp s as ss, final sigma as sigma); null as the empty text."""
+    folded = F.replace(F.replace(F.lower(c.cast("string")), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.coalesce(F.regexp_replace(folded, r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
 def canonical_key(texts: list[Column], exact: list[Column]) -> Column:

@@ -91,8 +91,8 @@ def queries() -> dict:
 
 _P1_KEYS = r"""
 WITH keyed AS (
-  SELECT DISTINCT ord, array_to_string(list_sort([coalesce(regexp_replace(lower(upper(make)), '[^\p{L}\p{N}]', '', 'g'), ''),
-      coalesce(regexp_replace(lower(upper(model)), '[^\p{L}\p{N}]', '', 'g'), ''), coalesce(regexp_replace(lower(upper(lens_model)), '[^\p{L}\p{N}]', '', 'g'), '')]), chr(31)) AS k,
+  SELECT DISTINCT ord, array_to_string(list_sort([coalesce(regexp_replace(replace(lower(make), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g'), ''),
+      coalesce(regexp_replace(replace(lower(model), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g'), ''), coalesce(regexp_replace(replace(lower(lens_model), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g'), '')]), chr(31)) AS k,
     sensor_width_px AS w, sensor_height_px AS h, CASE WHEN isnan(focal) THEN NULL ELSE focal END AS f
   FROM camera_db_raw),
 firsts AS (SELECT ord, min(ord) OVER (PARTITION BY k, w, h, f) AS first_ord FROM keyed)
