@@ -3,8 +3,9 @@
 Vectors are packed bits; with bits as signs, the fewest differing bits are the greatest inner product. A bounded sample fits
 (a) centroids that split the collection into cells and (b) product codebooks of 16 words for each subspace, whose loss weighs the
 residual parallel to the vector more than the rest of it (score-aware). Every vector is indexed in its best ``SPILL`` cells and asks
-its best ``PROBES`` cells; in a cell the asker's look-up tables, 8 bits wide, are summed over the four-bit codes, and the best of that
-scan are compared bit by bit. Only descriptors that differ enter the index; equal ones are one row with their smallest keys.
+its best ``PROBES`` cells; in a cell the asker's look-up tables, 8 bits wide, are summed over the four-bit codes, and all whose sum
+could belong to a vector within the wanted bits are compared bit by bit. The bound of that sum is fitted, too: all but ``MISSED`` of the
+sample's vectors with as many bits flipped stay above it. Only descriptors that differ enter the index; equal ones are one row with their smallest keys.
 
 Defined results: null vectors, vectors of another length, with null words or all zero take no part; repeated rows of a key count once;
 ties go to the smaller key; extra columns are ignored; empty tables give empty results.
@@ -28,7 +29,8 @@ MAX_CELLS = 4_096
 SPILL, PROBES = 2, 20
 SUBSPACES, CODES = 18, 16
 ALIGNMENT = 0.2  # inner products above this share of the greatest count in the score-aware loss
-RERANK = 24
+MISSED = 0.001
+RERANK_PAIRS = 1 << 20  # compared at a time
 DB_BLOCK, QUERY_BLOCK = 32_768, 16_384
 _W = [f"w{k}" for k in range(WORDS)]
 
@@ -100,26 +102,40 @@ def fit_books(v: np.ndarray, rounds: int = 4, seed: int = 0) -> np.ndarray:
     return books.astype(np.float32)
 
 
-def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray, keep: int) -> np.ndarray:
-    """For each asker (n, WORDS) the places of the ``keep`` best codes by summed 8-bit look-up tables."""
+def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """(asker, place) of all codes whose summed 8-bit look-up tables reach ``bound``, in the order of askers; ``q`` is (n, WORDS)."""
     tables = np.einsum("nmd,mkd->mkn", _blocks(unpack(q)), books, optimize=True)
     low = tables.min((0, 1))
-    tables = np.rint((tables - low) * (255 / np.maximum((tables - low).max((0, 1)), 1e-9))).astype(np.uint8)
+    scale = 255 / np.maximum((tables - low).max((0, 1)), 1e-9)
+    tables = np.rint((tables - low) * scale).astype(np.uint8)
     total = np.zeros((len(codes), len(q)), np.uint16)
     for m in range(SUBSPACES):
         total += tables[m][codes[:, m]]
-    if keep >= len(codes):
-        return np.broadcast_to(np.arange(len(codes)), (len(q), len(codes)))
-    return np.argpartition(total.T, len(codes) - keep, axis=1)[:, len(codes) - keep :]
+    least = np.clip((bound - SUBSPACES * low) * scale - SUBSPACES / 2, 0, 65_535).astype(np.uint16)
+    place, asker = np.nonzero(total >= least)
+    order = np.argsort(asker, kind="stable")
+    return asker[order], place[order]
+
+
+def fit_bound(v: np.ndarray, books: np.ndarray, max_bits: int, seed: int = 1) -> float:
+    """The sum that all but MISSED of the pairs at ``max_bits`` reach."""
+    rng = np.random.default_rng(seed)
+    flipped = v.copy()
+    for row in flipped:
+        row[rng.choice(BITS, min(max_bits, BITS), replace=False)] *= -1
+    codes = encode(v, books, parallel_weight())
+    decoded = books[np.arange(SUBSPACES)[None], codes].reshape(len(v), -1)
+    return float(np.quantile((flipped * decoded).sum(1), MISSED))
 
 
 @dataclass
 class Index:
     centroids: np.ndarray
     books: np.ndarray
+    bound: float
 
 
-def _fit(groups: DataFrame) -> Index:
+def _fit(groups: DataFrame, max_bits: int) -> Index:
     n = groups.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     sample = groups.select(*_W)
@@ -130,7 +146,9 @@ def _fit(groups: DataFrame) -> Index:
     cells = 1
     while cells * cells < 4 * n and cells < MAX_CELLS:
         cells *= 2
-    return Index(fit_cells(v, min(cells, max(1, len(v) // 8))), fit_books(v[:: max(1, len(v) // CODEBOOK_ROWS)][:CODEBOOK_ROWS]))
+    part = v[:: max(1, len(v) // CODEBOOK_ROWS)][:CODEBOOK_ROWS]
+    books = fit_books(part)
+    return Index(fit_cells(v, min(cells, max(1, len(v) // 8))), books, fit_bound(part, books, max_bits))
 
 
 def valid_vectors(df: DataFrame, node: str, idx: str, vector: str) -> DataFrame:
@@ -151,7 +169,7 @@ def distinct_vectors(features: DataFrame, k: int) -> DataFrame:
 def candidates(groups: DataFrame, k: int, max_bits: int) -> DataFrame:
     """(qnode, qidx, node, idx, bits): near vectors of every different vector, both named by their smallest key."""
     spark = groups.sparkSession
-    index = spark.sparkContext.broadcast(_fit(groups))
+    index = spark.sparkContext.broadcast(_fit(groups, max_bits))
 
     def assign(batches):
         x = index.value
@@ -197,13 +215,10 @@ def candidates(groups: DataFrame, k: int, max_bits: int) -> DataFrame:
             for at in np.array_split(np.flatnonzero(asks), -(-int(asks.sum()) // 1024) or 1):
                 if not len(at):
                     continue
-                best = scan(words[at].view(np.int64), codes, index.value.books, RERANK)
-                bits = np.bitwise_count(words[at][:, None] ^ dw[best]).sum(2, dtype=np.int32)
-                r, c = np.nonzero(bits <= max_bits)
-                j = best[r, c]
-                other = (dn[j] != node[at][r]) | (di[j] != idx[at][r])
-                r, c, j = r[other], c[other], j[other]
-                b = bits[r, c]
+                r, j = scan(words[at].view(np.int64), codes, index.value.books, index.value.bound)
+                b = np.concatenate([np.bitwise_count(words[at[r[s : s + RERANK_PAIRS]]] ^ dw[j[s : s + RERANK_PAIRS]]).sum(1, dtype=np.int32) for s in range(0, max(1, len(r)), RERANK_PAIRS)])
+                near_by = (b <= max_bits) & ((dn[j] != node[at][r]) | (di[j] != idx[at][r]))
+                r, j, b = r[near_by], j[near_by], b[near_by]
                 order = np.lexsort((di[j], dn[j], b, r))
                 r, j, b = r[order], j[order], b[order]
                 start = np.searchsorted(r, r)
