@@ -26,6 +26,7 @@ from terraloom.runtime import materialise
 FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 5
 LONGEST_FREQUENT = 200
 NOTICE_LENGTH = 40
+GAP_SHARE = 0.1  # least share of the gaps in a row of aligned fields
 PROSE_SHARE = 0.35  # least share of common words in a line of prose
 ROUNDS = 3
 
@@ -116,7 +117,7 @@ def line_kind(s: str, words: list[str], common: frozenset[str], lang: str, run_o
     cells = [c.strip() for c in _CELL.split(body)]
     if len(cells) > 2 and "|" in s and not edge and not digits and all(c and len(c) < 40 for c in cells):
         return "noise"  # heaps of labels
-    if edge and len(cells) > 3 or "\t" in body or body.count(";") >= 2 and max(map(len, cells)) < 60 or len(_GAP.findall(body)) >= 2:
+    if edge and len(cells) > 3 or "\t" in body or body.count(";") >= 2 and max(map(len, cells)) < 60 or len(gaps := _GAP.findall(body)) >= 2 and sum(map(len, gaps)) >= GAP_SHARE * len(body):
         return "row"
     if body.count(",") >= 3 and digits and max(map(len, body.split(","))) < 30 and sum(bool(_FIELD.fullmatch(c)) for c in body.split(",")) >= 2:
         return "row"
