@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.runtime import broadcast_if_small, materialise
+
 TOKENIZERS = "/opt/tokenizers"
 CHUNK, OVERLAP = 16_384, 512
 
@@ -81,8 +83,9 @@ def _encoder(name: str, folder: str, keys: list[str], count_only: bool):
 
 
 def _once(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key without shuffling the texts: only keys that do repeat are gathered."""
-    again = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    """One row for each key. The keys that do repeat are found and written first, so that their size is known: as long as they are few,
+    no text is shuffled for the others."""
+    again = broadcast_if_small(materialise(df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)))
     return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").groupBy(key).agg(F.min("text").alias("text")))
 
 
