@@ -60,7 +60,9 @@ _CELL = re.compile(r"[|¦\t;]")
 _FIELD = re.compile(r"\s*(?:[-–]|[\d.%\s-]*)\s*")
 _LAST_FIELD = re.compile(r"[^\s.!?]\s{2,}(?:[-–]|[\d.,]+(?:\s?%)?|[\d-]+)$")
 _NUMBER = re.compile(r"\d+")
-_INVISIBLE = re.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+BLANKS = " \t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
 #: Characters that a one-byte charset shows for the second byte of a two-byte letter.
 _BYTE = {(bytes([b]).decode("cp1252", "ignore") or chr(b)): b for b in range(0x80, 0xC0)} | {chr(b): b for b in range(0x80, 0xC0)}
 _GARBLED = re.compile(f"[ÂÃ][{re.escape(''.join(_BYTE))}]")
@@ -198,7 +200,7 @@ def describe(text: str, frequent: frozenset[str]) -> tuple:
 def frequent_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(line): trimmed lines that at least FREQUENT_SHARE of all documents have; at most lines-per-document / FREQUENT_SHARE rows."""
     n = docs.count()
-    parts = F.transform(F.split(text, LINE_BREAK), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s\u00a0\u2000-\u200a\u3000]+|[\s\u00a0\u2000-\u200a\u3000]+$", ""), r"[\u200b-\u200f\u2060\ufeff\u00ad]", ""))
+    parts = F.transform(F.split(text, LINE_BREAK), lambda x: F.btrim(F.translate(x, INVISIBLE, ""), F.lit(BLANKS)))
     line = F.col("line")
     lines = docs.select(F.explode(F.array_distinct(parts)).alias("line")).filter((F.length(line) > 0) & (F.length(line) <= LONGEST_FREQUENT))
     lines = lines.select(F.when(F.length(line) > NOTICE_LENGTH, F.regexp_replace(line, r"\d+", "0")).otherwise(line).alias("line"))
