@@ -33,7 +33,8 @@ def _forward(lat: Column, dlon: Column) -> tuple[Column, Column]:
 def to_local(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
     """Metres east and north of the origin; null without an origin."""
     east, north = _forward(F.radians(lat), F.radians(lon - lon0))
-    return east, north - _forward(F.radians(lat0), F.lit(0.0))[1]
+    known = lat0.isNotNull() & lon0.isNotNull()
+    return F.when(known, east), F.when(known, north - _forward(F.radians(lat0), F.lit(0.0))[1])
 
 
 def to_wgs84(x: Column, y: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
