@@ -568,7 +568,7 @@ def xyz_in_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT cx, cy, half, count(*) AS n, round(avg(z - 100), 4) + 0.0 AS mean, CASE WHEN count(*) > 1 THEN round(greatest(avg((z - 100) * (z - 100)) - avg(z - 100) * avg(z - 100), 0), 3) ELSE 0.0 END AS variance FROM
+    f"""SELECT cx, cy, half, count(*) AS n, round(avg(z - 100), 9) + 0.0 AS mean, CASE WHEN count(*) > 1 THEN round(greatest(avg((z - 100) * (z - 100)) - avg(z - 100) * avg(z - 100), 0), 3) ELSE 0.0 END AS variance FROM
   (SELECT CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy, CAST((x / 50 - floor(x / 50)) + (y / 50 - floor(y / 50)) > 1 AS INT) AS half, z FROM {POS}) GROUP BY ALL"""
 )
 def cell_plane_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -577,7 +577,7 @@ def cell_plane_stats(spark: SparkSession, d: str) -> DataFrame:
     cx, cy = spatial.cell(F.col("x"), F.col("y"), 50.0)
     p = positions(spark, d).select(cx.alias("cx"), cy.alias("cy"), (fx + fy > 1).cast("int").alias("half"), (F.col("z") - 100).alias("g"))
     var = F.when(F.count("*") > 1, r(F.greatest(F.avg(F.col("g") * F.col("g")) - F.avg("g") * F.avg("g"), F.lit(0.0)))).otherwise(F.lit(0.0))
-    return p.groupBy("cx", "cy", "half").agg(F.count("*").alias("n"), r(F.avg("g"), 4).alias("mean"), var.alias("variance"))
+    return p.groupBy("cx", "cy", "half").agg(F.count("*").alias("n"), r(F.avg("g"), 9).alias("mean"), var.alias("variance"))
 
 
 @query("SELECT p.p_partkey, round(coalesce(sum(l.l_extendedprice * l.l_quantity) / nullif(sum(l.l_quantity), 0), any_value(p.p_retailprice)), 2) AS merged, count(l.l_partkey) AS n FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_partkey")
@@ -589,10 +589,10 @@ def weighted_merge(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").join(sums, "p_partkey", "left").select("p_partkey", r(merged, 2).alias("merged"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"SELECT batch, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, round(avg(z), 4) AS mean_z, count(*) AS n FROM {POS} GROUP BY batch")
+@query(f"SELECT batch, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, round(avg(z), 9) AS mean_z, count(*) AS n FROM {POS} GROUP BY batch")
 def bounds_mean_z(spark: SparkSession, d: str) -> DataFrame:
     e = [f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))]
-    return positions(spark, d).groupBy("batch").agg(*e, r(F.avg("z"), 4).alias("mean_z"), F.count("*").alias("n"))
+    return positions(spark, d).groupBy("batch").agg(*e, r(F.avg("z"), 9).alias("mean_z"), F.count("*").alias("n"))
 
 
 @query(
