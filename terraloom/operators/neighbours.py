@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.runtime import materialise
 
 _ROUNDS = 40
+#: Most points fetched to choose the first cell side.
+SAMPLE_POINTS = 65_536
 
 
 def _around(df: DataFrame, reach: int = 1) -> DataFrame:
@@ -35,6 +36,20 @@ def radius_join(probes: DataFrame, points: DataFrame, radius: float, p_xy: tuple
     return a.join(b, ["_cx", "_cy", *on]).withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") <= radius * radius).drop("_cx", "_cy")
 
 
+def _first_side(points: DataFrame, n: int, extent: float, k: int) -> float:
+    """The cell side at which a point's own cell holds about k points, as the points are spread: from a bounded sample."""
+    share = min(1.0, SAMPLE_POINTS / n)
+    xy = points.select("qx", "qy")
+    xy = (xy.sample(share, seed=5) if share < 1 else xy).toPandas().to_numpy(float)
+    side = extent
+    for _ in range(_ROUNDS // 2):
+        c = np.unique(np.floor(xy / side), axis=0, return_counts=True)[1].astype(float)
+        if not len(c) or ((c - 1) * c).sum() / c.sum() / share <= k:
+            break
+        side /= 2
+    return side
+
+
 def knn_join(probes: DataFrame, points: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """(p, q, d2, rank): the k nearest points of each probe, ties to the smaller q. ``probes`` has p, px, py and ``points`` q, qx, qy, and
     what ``allowed`` needs.
@@ -48,7 +63,7 @@ def knn_join(probes: DataFrame, points: DataFrame, k: int, allowed: Column | Non
     if not e[0] or f[0] is None:
         return _nothing(probes, points)
     extent = max(max(e[2], f[1]) - min(e[1], f[0]), max(e[4], f[3]) - min(e[3], f[2]), 1e-9)
-    side = extent / max(1.0, math.sqrt(e[0] / k))
+    side = _first_side(points, e[0], extent, k)
     w = Window.partitionBy("p").orderBy("d2", "q")
     done, open_ = None, probes
     for _ in range(_ROUNDS):
