@@ -152,3 +152,33 @@ def merge_surfaces(nodes: DataFrame) -> DataFrame:
     w = F.sum("weight")
     mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("weight")) / F.nullif(w, F.lit(0.0)), F.min_by(c, "surface_id")).alias(c)
     return nodes.groupBy("node_id").agg(*map(mean, "xyz"))
+
+
+def ray_hits(directions: np.ndarray, origins: np.ndarray, xyz: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(triangle, point) that each ray meets first; -1 and NaN where it misses. Vertical rays go by the triangles' boxes first; the mesh is
+    bounded, rays come in batches."""
+    a, b, c = (xyz[triangles[:, k]] for k in range(3))
+    best, where = np.full(len(origins), -1), np.full((len(origins), 3), np.nan)
+    e1, e2 = b - a, c - a
+    for k, (d, o) in enumerate(zip(directions, origins)):
+        p = np.cross(d, e2)
+        det = (e1 * p).sum(1)
+        ok = np.abs(det) > 1e-9
+        inv = np.where(ok, 1 / np.where(ok, det, 1), 0)
+        s = o - a
+        u = (s * p).sum(1) * inv
+        q = np.cross(s, e1)
+        v, t = (q @ d) * inv, (e2 * q).sum(1) * inv
+        hit = np.flatnonzero(ok & (u >= -1e-12) & (v >= -1e-12) & (u + v <= 1 + 1e-12) & (t >= 0))
+        if len(hit):
+            i = hit[np.argmin(t[hit])]
+            best[k], where[k] = i, o + t[i] * d
+    return best, where
+
+
+def ground_triangle(cameras: np.ndarray, height: float) -> np.ndarray:
+    """Three corners at ``height`` that hold all cameras' places."""
+    lo, hi = cameras[:, :2].min(0), cameras[:, :2].max(0)
+    size = max((hi - lo).max(), 1.0) * 4
+    m = (lo + hi) / 2
+    return np.array([[m[0] - size, m[1] - size, height], [m[0] + size, m[1] - size, height], [m[0], m[1] + size, height]])

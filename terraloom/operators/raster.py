@@ -126,3 +126,43 @@ def layers(pixels: DataFrame, cameras: DataFrame, count: int, nearest: int = 5)
 
     layer = F.row_number().over(Window.partitionBy("p").orderBy("rank")) - 1
     return c.withColumn("layer", layer).filter(F.col("layer") < count).select("p", "layer", F.col("q").alias("cam_id"), F.col("seen.px").alias("px"), F.col("seen.py").alias("py"), "d2")
+
+
+def footprint_mean(image: np.ndarray, px: np.ndarray, jacobian: np.ndarray, gsd: float, most: int = 16) -> np.ndarray:
+    """Colours (n, channels) of ground cells of size ``gsd`` at pixels ``px`` (n, 2): the nearest pixel where the cell's ellipse in the image
+    (``jacobian``, n x 2 x 2, pixels for each metre) is smaller than one, else the mean over the ellipse, whose radius is cut at ``most``."""
+    h, w = image.shape[:2]
+    out = np.full((len(px), image.shape[2]), np.nan)
+    shape = gsd * gsd * np.einsum("nij,nkj->nik", jacobian, jacobian) / 4
+    for k, (p, m) in enumerate(zip(px, shape)):
+        x, y = np.floor(p).astype(int)
+        if not (0 <= x < w and 0 <= y < h):
+            continue
+        axes = np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0))
+        if axes.max() < 1:
+            out[k] = image[y, x]
+            continue
+        reach = int(min(most, np.ceil(axes.max())))
+        ys, xs = np.mgrid[max(0, y - reach) : min(h, y + reach + 1), max(0, x - reach) : min(w, x + reach + 1)]
+        d = np.stack([xs + 0.5 - p[0], ys + 0.5 - p[1]], -1)
+        inside = np.einsum("abi,ij,abj->ab", d, np.linalg.inv(m + 1e-9 * np.eye(2)), d) <= 1
+        out[k] = image[ys[inside], xs[inside]].mean(0) if inside.any() else image[y, x]
+    return out
+
+
+def cast_raster(bands: np.ndarray, kind: str) -> np.ndarray:
+    """Bands in another pixel type; numbers beyond its range are cut to it, NaN becomes 0 in whole types."""
+    t = np.dtype(kind)
+    if t.kind == "f":
+        return bands.astype(t)
+    return np.clip(np.rint(np.nan_to_num(bands)), np.iinfo(t).min, np.iinfo(t).max).astype(t)
+
+
+def equal_rasters(a: np.ndarray, b: np.ndarray) -> bool:
+    """Same size, same type and same values, NaN equal to NaN."""
+    return a.shape == b.shape and a.dtype == b.dtype and bool(np.array_equal(a, b, equal_nan=a.dtype.kind == "f"))
+
+
+def reorder_bands(bands: np.ndarray, labels: list[str], wanted: list[str]) -> np.ndarray:
+    """Bands in the order of ``wanted`` labels."""
+    return bands[[labels.index(x) for x in wanted]]

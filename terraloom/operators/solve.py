@@ -234,3 +234,54 @@ def robust_centroid(points: np.ndarray, errors: np.ndarray, limit: float, most:
         if w.min() > w.max() / 2:
             break
     return c
+
+
+def convert_model(camera: Camera, width: int, height: int, steps: int = 20) -> Camera:
+    """The model of the other direction: coefficients that undo ``camera``'s distortion, fitted on a grid of about ``steps`` squared pixels."""
+    g = np.stack(np.meshgrid(np.linspace(0, width, steps), np.linspace(0, height, steps)), -1).reshape(-1, 2)
+    p = (g - camera.pp) / camera.focal
+    plain = Camera(1.0, np.zeros(2), camera.radial, camera.tangential)
+    d = plain.project(np.column_stack([p, np.ones(len(p))]))
+    one = np.column_stack([d, np.ones(len(d))])
+    x = levenberg(lambda k: (Camera(1.0, np.zeros(2), k[:3], k[3:]).project(one) - p).ravel(), np.zeros(5))
+    return Camera(camera.focal, camera.pp, x[:3], x[3:])
+
+
+def refine_point(camera: Camera, positions: np.ndarray, rotations: np.ndarray, pixels: np.ndarray, iterations: int = 50) -> np.ndarray:
+    """Point of least pixel error from two or more views, started where their rays come closest."""
+    back = convert_model(camera, int(2 * camera.pp[0]) or 1, int(2 * camera.pp[1]) or 1) if camera.radial.any() or camera.tangential.any() else camera
+    u = Camera(1.0, np.zeros(2), back.radial, back.tangential).project(np.column_stack([(pixels - camera.pp) / camera.focal, np.ones(len(pixels))])) if back is not camera else (pixels - camera.pp) / camera.focal
+    start = triangulate(positions, np.einsum("nij,nj->ni", rotations, np.column_stack([u, np.ones(len(u))])))
+    view = lambda w: camera.project(np.einsum("nji,nj->ni", rotations, w - positions))
+    return levenberg(lambda w: (view(w) - pixels).ravel(), start, iterations=iterations)
+
+
+def monotone_distortion(camera: Camera, reach: float, samples: int = 10) -> np.ndarray:
+    """Residuals that are positive where distortion turns back: growth of the distorted radius, at ``samples`` radii up to ``reach``."""
+    r = np.linspace(0, reach, samples + 1)[1:]
+    k = camera.radial
+    return np.minimum(1 + 3 * k[0] * r**2 + 5 * k[1] * r**4 + 7 * k[2] * r**6, 0)
+
+
+def ground_mesh(camera: Camera, positions: np.ndarray, rotations: np.ndarray, observations: np.ndarray, pixels: np.ndarray, vertices: np.ndarray, cells: np.ndarray, weights: np.ndarray, edges: np.ndarray, smooth: float = 1e-2, iterations: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(rotations, vertex heights): tracks are points on a mesh. Track t lies in the triangle ``cells[t]`` at ``weights[t]``; ``observations``
+    are (camera, track). Neighbouring heights (``edges``) are pulled together weakly."""
+    n, v = len(positions), len(vertices)
+    xy = np.einsum("tk,tkc->tc", weights, vertices[cells][:, :, :2])
+
+    def residuals(x: np.ndarray) -> np.ndarray:
+        r, z = rotation(x[: 3 * n].reshape(n, 3)) @ rotations, x[3 * n :]
+        p = np.column_stack([xy, (weights * z[cells]).sum(1)])
+        d = np.einsum("nji,nj->ni", r[observations[:, 0]], p[observations[:, 1]] - positions[observations[:, 0]])
+        return np.concatenate([(camera.project(d) - pixels).ravel(), smooth * (z[edges[:, 0]] - z[edges[:, 1]]), 1e-3 * r[:, :2, 2].ravel()])
+
+    x = levenberg(residuals, np.concatenate([np.zeros(3 * n), vertices[:, 2]]), 10.0, iterations)
+    return rotation(x[: 3 * n].reshape(n, 3)) @ rotations, x[3 * n :]
+
+
+def solver_for(options: Options) -> str:
+    """Which solve a set of options asks for, the most demanding first."""
+    for flag, name in ((Options.GROUND_MESH, "ground_mesh"), (Options.POINTS_3D, "bundle"), (Options.GROUND_PLANE, "ground_plane")):
+        if options & flag:
+            return name
+    return "relative_orientations"
