@@ -32,6 +32,7 @@ ALIGNMENT = 0.2  # inner products above this share of the greatest count in the
 MISSED = 0.001
 RERANK_PAIRS = 1 << 20  # compared at a time
 DB_BLOCK, QUERY_BLOCK = 32_768, 16_384
+PART_ROWS = 16_384  # of the exact search
 _W = [f"w{k}" for k in range(WORDS)]
 
 
@@ -256,7 +257,7 @@ def exact_neighbours(df: DataFrame, node: str, idx: str, vector: str, queries, k
     asked = features.filter(queries)
     blocks = F.pmod(F.xxhash64("node", "idx"), F.lit(max(1, -(-asked.count() // block))))
     asked = asked.withColumn("block", blocks).groupBy("block").agg(F.collect_list(F.struct("node", "idx", *_W)).alias("qs"))
-    parts = max(8, features.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, -(-features.count() // PART_ROWS))
     spread = features.withColumn("part", F.pmod(F.xxhash64("node", "idx"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("node", "idx", *_W)).alias("rows"))
     both = spread.join(asked)
 
