@@ -46,8 +46,8 @@ def uncovered(inliers: DataFrame, members: DataFrame, cells: DataFrame) -> DataF
 
 def guided_matches(predicted: DataFrame, features: DataFrame, distance: Column, radius: float = 150.0, ratio: float = 0.85, alone: float = 0.35) -> DataFrame:
     """(p, q, distance): for each predicted pixel (image, p, px, py, …) the most similar feature (image, q, qx, qy, …) within ``radius``: it
-    must be clearly more similar than the second, or, alone, similar enough."""
-    pairs = radius_join(predicted, features, radius, on=("image",)).withColumn("distance", distance)
+    must be clearly more similar than the second, or, alone, similar enough. A null ``distance`` rules a pair out."""
+    pairs = radius_join(predicted, features, radius, on=("image",)).withColumn("distance", distance).filter("distance is not null")
     by = Window.partitionBy("image", "p").orderBy("distance", "q")
     pairs = pairs.withColumn("k", F.row_number().over(by)).withColumn("second", F.lead("distance").over(by)).filter("k = 1")
     return pairs.filter(F.when(F.col("second").isNull(), F.col("distance") < alone).otherwise(F.col("distance") < ratio * F.col("second"))).select("image", "p", "q", "distance")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloom.functions import bits, camera, geo, geom, radiometry, spatial
-from terraloom.operators import graph, lookup, matching, neighbours, tables
+from terraloom.functions import bits, camera, geo, geom, ortho, radiometry, spatial
+from terraloom.operators import graph, lookup, matching, neighbours, tables, tracks
 from terraloom.runtime import materialise, read
 
 QUERIES: dict = {}
@@ -30,7 +30,8 @@ FT = "(SELECT DISTINCT node_id, idx, x, y, strength, descriptor FROM features)"
 LK = "(SELECT DISTINCT edge_id, src, dst, relation, relation_type, poses FROM links)"
 
 
-def images(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def images(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
+    """Images without repeated rows. Members of structs are given as columns, so that the scan and the shuffle hold nothing else."""
     return read(spark, d, "images").select("node_id", *columns).dropDuplicates(["node_id"])
 
 
@@ -212,7 +213,7 @@ _LOOKUP_SQL = f"""
 
 def _looked_up(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("camera_info")
-    info = images(spark, d, "camera_info").select("node_id", c["make"].alias("make"), c["model"].alias("model"), c["lens_model"].alias("lens_model"), c["width_px"].alias("sensor_width_px"), c["height_px"].alias("sensor_height_px"), c["focal_px"].alias("f"))
+    info = images(spark, d, c["make"].alias("make"), c["model"].alias("model"), c["lens_model"].alias("lens_model"), c["width_px"].alias("sensor_width_px"), c["height_px"].alias("sensor_height_px"), c["focal_px"].alias("f"))
     tiers = [["make", "model", "lens_model", "sensor_width_px", "sensor_height_px"], ["make", "model", "sensor_width_px", "sensor_height_px"], ["make", "model"]]
     db = read(spark, d, "camera_db").select("*", F.col("sensor_width_px").alias("ew"), F.col("sensor_height_px").alias("eh"), F.col("ord").alias("entry"))
     return lookup.tiered_lookup(info, "node_id", db, "ord", tiers, ["entry", "ew", "eh", "pp_offset", "focal"])
@@ -241,7 +242,7 @@ _INFO = ["width_px", "height_px", "focal_px", "make", "model", "serial_no", "len
 @query(f"SELECT node_id, min(node_id) OVER (PARTITION BY {', '.join(f'camera_info.{c}' for c in _INFO)}) AS shared_model FROM {IM}")
 def model_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Images with equal camera data share a model."""
-    i = images(spark, d, "camera_info").select("node_id", *(F.col("camera_info")[c].alias(c) for c in _INFO))
+    i = images(spark, d, *(F.col("camera_info")[c].alias(c) for c in _INFO))
     return lookup.shared_models(i, _INFO, "node_id").select("node_id", "shared_model")
 
 
@@ -266,12 +267,13 @@ def camera_db_upsert(spark: SparkSession, d: str) -> DataFrame:
 def metadata_rules(spark: SparkSession, d: str) -> DataFrame:
     """Which of an image's readings hold."""
     i, c = F.col("camera_info"), F.col("capture_info")
-    positive = lambda x: F.when((x > 0) & ~F.isnan(x) | F.isnan(x), x)  # noqa: E731  NaN compares above every number in both engines
-    dated = c["latitude"].isNotNull() & c["longitude"].isNotNull() & (c["datestamp"] != "")
-    stamp = F.when(dated, F.concat(c["datestamp"], F.lit(" "), F.coalesce(c["timestamp"], F.lit("")))).otherwise(c["timestamp"])
-    return images(spark, d, "camera_info", "capture_info").select(
-        "node_id", F.when(i["focal_px"] > 1, i["focal_px"]).alias("focal"), F.coalesce(c["relative_altitude"], c["altitude"]).alias("altitude"), positive(c["accuracy_xy"]).alias("accuracy_xy"), positive(c["accuracy_z"]).alias("accuracy_z"), stamp.alias("stamp")
-    )
+    used = [c[n].alias(n) for n in ("latitude", "longitude", "altitude", "relative_altitude", "accuracy_xy", "accuracy_z", "timestamp", "datestamp")]
+    v = images(spark, d, i["focal_px"].alias("focal_px"), *used)
+    col = F.col
+    positive = lambda n: F.when((col(n) > 0) | F.isnan(n), col(n))  # noqa: E731  NaN compares above every number in both engines
+    dated = col("latitude").isNotNull() & col("longitude").isNotNull() & (col("datestamp") != "")
+    stamp = F.when(dated, F.concat("datestamp", F.lit(" "), F.coalesce("timestamp", F.lit("")))).otherwise(col("timestamp"))
+    return v.select("node_id", F.when(col("focal_px") > 1, col("focal_px")).alias("focal"), F.coalesce("relative_altitude", "altitude").alias("altitude"), positive("accuracy_xy").alias("accuracy_xy"), positive("accuracy_z").alias("accuracy_z"), stamp.alias("stamp"))
 
 
 # --- projection and geometry ------------------------------------------------------------------------------------------------------
@@ -537,7 +539,7 @@ def _tm_sql() -> str:
 def local_tm(spark: SparkSession, d: str) -> DataFrame:
     """Places in the frame of the batch's first image, within half a degree of it."""
     c = F.col("capture_info")
-    v = images(spark, d, "batch", "path", "capture_info").select("node_id", "batch", "path", c["latitude"].alias("lat"), c["longitude"].alias("lon"))
+    v = images(spark, d, "batch", "path", c["latitude"].alias("lat"), c["longitude"].alias("lon"))
     v = v.filter("abs(lat) < 89 and abs(lon) <= 180 and not (lat = 0 and lon = 0)")
     o = v.groupBy("batch").agg(F.min_by(F.struct("lat", "lon"), "path").alias("o")).select("batch", F.col("o.lat").alias("lat0"), F.col("o.lon").alias("lon0"))
     near = v.join(o, "batch").filter("abs(lat - lat0) < 0.5 and abs(lon - lon0) < 0.5")
@@ -555,7 +557,7 @@ def _bounds_sql(source: str) -> str:
 
 @query(f"SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM {_bounds_sql(_ALT)}")
 def histogram_bounds(spark: SparkSession, d: str) -> DataFrame:
-    a = images(spark, d, "capture_info").select(F.col("capture_info.altitude").alias("v")).filter("not isnan(v)")
+    a = images(spark, d, F.col("capture_info.altitude").alias("v")).filter("not isnan(v)")
     return tables.histogram_bounds(a, "v").select(F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
 
 
@@ -607,6 +609,28 @@ def plane_detrend(spark: SparkSession, d: str) -> DataFrame:
     return f.select("batch", r("c0", 4).alias("c0"), r("c1", 6).alias("c1"), r("c2", 6).alias("c2"), "n")
 
 
+@query(f"SELECT batch, round(avg(1 / f), 12) AS arc, round(avg(z), 9) AS mean_z, round(greatest(avg(1 / f) * abs(avg(z)), 1e-3), 9) AS gsd, sum(CAST(w_px AS BIGINT) * h_px) AS pixels, round(avg(greatest(w_px, h_px)), 6) AS size FROM {_Q} GROUP BY batch")
+def fleet_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Ground resolution and image sizes of each batch's solved images over height 0."""
+    s = solved(spark, d)
+    arc, z = F.avg(ortho.pixel_arc(F.col("focal"))), F.avg("z")
+    return s.groupBy("batch").agg(r(arc, 12).alias("arc"), r(z, 9).alias("mean_z"), r(F.greatest(arc * F.abs(z), F.lit(ortho.LEAST_GSD)), 9).alias("gsd"), F.sum(F.col("w_px").cast("bigint") * F.col("h_px")).alias("pixels"), r(F.avg(F.greatest("w_px", "h_px")), 6).alias("size"))
+
+
+@query(
+    f"""WITH d AS (SELECT a.node_id, a.idx AS p, b.idx AS q, CAST({_BITS_SQL} AS BIGINT) AS n FROM {FT} a JOIN {FT} b ON a.node_id = b.node_id AND a.idx <> b.idx AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 150 * 150 WHERE a.descriptor IS NOT NULL AND b.descriptor IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY node_id, p ORDER BY n, q) AS k, lead(n) OVER (PARTITION BY node_id, p ORDER BY n, q) AS second FROM d) SELECT node_id, p, q, n AS bits FROM k WHERE k = 1 AND CASE WHEN second IS NULL THEN n / 486.0 < 0.49 ELSE n < 0.98 * second END"""
+)
+def guided_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar feature within 150 px of each feature of an image, if it stands out."""
+    f = features(spark, d, "x", "y", "descriptor").filter("descriptor is not null")
+    a = f.select(F.col("node_id").alias("image"), F.col("idx").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("descriptor").alias("dp"))
+    b = f.select(F.col("node_id").alias("image"), F.col("idx").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("descriptor").alias("dq"))
+    near = F.when(F.col("p") != F.col("q"), bits.hamming(F.col("dp"), F.col("dq")) / F.lit(float(matching.BITS)))
+    m = tracks.guided_matches(a, b, near, 150.0, 0.98, 0.49)
+    return m.select(F.col("image").alias("node_id"), "p", "q", F.round(F.col("distance") * matching.BITS).cast("bigint").alias("bits"))
+
+
 @query(f"SELECT node AS node_id, count(*) AS n, round(0.1 * sqrt(greatest(1, count(*))), 6) AS prior FROM (SELECT src AS node FROM {LK} UNION ALL SELECT dst FROM {LK}) GROUP BY node")
 def pair_counts_prior(spark: SparkSession, d: str) -> DataFrame:
     """How many links an image has at either end, and the weight of its prior."""
