@@ -26,6 +26,8 @@ from terraloom.runtime import materialise
 FREQUENT_SHARE, FREQUENT_LEAST = 0.002, 5
 LONGEST_FREQUENT = 200
 NOTICE_LENGTH = 40
+#: Fewer items are no list, fewer rows no table.
+LEAST_LINES = {"item": 3, "row": 2}
 GAP_SHARE = 0.1  # least share of the gaps in a row of aligned fields
 PROSE_SHARE = 0.35  # least share of common words in a line of prose
 ROUNDS = 3
@@ -66,6 +68,7 @@ _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 #: Characters that a one-byte charset shows for the second byte of a two-byte letter.
 _BYTE = {(bytes([b]).decode("cp1252", "ignore") or chr(b)): b for b in range(0x80, 0xC0)} | {chr(b): b for b in range(0x80, 0xC0)}
 _GARBLED = re.compile(f"[ÂÃ][{re.escape(''.join(_BYTE))}]")
+_NOTICE = re.compile(r"(?:©|\(c\)|Â©|copyright\b)", re.I)
 _END = frozenset(".!?…。！？\"”»")
 _GAP = re.compile(r"(?<=[^\s.!?])[ \u00a0\u2000-\u200a\u3000]{2,}(?=\S)")
 _JA = re.compile(r"[぀-ヿ一-鿿]")
@@ -161,15 +164,22 @@ def describe(text: str, frequent: frozenset[str]) -> tuple:
     lang = language(every, letters, len(_JA.findall(text)), 0 if text.isascii() else len(_CYRILLIC.findall(text)))
     common = COMMON.get(lang, frozenset())
     chars = {"prose": 0, "item": 0, "row": 0, "noise": 0}
-    run_on, content, words = False, [], []
+    run_on, content, words, rows = False, [], [], dict.fromkeys(chars, 0)
     for x, ws in zip(lines, found):
         k = line_kind(x, ws, common, lang, run_on)
         if k in ("prose", "item", "unknown") and len(x) <= LONGEST_FREQUENT and line_key(x) in frequent:
             continue
-        chars["noise" if k == "unknown" else k] += len(x)
+        if k in ("prose", "item", "unknown") and _NOTICE.match(x):
+            continue
+        k = "noise" if k == "unknown" else k
+        chars[k] += len(x)
+        rows[k] += 1
         content.append(x)
         words += ws
         run_on = k == "prose" and x[-1] not in _END
+    for k, least in LEAST_LINES.items():
+        if rows[k] < least:
+            chars["prose"], chars[k] = chars["prose"] + chars[k], 0
     if not content:
         content, words = lines, every
     total, size = max(1, sum(chars.values())), max(1, sum(map(len, content)))

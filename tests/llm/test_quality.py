@@ -70,5 +70,6 @@ def test_frequent_lines_are_no_content(spark):
     menu = "\n".join(["Home", "Contact", "Archive", "Search"] * 1)
     rows = [(k, f"{menu}\n{t}" if k < 100 else t) for k, t in docs.items()]
     rows.append((7000, menu + "\n" + "\n".join(PROSE)))
+    rows += [(7100 + k, f"{menu}\nThis page is gone.\n© 20{k:02d} Wick{k}") for k in range(20)]  # nothing but menu, message and footer
     got = {r.doc_id: r.form for r in run(spark, rows).collect()}
-    assert got[7000] is None
+    assert got[7000] is None and all(got[7100 + k] is None for k in range(20))
