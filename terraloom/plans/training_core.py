@@ -68,3 +68,46 @@ def p7_objects(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_masks, p5_found, p5_reasons, p5_fences, p6_found, p7_found, p7_objects)}
+
+
+_P6 = """WITH p AS (SELECT DISTINCT node_id, capture_info.latitude AS la, capture_info.longitude AS lo, capture_info.altitude AS z FROM images
+    WHERE abs(capture_info.latitude) <= 90 AND NOT isnan(capture_info.longitude) AND NOT isnan(capture_info.altitude) AND NOT (capture_info.latitude = 0 AND capture_info.longitude = 0)),
+  pairs AS (SELECT a.node_id AS node_a, b.node_id AS node_b, a.la AS la1, a.lo AS lo1, b.la AS la2, b.lo AS lo2 FROM p a JOIN p b ON b.la BETWEEN a.la - 0.0001 AND a.la + 0.0001 AND a.node_id < b.node_id AND abs(a.z - b.z) <= 10)
+  SELECT node_a, node_b FROM pairs WHERE 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2)))) <= 5"""
+_P7 = """WITH b AS (SELECT DISTINCT graph_id, ltrim(body, chr(65279)) AS t FROM graph_docs WHERE body IS NOT NULL), j AS (SELECT graph_id, CAST(t AS JSON) AS j FROM b WHERE json_valid(t)),
+  n AS (SELECT graph_id, coalesce(j -> '$.graph.nodes', j -> '$.nodes') AS n FROM j),
+  e AS (SELECT graph_id, json_type(n) AS kind, unnest(CASE json_type(n) WHEN 'OBJECT' THEN json_keys(n) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(n) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k, n FROM n),
+  v AS (SELECT graph_id, CASE kind WHEN 'OBJECT' THEN k ELSE n ->> ('$[' || k || '].id') END AS node_id, CASE kind WHEN 'OBJECT' THEN n -> ('$."' || k || '"') ELSE n -> ('$[' || k || ']') END AS v FROM e),
+  f AS (SELECT graph_id, node_id, CASE json_type(v -> '$.model') WHEN 'OBJECT' THEN v ->> '$.model.id' WHEN 'NULL' THEN NULL ELSE v ->> '$.model' END AS model,
+    CASE json_type(v -> '$.features') WHEN 'VARCHAR' THEN CAST(v ->> '$.features' AS JSON) ELSE v -> '$.features' END AS f FROM v),
+  x AS (SELECT graph_id, node_id, model, unnest(CASE json_type(f) WHEN 'ARRAY' THEN range(CAST(json_array_length(f) AS BIGINT)) WHEN 'OBJECT' THEN [0] ELSE [] END) AS i, f FROM f)
+  SELECT DISTINCT graph_id, node_id, CAST(i AS INT) AS feature_idx, coalesce(TRY_CAST(model AS BIGINT), -1) AS model_id FROM x WHERE json_type(f) = 'OBJECT' OR json_type(f -> ('$[' || i || ']')) = 'OBJECT'"""
+_P3_MASKS = "SELECT regexp_replace(regexp_replace(trim(t), '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS mask, count(*) AS images FROM (SELECT node_id, min(capture_info.timestamp) AS t FROM images GROUP BY node_id) GROUP BY 1"
+
+
+def _p5_sql() -> str:
+    """The rules as one window over each batch."""
+    fields = {"altitude": "v < -500 OR v > 12000", "yaw": "v < -360 OR v > 360", "accuracy_xy": "v <= 0"}
+    gap = lambda a, b: f"CASE WHEN field = 'yaw' THEN least(abs({a} - {b}) % 180, 180 - abs({a} - {b}) % 180) ELSE abs({a} - {b}) END"
+    far = lambda a, b: f"coalesce({gap(a, b)} > lim, false)"
+    v = {k: ("v" if k == 0 else f"v{k}".replace("-", "m")) for k in range(-7, 8)}
+    most = lambda ks: "(" + " + ".join(f"CASE WHEN {v[k]} IS NULL THEN 0 WHEN {far(v[k], 'v')} THEN 1 ELSE -1 END" for k in ks) + ") > 0"
+    cases = []
+    for n in (1, 2, 3):
+        for s in range(-(n - 1), 1):
+            e = s + n - 1
+            leaves = [far(v[k], v[x]) for k in range(s, e + 1) for x in (s - 1, e + 1)]
+            cases.append("(" + " AND ".join([*leaves, most(range(s - 5, s)), most(range(e + 1, e + 6))]) + ")")
+    union = " UNION ALL ".join(f"SELECT node_id, batch, path, '{f}' AS field, v, {bad} AS bad FROM (SELECT DISTINCT node_id, batch, path, capture_info.{f} AS v FROM images) WHERE v IS NOT NULL AND NOT isnan(v)" for f, bad in fields.items())
+    w = "PARTITION BY batch, field ORDER BY path, node_id"
+    lags = ", ".join(f"{'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER w AS {v[k]}" for k in v if k)
+    return f"""WITH r AS ({union}), g AS (SELECT *, row_number() OVER ({w}) - row_number() OVER (PARTITION BY batch, field, v ORDER BY path, node_id) AS island FROM r WHERE NOT bad),
+  s AS (SELECT *, count(*) OVER (PARTITION BY batch, field, v, island) >= 6 AS stuck FROM g),
+  t AS (SELECT *, CASE WHEN NOT stuck AND NOT lag(stuck) OVER ({w}) THEN abs(v - lag(v) OVER ({w})) END AS step FROM s),
+  u AS (SELECT batch, field, quantile_disc(step, 0.5) > 0 AND count(step) >= 3 AS varies FROM t GROUP BY ALL), c AS (SELECT t.*, stuck AND coalesce(varies, false) AS is_case FROM t JOIN u USING (batch, field)),
+  l AS (SELECT node_id, batch, field, v, {lags} FROM c WHERE NOT is_case WINDOW w AS ({w})), m AS (SELECT batch, field, 10 * quantile_disc({gap('v', v[-1])}, 0.5) AS lim FROM l GROUP BY ALL)
+  SELECT node_id, field FROM r WHERE bad UNION SELECT node_id, field FROM c WHERE is_case UNION SELECT node_id, field FROM l JOIN m USING (batch, field) WHERE {' OR '.join(cases)}"""
+
+
+def oracle_sql() -> dict:
+    return {"p3_masks": _P3_MASKS, "p5_found": _p5_sql(), "p6_found": _P6, "p7_found": _P7}
