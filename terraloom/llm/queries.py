@@ -98,9 +98,15 @@ WITH keyed AS (
 firsts AS (SELECT ord, min(ord) OVER (PARTITION BY k, w, h, f) AS first_ord FROM keyed)
 """
 
+_P2 = """WITH f AS (SELECT DISTINCT node_id, idx, descriptor AS d FROM features WHERE descriptor IS NOT NULL AND len(descriptor) = 8 AND len(list_filter(descriptor, lambda x: x <> 0)) > 0),
+  p AS (SELECT a.node_id AS na, a.idx AS ia, b.node_id AS nb, b.idx AS ib, list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(a.d[i], b.d[i])))) AS n FROM f a JOIN f b ON (a.node_id, a.idx) <> (b.node_id, b.idx)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY na, ia ORDER BY n, nb, ib) AS k FROM p WHERE n <= 96)
+  SELECT DISTINCT CASE WHEN (na, ia) < (nb, ib) THEN na ELSE nb END AS node_a, CASE WHEN (na, ia) < (nb, ib) THEN ia ELSE ib END AS idx_a, CASE WHEN (na, ia) < (nb, ib) THEN nb ELSE na END AS node_b, CASE WHEN (na, ia) < (nb, ib) THEN ib ELSE ia END AS idx_b FROM k WHERE k <= 5"""
+
 
 def oracle_sql() -> dict:
     return {
+        "p2_found": _P2,
         "p1_found": _P1_KEYS + "SELECT first_ord, ord FROM firsts WHERE ord > first_ord",
         "p1_records": _P1_KEYS + "SELECT r.ord, r.make, r.model, r.lens_model, r.sensor_width_px, r.sensor_height_px, r.focal, c.copies FROM (SELECT first_ord, count(*) AS copies FROM firsts GROUP BY 1) c JOIN camera_db_raw r ON r.ord = c.first_ord",
     }

@@ -141,8 +141,7 @@ def _fit(groups: DataFrame, max_bits: int) -> Index:
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     sample = groups.select(*_W)
     w = (sample.sample(share, seed=11) if share < 1 else sample).toPandas().to_numpy(np.int64)
-    if not len(w):
-        w = np.ones((1, WORDS), np.int64)
+    w = w[np.lexsort(w.T)] if len(w) else np.ones((1, WORDS), np.int64)  # in an order that doesn't hang on partitions
     v = unpack(w)
     cells = 1
     while cells * cells < 4 * n and cells < MAX_CELLS:
