@@ -50,14 +50,20 @@ def _first_side(points: DataFrame, n: int, extent: float, k: int) -> float:
     return side
 
 
-def knn_join(probes: DataFrame, points: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
+def knn_join(probes: DataFrame, points: DataFrame, k: int, allowed: Column | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """(p, q, d2, rank): the k nearest points of each probe, ties to the smaller q. ``probes`` has p, px, py and ``points`` q, qx, qy, and
-    what ``allowed`` needs.
+    what ``allowed`` needs; both have the ``on`` columns, which must be equal.
 
+    Without ``allowed``, of the points at one place only the k smallest can count (with k + 1 for probes that are points themselves the
+    caller asks for one more), so a place that holds a third of all points is cut before anything is joined.
     A round looks at the 3 x 3 cells around each open probe; it is settled once its k-th distance is within a cell side, as nothing nearer
     can lie outside. The others go on with cells of twice the side, until a round covers the whole extent. Candidates are cut to k for
     each probe within the join's partition before anything else is done with them."""
-    probes, points = materialise(_usable(probes, "p", "px", "py")), materialise(_usable(points, "q", "qx", "qy"))
+    points = _usable(points, "q", "qx", "qy")
+    if allowed is None:
+        place = Window.partitionBy(*on, "qx", "qy").orderBy("q")
+        points = points.withColumn("_k", F.row_number().over(place)).filter(F.col("_k") <= k).drop("_k")
+    probes, points = materialise(_usable(probes, "p", "px", "py")), materialise(points)
     e = points.agg(F.count("*"), F.min("qx"), F.max("qx"), F.min("qy"), F.max("qy")).first()
     f = probes.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
     if not e[0] or f[0] is None:
@@ -69,7 +75,7 @@ def knn_join(probes: DataFrame, points: DataFrame, k: int, allowed: Column | Non
     for _ in range(_ROUNDS):
         last = side >= extent
         a = _around(_cells(open_, "px", "py", side))
-        pairs = a.join(_cells(points, "qx", "qy", side), ["_cx", "_cy"])
+        pairs = a.join(_cells(points, "qx", "qy", side), ["_cx", "_cy", *on])
         if allowed is not None:
             pairs = pairs.filter(allowed)
         dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")

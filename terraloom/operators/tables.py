@@ -22,7 +22,7 @@ def histogram_bounds(df: DataFrame, column: str, tail: float = 0.025) -> DataFra
 def plane_fit(df: DataFrame, keys: list[str], x: Column, y: Column, z: Column) -> DataFrame:
     """(keys, c0, c1, c2, n) of z = c0 + c1 x + c2 y by least squares over centred sums; null for fewer than three rows or no spread."""
     means = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.avg(z).alias("_mz"))
-    c = df.join(F.broadcast(means), keys) if keys else df.join(F.broadcast(means))
+    c = df.join(means, keys) if keys else df.join(F.broadcast(means))  # without keys a single row
     dx, dy, dz = x - F.col("_mx"), y - F.col("_my"), z - F.col("_mz")
     s = c.groupBy(*keys, "_mx", "_my", "_mz").agg(F.count("*").alias("n"), F.sum(dx * dx).alias("xx"), F.sum(dx * dy).alias("xy"), F.sum(dy * dy).alias("yy"), F.sum(dx * dz).alias("xz"), F.sum(dy * dz).alias("yz"))
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")

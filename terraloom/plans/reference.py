@@ -656,8 +656,9 @@ def within_two_hops(spark: SparkSession, d: str) -> DataFrame:
 def ideal_links(spark: SparkSession, d: str) -> DataFrame:
     """Links whose far end is among the ten nearest of the batch, from either end."""
     p = positions(spark, d)
-    near = neighbours.knn_join(_probes(p), _points(p), 10, (F.col("q_batch") == F.col("p_batch")) & (F.col("p") != F.col("q")))
-    near = near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    probes, points = _probes(p).withColumnRenamed("p_batch", "batch"), _points(p).withColumnRenamed("q_batch", "batch")
+    near = neighbours.knn_join(probes, points, 11, on=("batch",)).filter("p <> q")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("p").orderBy("d2", "q"))).filter("rank <= 10").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     return links(spark, d).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(near, ["a", "b"], "left_semi").select("edge_id")
 
 

@@ -33,6 +33,13 @@ def test_knn_matches_brute_force(spark, seed, n, k):
     assert got == brute_knn(p, q, k)
 
 
+def test_knn_at_a_crowded_place(spark):
+    points = spark.range(3000).select(F.col("id").alias("q"), F.lit(1.0).alias("qx"), F.lit(1.0).alias("qy"), (F.col("id") % 2).alias("g"))
+    probes = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 1.0, 1.0, 1)], "p bigint, px double, py double, g bigint")
+    got = sorted((r.p, r.q) for r in neighbours.knn_join(probes, points, 3, on=("g",)).collect())
+    assert got == [(1, 0), (1, 2), (1, 4), (2, 1), (2, 3), (2, 5)]
+
+
 def test_knn_of_nothing(spark):
     probes, points = spark.createDataFrame([], "p bigint, px double, py double"), spark.createDataFrame([], "q bigint, qx double, qy double")
     assert neighbours.knn_join(probes, points, 3).count() == 0
