@@ -337,4 +337,5 @@ def shape_mask(text: Column) -> Column:
 def normalise_timestamps(df: DataFrame, key: str, text: Column, date: Column, zone: Column) -> DataFrame:
     """One row (key, utc_micros) for each key with an instant. Repeated rows of a key count once (the earliest instant of them); null keys are dropped."""
     parsed = df.select(F.col(key).alias(key), utc_micros(text, date, zone).alias("utc_micros"))
-    return parsed.filter(F.col(key).isNotNull() & F.col("utc_micros").isNotNull()).groupBy(key).agg(F.min("utc_micros").alias("utc_micros"))
+    # The filter on the result stands behind the aggregate: in front of it, the texts would be parsed a second time.
+    return parsed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("utc_micros").alias("utc_micros")).filter("utc_micros is not null")
