@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.runtime import materialise
+
 EARTH_RADIUS_M = 6_371_008.8
 #: Most points fetched to place the splits of the top hierarchy.
 SAMPLE_POINTS = 65_536
@@ -202,7 +204,7 @@ def regions_of_points(points: DataFrame, key: str, x: str, y: str, polygons: Dat
     """Rows (key, region) for each region that contains a point. Shared-boundary hits within a region count once."""
     types = dict(points.dtypes), dict(polygons.dtypes)
     usable = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    usable = usable.filter("key is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").dropDuplicates(["key"])
+    usable = materialise(usable.filter("key is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").dropDuplicates(["key"]))
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         i, j = _pairs(p, t)
@@ -246,7 +248,7 @@ def points_nearby(points: DataFrame, key: str, lat: str, lon: str, alt: str, met
     p = points.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(n) for c, n in ((lat, "y"), (lon, "lon"), (alt, "alt"))))
     ok = " and ".join(f"{c} is not null and not isnan({c})" for c in ("y", "lon", "alt"))
     p = p.filter(f"key is not null and {ok} and abs(y) <= 90 and abs(lon) < 1e6 and not (y = 0 and lon = 0)").dropDuplicates(["key"])
-    p = p.withColumn("x", F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180).drop("lon")
+    p = materialise(p.withColumn("x", F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180).drop("lon"))
 
     def discs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
