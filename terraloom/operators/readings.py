@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators.sequences import CHUNK, OWN, POS, chunk_sequences
+from terraloom.runtime import materialise
 
 #: Relative rank error of the quantile sketches is 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
@@ -111,8 +112,8 @@ def implausible(df: DataFrame, key: str, source: str, order: str, readings: list
 
     A stuck run is a case only in a source whose reading otherwise varies: outside such runs the sketched median change between neighbours
     isn't zero, over more neighbours than one spike can make. Elsewhere equal readings are the level, from which a spike can leave."""
-    rows = long_readings(df, key, source, order, readings, values)
-    flagged = stuck(rows.filter("not impossible"), chunk_rows=chunk_rows)
+    rows = materialise(long_readings(df, key, source, order, readings, values))
+    flagged = materialise(stuck(rows.filter("not impossible"), chunk_rows=chunk_rows))
     varies = flagged.groupBy(F.col("source").alias("_s"), F.col("field").alias("_f")).agg(
         ((F.percentile_approx("free_step", 0.5, SKETCH_ACCURACY) > 0) & (F.count("free_step") >= LONGEST_SPIKE)).alias("varies")
     )
