@@ -39,7 +39,10 @@ _W = [f"w{k}" for k in range(WORDS)]
 def unpack(words: np.ndarray) -> np.ndarray:
     """Unit vectors of signs from packed words (n, WORDS)."""
     bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, :BITS]
-    return (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(BITS))
+    v = bits.astype(np.float32)
+    v *= np.float32(2 / np.sqrt(BITS))
+    v -= np.float32(1 / np.sqrt(BITS))
+    return v
 
 
 def fit_cells(v: np.ndarray, cells: int, rounds: int = 5, seed: int = 0) -> np.ndarray:
@@ -47,11 +50,17 @@ def fit_cells(v: np.ndarray, cells: int, rounds: int = 5, seed: int = 0) -> np.n
     rng = np.random.default_rng(seed)
     c = v[rng.choice(len(v), cells, replace=len(v) < cells)]
     for _ in range(rounds):
-        at = np.concatenate([(v[s : s + 8192] @ c.T).argmax(1) for s in range(0, len(v), 8192)])
-        order = np.argsort(at, kind="stable")
-        found, start = np.unique(at[order], return_index=True)
-        c = v[rng.choice(len(v), cells, replace=len(v) < cells)]
-        c[found] = np.add.reduceat(v[order], start)
+        sums, counts = np.zeros_like(c), np.zeros(cells, np.int64)
+        for s in range(0, len(v), 8192):
+            part = v[s : s + 8192]
+            at = (part @ c.T).argmax(1)
+            order = np.argsort(at, kind="stable")
+            found, start = np.unique(at[order], return_index=True)
+            sums[found] += np.add.reduceat(part[order], start)
+            counts += np.bincount(at, minlength=cells)
+        empty = counts == 0
+        sums[empty] = v[rng.choice(len(v), int(empty.sum()))]
+        c = sums
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     return c.astype(np.float32)
 
