@@ -5,13 +5,16 @@ concentration: a robust start from medians and quartiles, then rounds in which t
 The squared Mahalanobis distance, and each statistic's share of it, are reported; texts beyond the cutoff whose content lines are
 mostly items, rows of fields or noise are the forms list, table and junk.
 
-Lines that a fixed share of all documents have (menus, notices) don't count as content. Language is told from the text itself.
+Lines that stand around a fixed share of all different contents (menus, notices) don't count as content at the head and tail of a text.
+Copies of one content count once, so lines of a mirrored page are no menu; a text of nothing else is judged by all its lines. Language is
+told from the text itself.
 
 Defined results: null, empty and blank texts have null statistics, no distance and no form; a repeated key counts once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -154,34 +157,53 @@ def mend(text: str) -> str:
     return _GARBLED.sub(_mend, text) if "Ã" in text or "Â" in text else text
 
 
+def _lines(text: str) -> list[str]:
+    return [x for x in map(str.strip, _LINE.split(text)) if x]
+
+
+def _is_frequent(s: str, frequent) -> bool:
+    return len(s) <= LONGEST_FREQUENT and line_key(s) in frequent
+
+
+def _outside(lines: list[str], frequent: frozenset[str]) -> tuple[int, int]:
+    """Where the lines start and end that stand between the frequent lines and notices at the head and those at the tail."""
+    outer = lambda x: _is_frequent(x, frequent) or _NOTICE.match(x)
+    a, b = 0, len(lines)
+    while a < b and outer(lines[a]):
+        a += 1
+    while b > a and outer(lines[b - 1]):
+        b -= 1
+    return a, b
+
+
 def describe(text: str, frequent: frozenset[str]) -> tuple:
     """(language, statistics in the order of STATS, characters of prose, item, row, noise)."""
     text = mend(text)
-    lines = [x for x in map(str.strip, _LINE.split(text)) if x]
+    lines = _lines(text)
     found = [_WORD.findall(x.lower()) for x in lines]
     every = [w for ws in found for w in ws]
     letters = max(1, sum(map(len, every)))
     lang = language(every, letters, len(_JA.findall(text)), 0 if text.isascii() else len(_CYRILLIC.findall(text)))
     common = COMMON.get(lang, frozenset())
-    chars = {"prose": 0, "item": 0, "row": 0, "noise": 0}
-    run_on, content, words, rows = False, [], [], dict.fromkeys(chars, 0)
-    for x, ws in zip(lines, found):
-        k = line_kind(x, ws, common, lang, run_on)
-        if k in ("prose", "item", "unknown") and len(x) <= LONGEST_FREQUENT and line_key(x) in frequent:
-            continue
-        if k in ("prose", "item", "unknown") and _NOTICE.match(x):
-            continue
-        k = "noise" if k == "unknown" else k
-        chars[k] += len(x)
-        rows[k] += 1
-        content.append(x)
-        words += ws
-        run_on = k == "prose" and x[-1] not in _END
+    start, end = _outside(lines, frequent)
+    for whole in (False, True):
+        chars = {"prose": 0, "item": 0, "row": 0, "noise": 0}
+        run_on, content, words, rows = False, [], [], dict.fromkeys(chars, 0)
+        for i, (x, ws) in enumerate(zip(lines, found)):
+            k = line_kind(x, ws, common, lang, run_on)
+            if not whole and k in ("prose", "item", "unknown") and (not start <= i < end or _NOTICE.match(x)):
+                continue
+            k = "noise" if k == "unknown" else k
+            chars[k] += len(x)
+            rows[k] += 1
+            content.append(x)
+            words += ws
+            run_on = k == "prose" and x[-1] not in _END
+        if content:
+            break
     for k, least in LEAST_LINES.items():
         if rows[k] < least:
             chars["prose"], chars[k] = chars["prose"] + chars[k], 0
-    if not content:
-        content, words = lines, every
     total, size = max(1, sum(chars.values())), max(1, sum(map(len, content)))
     joined = " ".join(content)
     letters, n = sum(map(len, words)), max(1, len(joined))
@@ -207,20 +229,44 @@ def describe(text: str, frequent: frozenset[str]) -> tuple:
     return lang, stats, tuple(chars.values())
 
 
-def frequent_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(line): trimmed lines that at least FREQUENT_SHARE of all documents have; at most lines-per-document / FREQUENT_SHARE rows."""
-    n = docs.count()
+def frequent_lines(docs: DataFrame, text: str = "text") -> frozenset[str]:
+    """Trimmed lines that stand around at least FREQUENT_SHARE of all different contents; at most lines-per-document / FREQUENT_SHARE rows
+    for each copy that a text has on average reach the driver."""
+    least = max(FREQUENT_LEAST, math.ceil(FREQUENT_SHARE * docs.select(F.xxhash64(text)).distinct().count()))
     parts = F.transform(F.split(text, LINE_BREAK), lambda x: F.btrim(F.translate(x, INVISIBLE, ""), F.lit(BLANKS)))
     line = F.col("line")
     lines = docs.select(F.explode(F.array_distinct(parts)).alias("line")).filter((F.length(line) > 0) & (F.length(line) <= LONGEST_FREQUENT))
     lines = lines.select(F.when(F.length(line) > NOTICE_LENGTH, F.regexp_replace(line, r"\d+", "0")).otherwise(line).alias("line"))
-    return lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= max(FREQUENT_LEAST, math.ceil(FREQUENT_SHARE * n))).select("line")
+    often = sorted(r.line for r in lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect())
+    places = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(often)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = places.value
+        for b in batches:
+            found, contents = [], []
+            for t in b[text]:
+                known, rest, size = set(), [], 0
+                for x in _lines(mend(t)):
+                    if _is_frequent(x, at):
+                        known.add(at[line_key(x)])
+                        size += len(x)
+                    elif not _NOTICE.match(x):
+                        rest.append(line_key(x))
+                # Less than the frequent lines themselves is no content they stand around: copies may differ in a line.
+                if known and sum(map(len, rest)) >= size:
+                    digest = hashlib.blake2b("\n".join(rest).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    found += known
+                    contents += [int.from_bytes(digest, "big", signed=True)] * len(known)
+            yield pd.DataFrame({"place": np.array(found, np.int32), "content": np.array(contents, np.int64)})
+
+    around = docs.select(text).mapInPandas(run, "place int, content bigint").distinct().groupBy("place").agg(F.count("*").alias("n"))
+    return frozenset(often[r.place] for r in around.filter(F.col("n") >= least).collect())
 
 
 def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lang, STATS…, prose, item, row, noise) of every text that isn't blank."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").rlike(r"[^\s\u00a0\u0085\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"))
-    frequent = df.sparkSession.sparkContext.broadcast(frozenset(r.line for r in frequent_lines(docs).collect()))
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_lines(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -251,7 +297,7 @@ def _scores(stats: DataFrame, moments: dict[str, tuple[np.ndarray, np.ndarray]])
 
 
 def prose_moments(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Robust mean and covariance of prose for each language, from all documents. One row for each language reaches the driver a round."""
+    """Robust mean and covariance of prose for each language, from all different documents. One row for each language reaches the driver a round."""
     floor = np.diag([FLOOR[s] ** 2 for s in STATS])
     start = stats.groupBy("lang").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATS)).collect()
     moments = {}
@@ -276,7 +322,8 @@ def prose_moments(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def outlierness(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lang, STATS, d_<statistic>…, distance2, form) of every text that isn't blank; form is null for prose."""
     stats = materialise(statistics(df, key, text).dropDuplicates(["key"]))
-    scored = _scores(stats, prose_moments(stats))
+    different = materialise(stats.select("lang", *STATS).distinct())  # copies of a page aren't the prose of their language
+    scored = _scores(stats, prose_moments(different))
     most = F.greatest("prose", "item", "row", "noise")
     form = F.when(most == F.col("prose"), None).when(most == F.col("item"), "list").when(most == F.col("row"), "table").otherwise("junk")
     scored = scored.withColumn("form", F.when((F.col("distance2") > CUTOFF) & (most > 0), form))

@@ -73,3 +73,23 @@ def test_frequent_lines_are_no_content(spark):
     rows += [(7100 + k, f"{menu}\nThis page is gone.\n© 20{k:02d} Wick{k}") for k in range(20)]  # nothing but menu, message and footer
     got = {r.doc_id: r.form for r in run(spark, rows).collect()}
     assert got[7000] is None and all(got[7100 + k] is None for k in range(20))
+
+
+def test_mirrored_pages_keep_their_form(spark):
+    rng = random.Random(3)
+    docs = {i: " ".join(rng.choice(PROSE) for _ in range(rng.randint(4, 12))) + f" Then {rng.choice(NOUNS)} {i} was seen." for i in range(240)}
+    menu = "\n".join(["Home", "Contact", "Archive", "Search"])
+    page = "\n".join(f"- {a} and {b}" for a in NOUNS[:6] for b in NOUNS[:5])
+    scrambled = "\n".join(" ".join("".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for _ in range(12)) for _ in range(8))
+    rows = [(k, f"{menu}\n{t}" if k < 100 else t) for k, t in docs.items()]
+    rows += [(1000 + k, page) for k in range(120)]  # a third of all rows
+    rows += [(2000 + k, scrambled) for k in range(30)]
+    rows += [(3000 + k, f"{menu}\n{page}\nMirror host{k}") for k in range(30)]  # copies that differ in a line
+    got = {r.doc_id: r.form for r in run(spark, rows).collect() if r.form}
+    assert got == {1000 + k: "list" for k in range(120)} | {2000 + k: "junk" for k in range(30)} | {3000 + k: "list" for k in range(30)}
+
+
+def test_partly_repeated_lists_keep_their_items():
+    frequent = frozenset(["Home", "Contact", *NOUNS[2:]])
+    _, _, chars = q.describe("\n".join(["Home", NOUNS[0], *NOUNS[2:], NOUNS[1], "Contact"]), frequent)
+    assert chars == (0, sum(map(len, NOUNS)), 0, 0)
