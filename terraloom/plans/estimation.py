@@ -174,25 +174,46 @@ def laplacian_blend(spark: SparkSession, d: str) -> DataFrame:
     return raster.blend_tiles(cell, ["node_id"], ["v"], 64)
 
 
+def _window(places: DataFrame, low: float, step: float, margin: float) -> tuple[int, int, int, int] | None:
+    """Column and row of the first vertex ``low + step * k`` and how many columns and rows there are, so that they hold all places and a margin."""
+    p = places.filter("not isnan(x) and not isnan(y)")
+    e = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if e[0] is None:
+        return None
+    first = [int(np.floor((v - margin - low) / step)) for v in (e[0], e[2])]
+    last = [int(np.ceil((v + margin - low) / step)) for v in (e[1], e[3])]
+    return *first, *(b - a + 1 for a, b in zip(first, last))
+
+
 def dsm_tile(spark: SparkSession, d: str) -> DataFrame:
-    """Surface heights on a raster of 5 m over a mesh of 25 m."""
+    """Surface heights over all images and a margin on a raster of 5 m over a mesh of 25 m. Rows and columns count from -200 m, so those
+    before it are negative."""
     p = positions(spark, d)
-    n, step, low = 17, 25.0, -200.0
-    g = spark.range(n * n).select(F.col("id").alias("p"), (low + step * (F.col("id") % n)).alias("px"), (low + step * F.floor(F.col("id") / n)).alias("py"))
+    step, low, fine = 25.0, -200.0, 5
+    window = _window(p, low, step, step)
+    if window is None:
+        return spark.createDataFrame([], "row bigint, col bigint, z double")
+    i, j, n, m = window
+    x0, y0 = low + step * i, low + step * j
+    g = spark.range(n * m).select(F.col("id").alias("p"), (x0 + step * (F.col("id") % n)).alias("px"), (y0 + step * F.floor(F.col("id") / n)).alias("py"))
     from terraloom.operators.neighbours import knn_join
 
     near = knn_join(g, p.select(F.col("node_id").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy")), 1)
     nodes = materialise(near.join(p.select(F.col("node_id").alias("q"), "z"), "q").select(F.col("p").alias("node_id"), "z"))
-    k = 80
-    px = spark.range(k * k).select((F.col("id") % k).alias("col"), F.floor(F.col("id") / k).alias("row")).select("row", "col", (low + 5 * F.col("col")).cast("double").alias("px"), (low + 5 * F.col("row")).cast("double").alias("py"))
-    return raster.surface_heights(px, nodes, (low, low), step, n).select("row", "col", "z")
+    k = fine * (n - 1)
+    px = spark.range(k * fine * (m - 1)).select((F.col("id") % k + fine * i).alias("col"), (F.floor(F.col("id") / k) + fine * j).alias("row"))
+    px = px.select("row", "col", (low + step / fine * F.col("col")).alias("px"), (low + step / fine * F.col("row")).alias("py"))
+    return raster.surface_heights(px, nodes, (x0, y0), step, n).select("row", "col", "z")
 
 
 def ortho_layers(spark: SparkSession, d: str) -> DataFrame:
-    """First two cameras that show each ground pixel."""
-    k = 60
-    px = spark.range(k * k).select(F.col("id").alias("p"), (-150 + 5.0 * (F.col("id") % k)).alias("px"), (-150 + 5.0 * F.floor(F.col("id") / k)).alias("py"), F.lit(0.0).alias("z"))
-    return raster.layers(px, solved(spark, d).filter("projection = 'PLANAR'"), 2)
+    """First two cameras that show each ground pixel (gx, gy) of 5 m over all images and a margin."""
+    cameras = solved(spark, d).filter("projection = 'PLANAR'")
+    step, low = 5.0, -150.0
+    i, j, n, m = _window(positions(spark, d), low, step, 25.0) or (0, 0, 0, 0)
+    gx, gy = low + step * (F.col("p") % n + i), low + step * (F.floor(F.col("p") / n) + j)
+    px = spark.range(n * m).select(F.col("id").alias("p")).select("p", gx.alias("px"), gy.alias("py"), F.lit(0.0).alias("z"))
+    return raster.layers(px, cameras, 2).withColumns({"gx": gx, "gy": gy})
 
 
 def tile_order(spark: SparkSession, d: str) -> DataFrame:
