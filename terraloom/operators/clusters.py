@@ -89,6 +89,42 @@ def spectral_groups(n: int, edges: np.ndarray, weights: np.ndarray, k: int, plac
     return _small_kmeans(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), k, rounds)
 
 
+def connected(n: int, edges: np.ndarray) -> list[np.ndarray]:
+    """Nodes of each component of ``n`` nodes, breadth first from its smallest node; components in the order of those."""
+    near: dict[int, set[int]] = {}
+    for i, j in edges:
+        near.setdefault(int(i), set()).add(int(j))
+        near.setdefault(int(j), set()).add(int(i))
+    seen, parts = np.zeros(n, bool), []
+    for start in range(n):
+        if seen[start]:
+            continue
+        part, seen[start] = [start], True
+        for node in part:
+            for other in sorted(near.get(node, ())):
+                if not seen[other]:
+                    seen[other] = True
+                    part.append(other)
+        parts.append(np.array(part))
+    return parts
+
+
+def link_groups(n: int, edges: np.ndarray, size: int, least: int) -> list[np.ndarray]:
+    """Groups of about ``size`` of ``n`` nodes: components side by side, none cut unless it is larger than a group; a last group under
+    ``least`` goes to the one before."""
+    groups: list[np.ndarray] = []
+    for part in connected(n, edges):
+        for piece in np.split(part, range(size, len(part), size)):
+            if groups and len(groups[-1]) + len(piece) <= size:
+                groups[-1] = np.concatenate([groups[-1], piece])
+            else:
+                groups.append(piece)
+    if len(groups) > 1 and len(groups[-1]) < least:
+        last = groups.pop()
+        groups[-1] = np.concatenate([groups[-1], last])
+    return groups
+
+
 def _small_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     c = [x[0]]
     while len(c) < k:

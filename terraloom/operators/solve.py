@@ -121,6 +121,13 @@ class Camera:
         return d * self.focal + self.pp
 
 
+def monotone_radius(radial: np.ndarray) -> float:
+    """The distance from the axis (at depth 1) up to which the radial distortion only grows; nothing beyond it has a pixel of its own."""
+    roots = np.roots([7 * radial[2], 5 * radial[1], 3 * radial[0], 1.0])
+    turns = roots[(np.abs(roots.imag) < 1e-9) & (roots.real > 0)].real
+    return float(np.sqrt(turns.min())) if len(turns) else np.inf
+
+
 def relative_orientations(rotations: np.ndarray, edges: np.ndarray, relative: np.ndarray, robust_degrees: float = 10.0, down_weight: float = 1e-2) -> np.ndarray:
     """Orientations (n, 3, 3) that best agree with ``relative`` rotations (edge i to j: R_j^T R_i), with a weak pull of the axes downwards.
     An unknown (NaN) orientation first looks down and north."""

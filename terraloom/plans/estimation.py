@@ -102,35 +102,69 @@ def terrain_mesh(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(nodes.select(F.col("node_id").alias("src"), F.col("z").alias("z_src")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("z").alias("z_dst")), "dst")
 
 
+def _batch_links(spark: SparkSession, d: str) -> DataFrame:
+    """(batch, src, dst) of links, by the batch of their first image."""
+    ends = images(spark, d, "batch").select(F.col("node_id").alias("src"), "batch")
+    return links(spark, d).join(ends, "src").select("batch", "src", "dst").distinct()
+
+
+def _edges(ids, e: pd.DataFrame) -> np.ndarray:
+    """Links between ``ids`` as pairs of their places."""
+    at = {n: k for k, n in enumerate(ids)}
+    return np.array(sorted({(at[a], at[b]) for a, b in zip(e["src"], e["dst"]) if a in at and b in at and a != b}), int).reshape(-1, 2)
+
+
+GROUP, LEAST_GROUP = 12, 3  # images that are solved at once
+LEAST_SEEN = 2  # ground points that fix an image's three angles
+
+
+def turned_and_solved(g: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+    """(node_id, batch, error_before, error_after) of one batch's images. An image sees the ground below the images of its group and below
+    those it is linked with, in whichever group; without enough of it in front of the lens the errors are null."""
+    pos, rot = g[["x", "y", "z"]].to_numpy(float), solve.matrix(g[["qx", "qy", "qz", "qw"]].to_numpy(float))
+    pts = np.column_stack([pos[:, :2], np.zeros(len(g))])
+    linked: dict[int, set[int]] = {}
+    for i, j in edges:
+        linked.setdefault(int(i), set()).add(int(j))
+        linked.setdefault(int(j), set()).add(int(i))
+    before, after = np.full(len(g), np.nan), np.full(len(g), np.nan)
+    planar = (g["projection"] == "PLANAR").to_numpy() & np.isfinite(pos).all(1) & np.isfinite(rot).all((1, 2))
+    angle = lambda a, b: np.arccos(np.clip((np.trace(np.transpose(a, (0, 2, 1)) @ b, axis1=1, axis2=2) - 1) / 2, -1, 1))
+    for group in clusters.link_groups(len(g), edges, GROUP, LEAST_GROUP):
+        by_model: dict[int, list[int]] = {}
+        for i in group[planar[group]]:
+            by_model.setdefault(int(g["model_id"].iloc[i]), []).append(int(i))
+        for members in by_model.values():
+            m = g.iloc[members[0]]
+            c = solve.Camera(float(m["focal"]), m[["ppx", "ppy"]].to_numpy(float), m[["k1", "k2", "k3"]].to_numpy(float), m[["t1", "t2"]].to_numpy(float))
+            reach = solve.monotone_radius(c.radial)
+            use, obs = [], []
+            for i in members:
+                to = np.array(sorted({*map(int, group), *linked.get(i, ())}))
+                v = (pts[to] - pos[i]) @ rot[i]
+                to = to[(v[:, 2] > 1) & (np.hypot(v[:, 0], v[:, 1]) < reach * v[:, 2])]
+                if len(np.unique(pts[to], axis=0)) >= LEAST_SEEN:
+                    obs += [(len(use), j) for j in to]
+                    use.append(i)
+            if not use:
+                continue
+            o = np.array(obs)
+            pixels = c.project(np.einsum("nji,nj->ni", rot[use][o[:, 0]], pts[o[:, 1]] - pos[use][o[:, 0]]))
+            start = solve.rotation(np.random.default_rng(0).normal(0, 0.01, (len(use), 3))) @ rot[use]
+            _, _, found, _ = solve.bundle(c, pos[use], start, pts, o, pixels, solve.Options.ORIENTATION, iterations=8)
+            before[use], after[use] = angle(start, rot[use]), angle(found, rot[use])
+    return pd.DataFrame({"node_id": g["node_id"], "batch": g["batch"], "error_before": before, "error_after": after})
+
+
 def bundle_adjust(spark: SparkSession, d: str) -> DataFrame:
     """Orientation of each batch's solved images against the ground below them, as its links see it: turned off and solved back."""
-    p = solved(spark, d).filter("projection = 'PLANAR'")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("path").reset_index(drop=True)
-        out = []
-        for s in range(0, len(pdf), 12):
-            g = pdf.iloc[s : s + 12]
-            if len(g) < 3:
-                continue
-            c = solve.Camera(float(g["focal"].iloc[0]), g[["ppx", "ppy"]].iloc[0].to_numpy(float), np.zeros(3), np.zeros(2))
-            pos, rot = g[["x", "y", "z"]].to_numpy(float), solve.matrix(g[["qx", "qy", "qz", "qw"]].to_numpy(float))
-            pts = np.column_stack([pos[:, :2], np.zeros(len(g))])
-            obs = np.array([(i, j) for i in range(len(g)) for j in range(len(g))])
-            v = np.einsum("nji,nj->ni", rot[obs[:, 0]], pts[obs[:, 1]] - pos[obs[:, 0]])
-            seen = v[:, 2] > 1
-            obs, v = obs[seen], v[seen]
-            if len(obs) < 6 * 1:
-                continue
-            pixels = c.project(v)
-            start = solve.rotation(np.random.default_rng(0).normal(0, 0.01, (len(g), 3))) @ rot
-            _, _, solved_rot, _ = solve.bundle(c, pos, start, pts, obs, pixels, solve.Options.ORIENTATION, iterations=8)
-            turn = np.arccos(np.clip((np.trace(np.transpose(solved_rot, (0, 2, 1)) @ rot, axis1=1, axis2=2) - 1) / 2, -1, 1))
-            before = np.arccos(np.clip((np.trace(np.transpose(start, (0, 2, 1)) @ rot, axis1=1, axis2=2) - 1) / 2, -1, 1))
-            out.append(pd.DataFrame({"node_id": g["node_id"], "batch": g["batch"], "error_before": before, "error_after": turn}))
-        return pd.concat(out) if out else pd.DataFrame({"node_id": [], "batch": [], "error_before": [], "error_after": []})
-
-    return p.groupBy("batch").applyInPandas(run, "node_id bigint, batch int, error_before double, error_after double")
+        return turned_and_solved(pdf, _edges(pdf["node_id"], e))
+
+    found = solved(spark, d).groupBy("batch").cogroup(_batch_links(spark, d).groupBy("batch")).applyInPandas(run, "node_id bigint, batch int, error_before double, error_after double")
+    return found.select("node_id", "batch", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("error_before", "error_after")))
 
 
 def color_balance(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from terraloom.plans import checkpoint, pipeline
@@ -170,3 +172,26 @@ def test_rasters_hold_all_images(spark, tmp_path):
     assert there <= {(r.col, r.row) for r in tile} and all(r.z is not None for r in tile)
     here, moved = (estimation.ortho_layers(spark, d).select("gx", "gy", "layer", "cam_id").collect() for d in (DATA, str(tmp_path)))
     assert len(here) > 0 and {(r.gx + 1000, r.gy - 700, r.layer, r.cam_id) for r in here} == {(r.gx, r.gy, r.layer, r.cam_id) for r in moved}
+
+
+@pytest.mark.parametrize("n", [2, 13, 14, 25])
+def test_every_image_of_a_batch_is_solved(n):
+    from terraloom.plans import estimation
+
+    k = np.arange(n)
+    model = {"projection": "PLANAR", "model_id": 1, "focal": 1000.0, "ppx": 500.0, "ppy": 400.0, "k1": -0.05, "k2": 0.01, "k3": 0.006, "t1": -0.0002, "t2": -0.001}
+    g = pd.DataFrame({"node_id": k, "batch": 0, "x": 10.0 * k, "y": 7.0 * (k % 3), "z": 100.0, "qx": 1.0, "qy": 0.0, "qz": 0.0, "qw": 0.0, **model})
+    out = estimation.turned_and_solved(g, np.array([[0, n - 1]]))
+    assert list(out["node_id"]) == list(k) and (out["error_before"] > 1e-3).all() and (out["error_after"] < 1e-5).all()
+    alone = estimation.turned_and_solved(g.head(1), np.zeros((0, 2), int))
+    assert len(alone) == 1 and alone["error_after"].isna().all()
+    far = estimation.turned_and_solved(g.assign(projection=["UNKNOWN", *["PLANAR"] * (n - 1)]), np.zeros((0, 2), int))
+    assert len(far) == n and far["error_after"].isna().tolist() == [True] + [False] * (n - 1)
+
+
+def test_links_keep_groups_together():
+    from terraloom.operators import clusters
+
+    groups = clusters.link_groups(26, np.array([[0, 25], [11, 12]]), 12, 3)
+    at = {int(i): k for k, g in enumerate(groups) for i in g}
+    assert sorted(at) == list(range(26)) and at[0] == at[25] and at[11] == at[12] and min(map(len, groups)) >= 3
