@@ -11,6 +11,8 @@ from terraloom.operators.neighbours import knn_join
 
 MOST_CELLS = 1000
 DEPTH = 10
+MOST_POINTS = 20  # of a triangle that isn't refined
+LEAST_SIZE = 1.0  # metres of the longest edge; smaller triangles aren't refined
 
 
 def grid_mesh(cameras: DataFrame, spacing: float, margin: float) -> tuple[DataFrame, DataFrame]:
@@ -127,6 +129,56 @@ class Mesh:
         return n, pd.DataFrame(rows, columns=["edge_id", "src", "dst", "border", "opp0", "opp1"]).astype({"opp1": "Int64"})
 
 
+class PointMesh(Mesh):
+    """A mesh whose triangles know which of the points (n, 3) lie in them; each point is held by one triangle."""
+
+    def __init__(self, xyz: np.ndarray, triangles: np.ndarray, points: np.ndarray):
+        super().__init__(xyz, triangles)
+        self.points = points[np.isfinite(points).all(1)]
+        self.held: dict[int, np.ndarray] = {}
+        free = np.arange(len(self.points))
+        for i in sorted(self.triangles):
+            inside = self._inside(i, free)
+            self.held[i], free = free[inside], free[~inside]
+
+    def _inside(self, i: int, rows: np.ndarray) -> np.ndarray:
+        p, (a, b, c) = self.points[rows], (self.xyz[v][:2] for v in self.triangles[i])
+        s = [(t[0] - f[0]) * (p[:, 1] - f[1]) - (t[1] - f[1]) * (p[:, 0] - f[0]) for f, t in ((a, b), (b, c), (c, a))]
+        return ~((np.min(s, 0) < 0) & (np.max(s, 0) > 0))
+
+    def bisect(self, edge: frozenset) -> None:
+        old, new = [self.held.pop(i) for i in sorted(self.at[edge])], self.next
+        super().bisect(edge)
+        for k, rows in enumerate(old):
+            one, two = new + 2 * k, new + 2 * k + 1
+            inside = self._inside(one, rows)
+            self.held[one], self.held[two] = rows[inside], rows[~inside]
+
+    def variance(self, i: int) -> float:
+        """Of the points' distances from the triangle's plane, as in :func:`triangle_counts`."""
+        a, b, c = (self.xyz[v] for v in self.triangles[i])
+        n = np.cross(b - a, c - a)
+        return float(np.var((self.points[self.held[i]] - a) @ n / max(np.linalg.norm(n), 1e-300)))
+
+    def crowded(self, i: int, most: int, least_variance: float, least_size: float) -> bool:
+        if len(self.held[i]) <= most:
+            return False
+        t = self.triangles[i]
+        size = max(float(np.linalg.norm(self.xyz[t[k]][:2] - self.xyz[t[(k + 1) % 3]][:2])) for k in range(3))
+        return size >= least_size and self.variance(i) > least_variance
+
+    def refine_crowded(self, most: int = MOST_POINTS, least_variance: float = 0.0, least_size: float = LEAST_SIZE) -> None:
+        """Refine until no triangle has more than ``most`` points whose distances from its plane vary by more than ``least_variance`` and a
+        longest edge of at least ``least_size``."""
+        todo = sorted(self.triangles)
+        while todo:
+            new = self.next
+            for i in todo:
+                if i in self.triangles and self.crowded(i, most, least_variance, least_size):
+                    self.refine(i)
+            todo = range(new, self.next)  # the others hold what they held
+
+
 def triangle_counts(points: DataFrame, corners: DataFrame, cell: float) -> DataFrame:
     """(t, n, mean, variance) of the points' distances from the plane of the triangle (t, ax … cz) they lie in; a point on a shared edge
     counts in the smaller t. Triangles meet points by the grid cells their boxes cover."""

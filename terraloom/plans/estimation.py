@@ -72,24 +72,13 @@ def spectral_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refine_mesh(spark: SparkSession, d: str) -> DataFrame:
-    """Mesh over each batch's images, refined where it is crowded."""
+    """Mesh over each batch's images, refined until it is crowded nowhere."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, x1, y0, y1 = pdf["x"].min() - 20, pdf["x"].max() + 20, pdf["y"].min() - 20, pdf["y"].max() + 20
         z = pdf["z"].mean()
-        m = mesh.Mesh(np.array([[x0, y0, z], [x1, y0, z], [x0, y1, z], [x1, y1, z]]), np.array([[0, 1, 3], [0, 3, 2]]))
-        xy = pdf[["x", "y"]].to_numpy(float)
-        for _ in range(6):
-            counts = {}
-            for i, t in m.triangles.items():
-                a, b, c = (m.xyz[v][:2] for v in t)
-                s = [np.sign((q[0] - p[0]) * (xy[:, 1] - p[1]) - (q[1] - p[1]) * (xy[:, 0] - p[0])) for p, q in ((a, b), (b, c), (c, a))]
-                counts[i] = int((~((np.min(s, 0) < 0) & (np.max(s, 0) > 0))).sum())
-            crowded = [i for i, n in counts.items() if n > 12]
-            if not crowded:
-                break
-            for i in crowded:
-                m.refine(i)
+        m = mesh.PointMesh(np.array([[x0, y0, z], [x1, y0, z], [x0, y1, z], [x1, y1, z]]), np.array([[0, 1, 3], [0, 3, 2]]), pdf[["x", "y", "z"]].to_numpy(float))
+        m.refine_crowded()
         n, e = m.tables()
         return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "vertices": [len(n)], "edges": [len(e)], "triangles": [len(m.triangles)], "conforming": [m.conforming()]})
 

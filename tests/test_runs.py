@@ -195,3 +195,29 @@ def test_links_keep_groups_together():
     groups = clusters.link_groups(26, np.array([[0, 25], [11, 12]]), 12, 3)
     at = {int(i): k for k, g in enumerate(groups) for i in g}
     assert sorted(at) == list(range(26)) and at[0] == at[25] and at[11] == at[12] and min(map(len, groups)) >= 3
+
+
+def test_crowded_batch_is_refined_to_the_end(spark, tmp_path):
+    from terraloom.operators import mesh
+    from terraloom.plans import estimation
+
+    rng = np.random.default_rng(0)
+    xyz = np.concatenate([rng.uniform(-300, 300, (3000, 3)), rng.normal(0, 5, (2000, 3)), [[9.0, 9.0, z] for z in range(50)]])
+    pdf = pd.DataFrame({"node_id": range(len(xyz)), "batch": 1, "path": [f"{k:05}" for k in range(len(xyz))], "position": xyz.tolist()})
+    spark.createDataFrame(pdf, "node_id bigint, batch int, path string, position array<double>").write.parquet(f"{tmp_path}/images.parquet")
+    row = estimation.refine_mesh(spark, str(tmp_path)).first()
+    assert row.conforming and row.triangles >= len(xyz) / mesh.MOST_POINTS
+    m = mesh.PointMesh(np.array([[-400, -400, 0], [400, -400, 0], [-400, 400, 0], [400, 400, 0.0]]), np.array([[0, 1, 3], [0, 3, 2]]), xyz)
+    m.refine_crowded()
+    sizes = {i: max(np.linalg.norm(m.xyz[t[k]][:2] - m.xyz[t[k - 1]][:2]) for k in range(3)) for i, t in m.triangles.items()}
+    left = [i for i in m.triangles if len(m.held[i]) > mesh.MOST_POINTS]
+    assert left and all(sizes[i] < mesh.LEAST_SIZE for i in left)  # the fifty at one place
+    assert sorted(np.concatenate(list(m.held.values()))) == list(range(len(xyz))) and set(m.held) == set(m.triangles)
+    corners = [(i, *(float(v) for k in t for v in m.xyz[k])) for i, t in m.triangles.items()]
+    corners = spark.createDataFrame(corners, "t int, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+    counts = {r.t: r for r in mesh.triangle_counts(spark.createDataFrame([tuple(map(float, p)) for p in xyz[:5000]], "x double, y double, z double"), corners, 20.0).collect()}
+    for i in list(m.triangles)[:40]:
+        own = m.held[i][m.held[i] < 5000]
+        assert len(own) == (counts[i].n if i in counts else 0)
+        if len(own) == len(m.held[i]) > 1:
+            assert m.variance(i) == pytest.approx(counts[i].variance, rel=1e-9)
