@@ -32,6 +32,12 @@ def _values() -> dict:
     return {r.name: F.col("capture_info")[r.name] for r in READINGS}
 
 
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    """The whole method: limits, spikes and stuck values, and fences by the hour of capture."""
+    fences = p5_fences(spark, d).select("node_id", "field", F.lit("fence").alias("reason"))
+    return p5_reasons(spark, d).unionByName(fences)
+
+
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     out = readings.implausible(read(spark, d, "images"), "node_id", "batch", "path", READINGS, _values())
     return out.select(F.col("key").alias("node_id"), "field", "reason")
@@ -42,7 +48,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_fences(spark: SparkSession, d: str) -> DataFrame:
-    out = readings.hourly_fences(read(spark, d, "images"), "node_id", "batch", F.hour("ingested_at"), READINGS, _values())
+    """Readings outside the fences of their batch in the same hour of capture (UTC; images without an instant are a context of their own)."""
+    hour = F.pmod(F.floor(F.col("utc_micros") / 3_600_000_000), F.lit(24)).cast("int")
+    rows = read(spark, d, "images").join(p3_found(spark, d), "node_id", "left")
+    out = readings.hourly_fences(rows, "node_id", "batch", hour, READINGS, _values())
     return out.withColumnsRenamed({"key": "node_id", "source": "batch"})
 
 
@@ -67,7 +76,7 @@ def p7_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_masks, p5_found, p5_reasons, p5_fences, p6_found, p7_found, p7_objects)}
+    return {f.__name__: f for f in (p3_found, p3_masks, p5_method, p5_found, p5_reasons, p5_fences, p6_found, p7_found, p7_objects)}
 
 
 _P6 = """WITH p AS (SELECT DISTINCT node_id, capture_info.latitude AS la, capture_info.longitude AS lo, capture_info.altitude AS z FROM images

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,22 @@ def test_fences(spark, spread, n):
     rows = [(i, "s", float(i % 5)) for i in range(50)] + [(99, "s", 500.0)]
     df = spark.createDataFrame(rows, "id bigint, src string, alt double")
     assert r.hourly_fences(df, "id", "src", F.lit(3), FIELDS[:1], {"alt": F.col("alt")}, spread).count() == n
+
+
+def test_fences_go_by_the_hour_of_capture(spark, tmp_path):
+    """Low flights in the morning, high ones in the evening, all delivered in the same hour; two readings are of the other flight's height."""
+    from terraloom.plans import training_core
+
+    rows = []
+    for k in range(80):
+        high = k >= 40
+        altitude = 100.0 + k % 3 + (400 if high != (k in (10, 50)) else 0)
+        text = f"2024-05-01 {20 if high else 8}:{k % 40:02d}:00".replace(" 8", " 08")
+        rows.append((k, 1, f"{k:03d}", 1, dt.datetime(2024, 5, 2, 3), (altitude, float(k % 7), 1.0 + k % 5 / 10, text, None)))
+    info = "capture_info struct<altitude: double, yaw: double, accuracy_xy: double, timestamp: string, datestamp: string>"
+    spark.createDataFrame(rows, f"node_id bigint, batch int, path string, site_id int, ingested_at timestamp, {info}").write.parquet(f"{tmp_path}/images.parquet")
+    spark.createDataFrame([(1, "x", "UTC", 0.0)], "site_id int, name string, tz string, ground_m double").write.parquet(f"{tmp_path}/sites.parquet")
+    fences = {(r.node_id, r.hour, r.field) for r in training_core.p5_fences(spark, str(tmp_path)).collect()}
+    assert fences == {(10, 8, "altitude"), (50, 20, "altitude")}
+    method = {(r.node_id, r.field) for r in training_core.p5_method(spark, str(tmp_path)).collect()}
+    assert {(10, "altitude"), (50, "altitude")} <= method
