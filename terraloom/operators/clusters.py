@@ -69,24 +69,80 @@ def kmeans(df: DataFrame, key: str, cols: list[str], k: int, rounds: int = 10, b
 
 
 def spectral_groups(n: int, edges: np.ndarray, weights: np.ndarray, k: int, places: np.ndarray, self_weight: float = 0.1, rounds: int = 10) -> np.ndarray:
-    """Cluster of each of ``n`` nodes from the first eigenvectors of the normalised Laplacian; k-means on ``places`` where a node has no
-    edge or the graph is too large for a dense solution."""
+    """Cluster of each of ``n`` nodes, numbered from the largest. Each component of linked nodes is clustered by itself from the first
+    eigenvectors of its normalised Laplacian, nodes without a link together by ``places``. Of ``k`` clusters each of these parts has one,
+    the others go to the part with the most nodes for each of its clusters; with more parts than ``k`` there are as many clusters as parts."""
     if k <= 1 or n <= k:
         return np.zeros(n, int) if k <= 1 else np.arange(n)
-    linked = np.zeros(n, bool)
-    if len(edges):
-        linked[edges.ravel()] = True
-    if not linked.all() or n > MOST_DENSE:
-        return _small_kmeans(places, k, rounds)
+    edges, weights = np.asarray(edges, int).reshape(-1, 2), np.asarray(weights, float)
+    other = edges[:, 0] != edges[:, 1]
+    edges, weights = edges[other], weights[other]
+    found = connected(n, edges)
+    parts = [p for p in found if len(p) > 1]
+    alone = [p for p in found if len(p) == 1]
+    if alone:
+        parts.append(np.concatenate(alone))
+    share = np.ones(len(parts), int)
+    for _ in range(k - len(parts)):
+        share[np.argmax([len(p) / s for p, s in zip(parts, share)])] += 1
+    at, of = np.zeros(n, int), np.empty(n, int)
+    for c, p in enumerate(parts):
+        of[p], at[p] = c, np.arange(len(p))
+    clusters, first = np.zeros(n, int), 0
+    for c, (p, s) in enumerate(zip(parts, share)):
+        if s > 1 and alone and c == len(parts) - 1:
+            clusters[p] = first + _small_kmeans(places[p], int(s), rounds)
+        elif s > 1:
+            own = of[edges[:, 0]] == c
+            v = _eigenvectors(len(p), at[edges[own]], weights[own], int(s), self_weight)
+            clusters[p] = first + _small_kmeans(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), int(s), rounds)
+        else:
+            clusters[p] = first
+        first += s
+    return _by_size(clusters, first)
+
+
+def _eigenvectors(n: int, edges: np.ndarray, weights: np.ndarray, k: int, self_weight: float) -> np.ndarray:
+    """(n, k): first eigenvectors of the normalised Laplacian; by Lanczos steps on the links where a dense matrix would be too large."""
+    i, j = edges.T
+    root = 1 / np.sqrt(self_weight + np.bincount(i, weights, n) + np.bincount(j, weights, n))
+    if n > MOST_DENSE:
+        w = weights * root[i] * root[j]
+        return _leading(lambda x: self_weight * root * root * x + np.bincount(i, w * x[j], n) + np.bincount(j, w * x[i], n), n, k)
     a = np.eye(n) * self_weight
-    for (i, j), w in zip(edges, weights):
-        if i != j:
-            a[i, j] += w
-            a[j, i] += w
-    root = 1 / np.sqrt(a.sum(1))
-    _, vectors = np.linalg.eigh(np.eye(n) - root[:, None] * a * root)
-    v = vectors[:, :k]
-    return _small_kmeans(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), k, rounds)
+    np.add.at(a, (i, j), weights)
+    np.add.at(a, (j, i), weights)
+    return np.linalg.eigh(np.eye(n) - root[:, None] * a * root)[1][:, :k]
+
+
+def _leading(times, n: int, k: int, tolerance: float = 1e-8, every: int = 50) -> np.ndarray:
+    """(n, k): eigenvectors of the greatest eigenvalues of a symmetric matrix given by its product ``times``, by Lanczos steps that go on
+    until their residuals are within ``tolerance``."""
+    rng = np.random.default_rng(0)
+    q, diagonal, beside = np.empty((0, n)), [], []
+    x = rng.normal(size=n)
+    x /= np.linalg.norm(x)
+    while True:
+        if len(q) == len(diagonal):
+            q = np.concatenate([q, np.empty((every, n))])
+        m = len(diagonal)
+        q[m] = x
+        y = times(x)
+        diagonal.append(float(x @ y))
+        for _ in range(2):
+            y -= q[: m + 1].T @ (q[: m + 1] @ y)
+        size = float(np.linalg.norm(y))
+        last = m + 1 == n
+        if last or (m + 1) % every == 0 and m + 1 > k:
+            values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+            if last or size * np.abs(vectors[-1, -k:]).max() <= tolerance and size > 1e-10:
+                return q[: m + 1].T @ vectors[:, ::-1][:, :k]
+        if size <= 1e-10:  # all of one invariant subspace: go on beside it
+            y, size = rng.normal(size=n), 0.0
+            for _ in range(2):
+                y -= q[: m + 1].T @ (q[: m + 1] @ y)
+        beside.append(size)
+        x = y / np.linalg.norm(y)
 
 
 def connected(n: int, edges: np.ndarray) -> list[np.ndarray]:
@@ -133,6 +189,10 @@ def _small_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     for _ in range(rounds):
         at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
         c = np.array([x[at == i].mean(0) if (at == i).any() else c[i] for i in range(k)])
+    return _by_size(at, k)
+
+
+def _by_size(at: np.ndarray, k: int) -> np.ndarray:
     order = np.argsort(-np.bincount(at, minlength=k), kind="stable")
     rank = np.empty(k, int)
     rank[order] = np.arange(k)

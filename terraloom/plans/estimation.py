@@ -52,23 +52,15 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def spectral_groups(spark: SparkSession, d: str) -> DataFrame:
     """Images of each batch cut into groups along its links."""
-    p = positions(spark, d)
-    ends = p.select("node_id", "batch")
-    e = links(spark, d).join(ends.select(F.col("node_id").alias("src"), "batch"), "src").select("batch", F.struct("src", "dst").alias("e"))
-    e = e.groupBy("batch").agg(F.collect_set("e").alias("edges"))
-    rows = p.join(e, "batch", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("path")
-        at = {n: k for k, n in enumerate(pdf["node_id"])}
-        raw = pdf["edges"].iloc[0]
-        pairs = [(at[x["src"]], at[x["dst"]]) for x in (raw if raw is not None else []) if x["src"] in at and x["dst"] in at]
-        edges = np.array(sorted(pairs), int).reshape(-1, 2)
+        edges = _edges(pdf["node_id"], e)
         k = clusters.group_count(len(pdf) * 2, False)
         g = clusters.spectral_groups(len(pdf), edges, np.ones(len(edges)), k, pdf[["x", "y"]].to_numpy(float))
         return pd.DataFrame({"node_id": pdf["node_id"], "batch": pdf["batch"], "cluster": g})
 
-    return rows.groupBy("batch").applyInPandas(run, "node_id bigint, batch int, cluster int")
+    return positions(spark, d).groupBy("batch").cogroup(_batch_links(spark, d).groupBy("batch")).applyInPandas(run, "node_id bigint, batch int, cluster int")
 
 
 def refine_mesh(spark: SparkSession, d: str) -> DataFrame:

@@ -174,6 +174,25 @@ def test_two_cliques():
     assert len(set(g[:8])) == 1 and len(set(g[8:])) == 1 and g[0] != g[8]
 
 
+def test_components_are_clustered_by_themselves(monkeypatch):
+    """Two cliques hung together by one link, a small clique and two nodes without links; places tell nothing of the cliques."""
+    edges = np.array([(b + i, b + j) for b, n in ((0, 8), (8, 8), (16, 4)) for i in range(n) for j in range(i)] + [(0, 8)])
+    places = np.random.default_rng(0).normal(0, 1, (22, 2))
+    want = [set(range(8)), set(range(8, 16)), set(range(16, 20)), {20, 21}]
+    for most in (4096, 4):
+        monkeypatch.setattr(clusters, "MOST_DENSE", most)
+        g = clusters.spectral_groups(22, edges, np.ones(len(edges)), 4, places)
+        assert sorted(map(sorted, ({int(i) for i in np.flatnonzero(g == c)} for c in set(g)))) == sorted(map(sorted, want))
+
+
+def test_lanczos_finds_the_dense_eigenvectors(monkeypatch):
+    edges = np.column_stack([np.arange(299), np.arange(1, 300)])
+    dense = clusters._eigenvectors(300, edges, np.ones(299), 3, 0.1)
+    monkeypatch.setattr(clusters, "MOST_DENSE", 10)
+    sparse = clusters._eigenvectors(300, edges, np.ones(299), 3, 0.1)
+    assert np.abs(np.abs((dense * sparse).sum(0)) - 1).max() < 1e-6
+
+
 def flat():
     return mesh.Mesh(np.array([[-50, -50, 0], [50, -50, 0], [-50, 50, 0], [50, 50, 0.0]]), np.array([[0, 1, 3], [0, 3, 2]]))
 
