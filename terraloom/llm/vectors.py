@@ -145,6 +145,13 @@ class Index:
     bound: float
 
 
+def codebook_rows(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a sorted sample of ``n`` that fit the codebooks, and as many others that fit the bound, each even over the whole order. A
+    sample too small for both is halved between them; a single row fits both."""
+    both = np.unique(np.linspace(0, n - 1, min(n, 2 * CODEBOOK_ROWS)).round().astype(np.int64))
+    return both[::2], both[1::2] if n > 1 else both
+
+
 def _fit(groups: DataFrame, max_bits: int) -> Index:
     n = groups.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
@@ -155,9 +162,9 @@ def _fit(groups: DataFrame, max_bits: int) -> Index:
     cells = 1
     while cells * cells < 4 * n and cells < MAX_CELLS:
         cells *= 2
-    part = v[:: max(1, len(v) // CODEBOOK_ROWS)][:CODEBOOK_ROWS]
-    books = fit_books(part)
-    return Index(fit_cells(v, min(cells, max(1, len(v) // 8))), books, fit_bound(part, books, max_bits))
+    part, others = codebook_rows(len(v))
+    books = fit_books(v[part])
+    return Index(fit_cells(v, min(cells, max(1, len(v) // 8))), books, fit_bound(v[others], books, max_bits))
 
 
 def valid_vectors(df: DataFrame, node: str, idx: str, vector: str) -> DataFrame:

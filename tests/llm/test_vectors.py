@@ -90,3 +90,11 @@ def test_anisotropic_loss_is_lower_with_its_own_codes():
 def test_tiny(spark, n):
     rows = collection(0, 0, 2)[:n]
     assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5_000, 8_192, 16_385, 23_067, 65_000, 65_536])
+def test_codebook_rows_cover_the_whole_sample(n):
+    part, others = v.codebook_rows(n)
+    assert part[0] == 0 and max(part[-1], others[-1]) == n - 1 and len(part) <= v.CODEBOOK_ROWS
+    assert n == 1 or not set(part) & set(others)
+    assert max(np.diff(part), default=0) <= 2 * -(-n // min(n, 2 * v.CODEBOOK_ROWS)) + 1
