@@ -81,7 +81,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every text, its distance from prose and each statistic's part of it."""
-    return quality.outlierness(read(spark, d, "documents"), "doc_id", "text").drop("prose", "item", "row", "noise")
+    return quality.outlierness(read(spark, d, "documents"), "doc_id", "text")
 
 
 def queries() -> dict:
