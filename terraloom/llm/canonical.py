@@ -1,12 +1,13 @@
 """Free-entered values to the entries of a reference list.
 
-Different values are taken once. Their words are normalised, looked up in an inverted index of character n-grams over the words of the
-list (and the openings of these words, for abbreviations), scored by weighted cosine, and accepted above a threshold, with all words
-within a margin of the best kept as alternatives. An entry answers a value if it holds an alternative for every accepted word, and the
-same model number and suffixes; the value is mapped if one entry is left.
-
-Defined results: null, blank and filler values map to nothing (-1); repeated rows of a key count once; an empty reference list maps
-nothing.
+Different values are taken once and normalised. Their words are looked up in an inverted index of character n-grams over the words of the
+list (and the openings of these words, for abbreviations) and scored by cosine, every n-gram weighted by its rarity. An entry's score for
+a value is the weighted cosine over its fields: the best of its make, of its family and of its lens, and the number. A value is mapped to
+the best entry if its score reaches the threshold and is ahead of the second by the margin; entries of another model number, suffix or
+lens than the value names are left out by an exact check before.
+
+Defined results: null and blank values map to nothing (-1), as do those without a number whose family isn't named surely; repeated rows of
+a key count once; an empty reference list maps nothing.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from pyspark.sql import functions as F
 
 from terraloom.runtime import broadcast_if_small, materialise
 
-THRESHOLD, MARGIN = 0.5, 0.06
-SURE = 0.7  # of a family named without a number
+THRESHOLD, MARGIN = 0.37, 0.01
+SURE = 0.6  # least cosine of a family named without a number
+LEAST_COSINE = 0.05  # of a word with a word of the list; less says nothing
 SHORTEST_OPENING = 3
 # Suffixes that make another model.
 SUFFIXES = ["pro", "rtk", "ii"]
-# Words people add that name nothing.
-FILLERS = ["gmbh", "inc", "corp", "ltd", "co", "ag", "llc", "new", "old", "no", "nr", "camera", "cameras", "cam", "drone", "body", "unit", "kit", "lens", "std", "standard", "fixed", "built", "in", "builtin", "none", "unknown", "na", "the", "and", "mm", "mk", "one", "from", "shed", "nd", "st", "rd", "th"]
 _ORDINAL = re.compile(r"\b\d+(?:st|nd|rd|th)\b")
 _LOOKS = str.maketrans("oil", "011")
 
@@ -83,7 +83,7 @@ def _glued(token: str) -> tuple[str, str, str]:
 def _split(text: str) -> tuple[list[str], list[str], list[str]]:
     """Words, numbers and suffixes of a make or model text; look-alikes in numbers become digits."""
     words, numbers, suffixes = [], [], []
-    text = _ORDINAL.sub(" ", re.sub(r"\((?:new|old|\d\w* unit|\w+ unit)\)", " ", text))
+    text = _ORDINAL.sub(" ", re.sub(r"\([^()]*\)", " ", text))
     for token in re.findall(r"[^\W_]+", text):
         if token in SUFFIXES:
             suffixes.append(token)
@@ -117,8 +117,8 @@ def read_value(make: str | None, model: str | None, lens: str | None) -> Value:
             model, lens = f"{lens} {model[: m.start()]} {model[m.end() :]}", m[0]
     words, numbers, suffixes = _split(f"{make} {model}")
     focal, aperture, rest = _lens(lens)
-    lens_words = [w for w in re.findall(r"[^\W\d_]+", rest) if w not in FILLERS and len(w) > 2]
-    keep = [w for w in dict.fromkeys(words) if w not in FILLERS and len(w) > 1]
+    lens_words = [w for w in re.findall(r"[^\W\d_]+", rest) if len(w) > 2]
+    keep = [w for w in dict.fromkeys(words) if len(w) > 1]
     return Value(keep, list(dict.fromkeys(lens_words)), " ".join(sorted(set(numbers))), " ".join(sorted(set(suffixes))), focal, aperture, typed_make)
 
 
@@ -139,74 +139,72 @@ def _read(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def grams(word) -> F.Column:
-    """Padded character 2- and 3-grams of a word, each once."""
+    """Padded character 2-grams of a word and those that skip a character, each once: a slip of the pen breaks few of them."""
     padded = F.concat(F.lit("^"), word, F.lit("$"))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: padded.substr(i, F.lit(n)))
-    return F.array_distinct(F.concat(of(2), of(3)))
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.length(padded) - n, F.lit(1)))
+    near = F.transform(places(1), lambda i: padded.substr(i, F.lit(2)))
+    apart = F.transform(places(2), lambda i: F.concat(padded.substr(i, F.lit(1)), F.lit("_"), padded.substr(i + 2, F.lit(1))))
+    return F.array_distinct(F.concat(near, apart))
 
 
-def match_words(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """(word, entry_word, score): for each word the vocabulary words above the threshold and within the margin of the best.
+def match_words(words: DataFrame, vocabulary: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """(word, entry_word, cosine): for each word the vocabulary words with which its weighted cosine is at least ``least``.
 
     ``vocabulary`` is indexed with its openings: an abbreviation meets the opening of its length. Grams count by rarity in the index."""
     openings = F.transform(F.sequence(F.lit(SHORTEST_OPENING), F.greatest(F.length("entry_word"), F.lit(SHORTEST_OPENING))), lambda n: F.substring("entry_word", F.lit(1), n))
     alias = vocabulary.select("entry_word", F.explode(F.array_distinct(openings)).alias("alias"))
-    posting = alias.select("entry_word", "alias", F.explode(grams(F.col("alias"))).alias("gram"))
+    posting = materialise(alias.select("entry_word", "alias", F.explode(grams(F.col("alias"))).alias("gram")))
     n = alias.count()
-    weight = posting.groupBy("gram").agg(F.log1p(F.lit(float(max(n, 1))) / F.count("*")).alias("w"))
-    posting = posting.join(weight, "gram")
+    weight = materialise(posting.groupBy("gram").agg(F.log1p(F.lit(float(max(n, 1))) / F.count("*")).alias("w")))
+    posting = posting.join(broadcast_if_small(weight), "gram")
     norm = posting.groupBy("entry_word", "alias").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = materialise(posting.join(norm, ["entry_word", "alias"]))
+    index = materialise(posting.join(broadcast_if_small(norm), ["entry_word", "alias"]).select("gram", "entry_word", "alias", "norm"))
     unseen = F.lit(math.log1p(max(n, 1)))
     asked = words.select("word", F.explode(grams(F.col("word"))).alias("gram"))
-    asked = asked.join(broadcast_if_small(weight), "gram", "left").withColumn("w", F.coalesce("w", unseen))
+    asked = materialise(asked.join(broadcast_if_small(weight), "gram", "left").withColumn("w", F.coalesce("w", unseen)))
     own = asked.groupBy("word").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
-    dots = asked.join(broadcast_if_small(index.select("gram", "entry_word", "alias", "norm")), "gram").groupBy("word", "entry_word", "alias", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    cosine = dots.join(own, "word").select("word", "entry_word", "alias", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("cosine"))
-    # Misspellings break many grams of a short word: candidates are scored by their edits too, openings only as typed.
-    whole = F.col("alias") == F.col("entry_word")
-    length = F.greatest(F.length("word"), F.length("alias"))
-    edits = F.lit(1.0) - F.levenshtein("word", "alias") / length
-    score = F.when(whole, F.greatest(F.col("cosine"), edits)).when(F.levenshtein("word", "alias") <= F.when(F.length("alias") > 5, 1).otherwise(0), edits * 0.97).otherwise(F.lit(0.0))
-    best = cosine.withColumn("score", score).groupBy("word", "entry_word").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
-    top = F.max("score").over(Window.partitionBy("word"))
-    return best.withColumn("top", top).filter(F.col("score") >= F.col("top") - margin).drop("top")
+    dots = asked.join(broadcast_if_small(index), "gram").groupBy("word", "entry_word", "alias", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    cosine = dots.join(own, "word").select("word", "entry_word", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("cosine"))
+    return cosine.groupBy("word", "entry_word").agg(F.max("cosine").alias("cosine")).filter(F.col("cosine") >= least)
+
+
+def _scored(typed: DataFrame, entries: DataFrame) -> DataFrame:
+    """(value_id, entry, score) of the entries of each value that pass the exact check."""
+    part = lambda c, name: F.transform(c, lambda w: F.struct(w.alias("w"), F.lit(name).alias("field")))
+    family = F.filter("words", lambda w: ~F.array_contains("make_words", w))
+    listed = F.explode(F.concat(part(F.col("make_words"), "make"), part(family, "family"), part(F.col("lens_words"), "lens"))).alias("x")
+    vocab = entries.select("entry", listed).select("entry", F.col("x.w").alias("entry_word"), F.col("x.field").alias("field")).filter(F.length("entry_word") > 1).distinct()
+    said = typed.select("value_id", F.explode(F.concat(part(F.col("words"), "body"), part(F.col("lens_words"), "lens"))).alias("x")).select("value_id", F.col("x.w").alias("word"), (F.col("x.field") == "lens").alias("of_lens"))
+    hits = materialise(match_words(said.select("word").distinct(), vocab.select("entry_word").distinct()))
+    e = entries.select("entry", F.col("number").alias("e_number"), F.col("suffixes").alias("e_suffixes"), F.col("focal").alias("e_focal"), F.col("aperture").alias("e_aperture"), (F.size("lens_words") > 0).alias("e_lens"))
+    listed = materialise(vocab.join(broadcast_if_small(e), "entry"))
+    v = materialise(said.join(typed.select("value_id", "number", "suffixes", "focal", "aperture"), "value_id"))
+    # The number and the suffixes are part of the key wherever a number is named, so a word that all entries hold meets only those in question.
+    body = v.filter("not of_lens").join(broadcast_if_small(hits), "word")
+    numbered = body.filter("number <> ''").join(broadcast_if_small(listed.filter("field <> 'lens'")), (body["entry_word"] == listed["entry_word"]) & (body["number"] == F.col("e_number")) & (body["suffixes"] == F.col("e_suffixes")))
+    sure = body.filter("number = ''").join(broadcast_if_small(listed.filter("field = 'family'").select("entry_word").distinct()), "entry_word", "left_semi").filter(F.col("cosine") >= SURE).select("value_id").distinct()
+    bare = body.filter("number = ''").join(sure, "value_id", "left_semi")
+    bare = bare.join(broadcast_if_small(listed.filter("field <> 'lens'")), (bare["entry_word"] == listed["entry_word"]) & (bare["suffixes"] == F.col("e_suffixes")))
+    best = lambda f: F.max(F.when(F.col("field") == f, F.col("cosine")).otherwise(F.lit(0.0))).alias(f)
+    pick = ["value_id", "number", "focal", "aperture", "entry", "e_lens", "e_focal", "e_aperture", "field", "cosine"]
+    pairs = numbered.select(*pick).unionByName(bare.select(*pick)).filter("not e_lens or ((focal < 0 or focal = e_focal) and (aperture < 0 or aperture = e_aperture))")
+    pairs = pairs.groupBy("value_id", "number", "entry").agg(best("make"), best("family")).filter((F.col("number") != "") | (F.col("family") >= SURE))
+    glass = v.filter("of_lens").join(broadcast_if_small(hits), "word").select("value_id", "entry_word", "cosine")
+    glass = glass.join(broadcast_if_small(vocab.filter("field = 'lens'")), "entry_word").groupBy("value_id", "entry").agg(F.max("cosine").alias("lens"))
+    score = F.when(F.col("number") != "", (1.0 + F.col("make") + F.col("family")) / 3).otherwise((F.col("make") + F.col("family")) / 2)
+    return pairs.join(glass, ["value_id", "entry"], "left").select("value_id", "entry", (score + F.coalesce("lens", F.lit(0.0)) / 3).alias("score"))
 
 
 def map_values(df: DataFrame, key: str, reference: DataFrame, ref_key: str, fields: list[str]) -> DataFrame:
-    """(key, ref_key, candidates): the entry meant by each key's value, -1 where none or several are left (``candidates`` tells how many)."""
+    """(key, ref_key, candidates, fields…): the entry meant by each key's value, -1 where none reaches the threshold or several are within the margin (``candidates`` tells how many)."""
     one = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))).alias("v"))
     one = one.select(key, *(F.col(f"v.{f}").alias(f) for f in fields))
-    typed = one.select(*fields).distinct()
-    typed = materialise(_read(typed.withColumn("value_id", F.monotonically_increasing_id()), fields))
+    typed = materialise(_read(one.select(*fields).distinct(), fields).withColumn("value_id", F.monotonically_increasing_id()))
     entries = reference.filter(F.col(ref_key).isNotNull()).groupBy(F.col(ref_key).alias("entry")).agg(F.min(F.struct(*(F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields))).alias("v"))
     entries = materialise(_read(entries.select("entry", *(F.col(f"v.{f}").alias(f) for f in fields)), fields))
-    body_words = F.transform(F.array_union("words", "make_words"), lambda w: F.struct(w.alias("w"), (~F.array_contains("make_words", w)).alias("f")))
-    body_vocab = entries.select("entry", F.explode(body_words).alias("x")).select("entry", F.col("x.w").alias("entry_word"), F.col("x.f").alias("family")).filter(F.length("entry_word") > 1).distinct()
-    lens_vocab = entries.select("entry", F.explode("lens_words").alias("entry_word"), F.lit(False).alias("family")).distinct()
-
-    def resolve(column: str, vocab: DataFrame) -> DataFrame:
-        said = typed.select("value_id", F.explode(column).alias("word"))
-        hits = match_words(said.select("word").distinct(), vocab.select("entry_word").distinct())
-        found = said.join(hits, "word").join(vocab, "entry_word")
-        return found.groupBy("value_id", "word", "entry").agg(F.max("score").alias("score"), F.max(F.when(F.col("family"), F.col("score")).otherwise(F.lit(0.0))).alias("family"))
-
-    body, glass = materialise(resolve("words", body_vocab)), materialise(resolve("lens_words", lens_vocab))
-    needed = body.groupBy("value_id").agg(F.countDistinct("word").alias("needed"))
-    hits = body.groupBy("value_id", "entry").agg(F.countDistinct("word").alias("held"), F.max("family").alias("family"))
-    hits = hits.join(needed, "value_id").filter("held = needed")
-    e = entries.select("entry", F.col("number").alias("e_number"), F.col("suffixes").alias("e_suffixes"), F.col("focal").alias("e_focal"), F.col("aperture").alias("e_aperture"), (F.size("lens_words") > 0).alias("e_lens"))
-    v = typed.select("value_id", "number", "suffixes", "focal", "aperture", F.size("words").alias("said"))
-    fits = hits.join(v, "value_id").join(broadcast_if_small(e), "entry")
-    fits = fits.filter("(number = '' or number = e_number) and suffixes = e_suffixes")
-    # A make or lens alone names none: a family must be named, or the make with a number and no word that stays unknown.
-    fits = fits.filter(f"(family > 0 and (number <> '' or family >= {SURE})) or (number <> '' and needed = said)")
-    fits = fits.filter("not e_lens or ((focal < 0 or focal = e_focal) and (aperture < 0 or aperture = e_aperture))")
-    lens_needed = glass.groupBy("value_id").agg(F.countDistinct("word").alias("l_needed"))
-    lens_hits = glass.groupBy("value_id", "entry").agg(F.countDistinct("word").alias("l_held"))
-    fits = fits.join(lens_needed, "value_id", "left").join(lens_hits, ["value_id", "entry"], "left")
-    fits = fits.filter("not e_lens or l_needed is null or coalesce(l_held, 0) = l_needed")
-    left = fits.groupBy("value_id").agg(F.count("*").alias("candidates"), F.min("entry").alias("entry"))
+    scored = _scored(typed, entries).filter(F.col("score") >= THRESHOLD)
+    top = F.max("score").over(Window.partitionBy("value_id"))
+    left = scored.withColumn("top", top).filter(F.col("score") > F.col("top") - MARGIN).groupBy("value_id").agg(F.count("*").alias("candidates"), F.min("entry").alias("entry"))
     resolved = typed.select("value_id", *fields).join(left, "value_id", "left")
     resolved = resolved.select(*fields, F.when(F.col("candidates") == 1, F.col("entry")).otherwise(F.lit(-1)).alias(ref_key), F.coalesce("candidates", F.lit(0)).alias("candidates"))
     return one.join(resolved, fields).select(key, ref_key, "candidates", *fields)
