@@ -35,17 +35,18 @@ def shared_models(df: DataFrame, info: list[str], key: str) -> DataFrame:
 
 
 def calibrated(width: Column, height: Column, db_width: Column, db_height: Column, offset_x: Column, offset_y: Column, focal: Column, db_focal: Column) -> tuple[Column, Column, Column]:
-    """(principal point x, y, focal): the list's offset, scaled where the image has another size; its focal only where the image has none."""
+    """(principal point x, y, focal): the list's offset, scaled where the image has another size; its focal, as listed, only where the image has none."""
     scale = F.when((width == db_width) & (height == db_height), F.lit(1.0)).otherwise(width / db_width)
-    use = F.when(focal.isNotNull() & ~F.isnan(focal) & (focal > 0), focal).otherwise(db_focal * scale)
+    use = F.when(focal.isNotNull() & ~F.isnan(focal) & (focal > 0), focal).otherwise(F.coalesce(F.when(~F.isnan(db_focal), db_focal), focal))
     return width / 2 + offset_x * scale, height / 2 + offset_y * scale, use
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Rows of either side by ``keys`` (null equals null); where both have a row, values of ``new`` hold unless null."""
+    """Rows of either side by ``keys`` (null equals null); where both have a row, the values of ``new`` hold, null or not."""
     n = new.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(v).alias(f"_{v}") for v in values), F.lit(True).alias("_new"))
     on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
     o = old.select(*keys, *values).withColumn("_old", F.lit(True))
     both = o.join(n, on, "full")
     pick = lambda k: F.when(F.col("_old").isNotNull(), F.col(k)).otherwise(F.col(f"_{k}")).alias(k)
-    return both.select(*map(pick, keys), *(F.coalesce(f"_{v}", v).alias(v) for v in values))
+    take = lambda v: F.when(F.col("_new").isNotNull(), F.col(f"_{v}")).otherwise(F.col(v)).alias(v)
+    return both.select(*map(pick, keys), *map(take, values))

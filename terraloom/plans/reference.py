@@ -206,7 +206,7 @@ def tile_cameras(spark: SparkSession, d: str) -> DataFrame:
 _TIER = "CASE WHEN lower(c.make) = lower(e.make) AND lower(c.model) = lower(e.model) AND lower(c.lens_model) = lower(e.lens_model) AND c.w = e.sensor_width_px AND c.h = e.sensor_height_px THEN 1 WHEN c.w = e.sensor_width_px AND c.h = e.sensor_height_px THEN 2 ELSE 3 END"
 _LOOKUP_SQL = f"""
   WITH c AS (SELECT node_id, camera_info.make AS make, camera_info.model AS model, camera_info.lens_model AS lens_model, camera_info.width_px AS w, camera_info.height_px AS h, camera_info.focal_px AS f FROM {IM}),
-  hit AS (SELECT c.*, e.ord, e.sensor_width_px AS ew, e.sensor_height_px AS eh, e.pp_offset, e.focal, CASE WHEN e.ord IS NULL THEN NULL ELSE {_TIER} END AS tier
+  hit AS (SELECT c.*, e.ord, e.sensor_width_px AS ew, e.sensor_height_px AS eh, e.pp_offset, e.radial, e.tangential, e.focal, CASE WHEN e.ord IS NULL THEN NULL ELSE {_TIER} END AS tier
     FROM c LEFT JOIN camera_db e ON lower(c.make) = lower(e.make) AND lower(c.model) = lower(e.model)),
   best AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY tier NULLS LAST, ord) AS k FROM hit)"""
 
@@ -216,7 +216,7 @@ def _looked_up(spark: SparkSession, d: str) -> DataFrame:
     info = images(spark, d, c["make"].alias("make"), c["model"].alias("model"), c["lens_model"].alias("lens_model"), c["width_px"].alias("sensor_width_px"), c["height_px"].alias("sensor_height_px"), c["focal_px"].alias("f"))
     tiers = [["make", "model", "lens_model", "sensor_width_px", "sensor_height_px"], ["make", "model", "sensor_width_px", "sensor_height_px"], ["make", "model"]]
     db = read(spark, d, "camera_db").select("*", F.col("sensor_width_px").alias("ew"), F.col("sensor_height_px").alias("eh"), F.col("ord").alias("entry"))
-    return lookup.tiered_lookup(info, "node_id", db, "ord", tiers, ["entry", "ew", "eh", "pp_offset", "focal"])
+    return lookup.tiered_lookup(info, "node_id", db, "ord", tiers, ["entry", "ew", "eh", "pp_offset", "radial", "tangential", "focal"])
 
 
 @query(_LOOKUP_SQL + " SELECT node_id, tier, ord FROM best WHERE k = 1")
@@ -227,13 +227,16 @@ def tiered_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _LOOKUP_SQL
     + """, s AS (SELECT *, CASE WHEN w = ew AND h = eh THEN 1.0 ELSE CAST(w AS DOUBLE) / ew END AS scale FROM best WHERE k = 1 AND ord IS NOT NULL)
-  SELECT node_id, round(w / 2.0 + pp_offset[1] * scale, 4) AS ppx, round(h / 2.0 + pp_offset[2] * scale, 4) AS ppy, round(CASE WHEN f IS NOT NULL AND NOT isnan(f) AND f > 0 THEN f ELSE focal * scale END, 4) AS focal FROM s"""
+  SELECT node_id, round(w / 2.0 + pp_offset[1] * scale, 4) AS ppx, round(h / 2.0 + pp_offset[2] * scale, 4) AS ppy, round(CASE WHEN f IS NOT NULL AND NOT isnan(f) AND f > 0 THEN f ELSE coalesce(focal, f) END, 4) AS focal,
+    coalesce(radial[1], 0) AS k1, coalesce(radial[2], 0) AS k2, coalesce(radial[3], 0) AS k3, coalesce(tangential[1], 0) AS t1, coalesce(tangential[2], 0) AS t2 FROM s"""
 )
 def apply_db_entry(spark: SparkSession, d: str) -> DataFrame:
-    """Calibration of the entry found."""
+    """Calibration of the entry found, with its distortion."""
     e = _looked_up(spark, d).filter("entry is not null")
     ppx, ppy, f = lookup.calibrated(F.col("sensor_width_px"), F.col("sensor_height_px"), F.col("ew"), F.col("eh"), F.col("pp_offset")[0], F.col("pp_offset")[1], F.col("f"), F.col("focal"))
-    return e.select("node_id", r(ppx, 4).alias("ppx"), r(ppy, 4).alias("ppy"), r(f, 4).alias("focal"))
+    at = lambda c, k: F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0))
+    lens = [at("radial", k).alias(f"k{k + 1}") for k in range(3)] + [at("tangential", k).alias(f"t{k + 1}") for k in range(2)]
+    return e.select("node_id", r(ppx, 4).alias("ppx"), r(ppy, 4).alias("ppy"), r(f, 4).alias("focal"), *lens)
 
 
 _INFO = ["width_px", "height_px", "focal_px", "make", "model", "serial_no", "lens_make", "lens_model"]
@@ -247,33 +250,58 @@ def model_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT make, model, lens_model, sensor_width_px, sensor_height_px, focal FROM (SELECT *, row_number() OVER (PARTITION BY make, model, lens_model, sensor_width_px, sensor_height_px ORDER BY ord) AS k FROM camera_db_raw) WHERE k = 1)
-  SELECT CASE WHEN o.ord IS NULL THEN n.make ELSE o.make END AS make, CASE WHEN o.ord IS NULL THEN n.model ELSE o.model END AS model, CASE WHEN o.ord IS NULL THEN n.lens_model ELSE o.lens_model END AS lens_model,
-    coalesce(o.sensor_width_px, n.sensor_width_px) AS sensor_width_px, coalesce(o.sensor_height_px, n.sensor_height_px) AS sensor_height_px, coalesce(n.focal, o.focal) AS focal
-  FROM camera_db o FULL JOIN n ON o.make IS NOT DISTINCT FROM n.make AND o.model IS NOT DISTINCT FROM n.model AND o.lens_model IS NOT DISTINCT FROM n.lens_model AND o.sensor_width_px IS NOT DISTINCT FROM n.sensor_width_px AND o.sensor_height_px IS NOT DISTINCT FROM n.sensor_height_px"""
+    f"""WITH i AS (SELECT DISTINCT node_id, model_id, camera_info.make AS make, camera_info.model AS model, camera_info.lens_model AS lens_model FROM images),
+  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY node_id) AS k FROM i) WHERE k = 1),
+  e AS (SELECT f.make, f.model, f.lens_model, m.pixels_cols AS w, m.pixels_rows AS h, m.radial, m.tangential, m.pp, m.focal, model_id FROM f JOIN camera_models m USING (model_id)),
+  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY make, model, lens_model, w, h ORDER BY model_id DESC) AS k FROM e) WHERE k = 1)
+  SELECT CASE WHEN n.k IS NULL THEN o.make ELSE n.make END AS make, CASE WHEN n.k IS NULL THEN o.model ELSE n.model END AS model, CASE WHEN n.k IS NULL THEN o.lens_model ELSE n.lens_model END AS lens_model,
+    coalesce(o.sensor_width_px, n.w) AS sensor_width_px, coalesce(o.sensor_height_px, n.h) AS sensor_height_px,
+    {", ".join(f"round(CASE WHEN n.k IS NULL THEN o.radial[{k}] ELSE n.radial[{k}] END, 9) AS k{k}" for k in (1, 2, 3))}, {", ".join(f"round(CASE WHEN n.k IS NULL THEN o.tangential[{k}] ELSE n.tangential[{k}] END, 9) AS t{k}" for k in (1, 2))},
+    round(CASE WHEN n.k IS NULL THEN o.pp_offset[1] ELSE n.pp[1] - n.w / 2.0 END, 6) AS offset_x, round(CASE WHEN n.k IS NULL THEN o.pp_offset[2] ELSE n.pp[2] - n.h / 2.0 END, 6) AS offset_y,
+    round(CASE WHEN n.k IS NULL THEN o.focal WHEN n.focal > 0 AND NOT isnan(n.focal) THEN n.focal END, 6) AS focal
+  FROM camera_db o FULL JOIN n ON o.make IS NOT DISTINCT FROM n.make AND o.model IS NOT DISTINCT FROM n.model AND o.lens_model IS NOT DISTINCT FROM n.lens_model AND o.sensor_width_px IS NOT DISTINCT FROM n.w AND o.sensor_height_px IS NOT DISTINCT FROM n.h"""
 )
 def camera_db_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The camera list with the first record of each camera sent in."""
+    """The camera list, overwritten with the calibration of each model in use as its first image names it; of models under one name the last by id holds."""
     keys = ["make", "model", "lens_model", "sensor_width_px", "sensor_height_px"]
-    new = read(spark, d, "camera_db_raw").groupBy(*keys).agg(F.min_by(F.struct("focal"), "ord").alias("v")).select(*keys, F.col("v.focal").alias("focal"))
-    return lookup.upsert(read(spark, d, "camera_db"), new, keys, ["focal"])
+    values = ["k1", "k2", "k3", "t1", "t2", "offset_x", "offset_y", "focal"]
+    c = F.col("camera_info")
+    used = read(spark, d, "images").groupBy("model_id").agg(F.min_by(F.struct(c["make"].alias("make"), c["model"].alias("model"), c["lens_model"].alias("lens_model")), "node_id").alias("i"))
+    m = read(spark, d, "camera_models").withColumnsRenamed({"pixels_cols": "sensor_width_px", "pixels_rows": "sensor_height_px"})
+    at = lambda name, k: F.get(F.col(name), F.lit(k))
+    lens = [at("radial", k).alias(f"k{k + 1}") for k in range(3)] + [at("tangential", k).alias(f"t{k + 1}") for k in range(2)]
+    known = F.when(~F.isnan("focal") & (F.col("focal") > 0), F.col("focal")).alias("focal")
+    e = used.join(m, "model_id").select("model_id", "i.*", *keys[3:], *lens, (at("pp", 0) - F.col(keys[3]) / 2).alias("offset_x"), (at("pp", 1) - F.col(keys[4]) / 2).alias("offset_y"), known)
+    new = e.groupBy(*keys).agg(F.max_by(F.struct(*values), "model_id").alias("v")).select(*keys, "v.*")
+    old = read(spark, d, "camera_db").select(*keys, *lens, at("pp_offset", 0).alias("offset_x"), at("pp_offset", 1).alias("offset_y"), "focal")
+    done = lookup.upsert(old, new, keys, values)
+    return done.select(*keys, *(F.round(v, 9 if v[0] in "kt" else 6).alias(v) for v in values))
+
+
+_NUM = "CASE WHEN NOT isnan({0}) THEN {0} END"
 
 
 @query(
-    f"""SELECT node_id, CASE WHEN i.focal_px > 1 THEN i.focal_px END AS focal, coalesce(c.relative_altitude, c.altitude) AS altitude, CASE WHEN c.accuracy_xy > 0 THEN c.accuracy_xy END AS accuracy_xy,
-  CASE WHEN c.accuracy_z > 0 THEN c.accuracy_z END AS accuracy_z, CASE WHEN c.latitude IS NOT NULL AND c.longitude IS NOT NULL AND nullif(c.datestamp, '') IS NOT NULL THEN concat(c.datestamp, ' ', c."timestamp") ELSE c."timestamp" END AS stamp
-  FROM (SELECT node_id, camera_info AS i, capture_info AS c FROM {IM})"""
+    f"""WITH v AS (SELECT node_id, i.focal_px AS f, {_NUM.format('c.relative_altitude')} AS rel, {_NUM.format('c.altitude')} AS alt, {_NUM.format('c.accuracy_xy')} AS axy, {_NUM.format('c.accuracy_z')} AS az,
+    c.latitude IS NOT NULL AND c.longitude IS NOT NULL AS placed, c.datestamp AS d, c."timestamp" AS t FROM (SELECT node_id, camera_info AS i, capture_info AS c FROM {IM}))
+  SELECT node_id, CASE WHEN f > 1 AND NOT isnan(f) THEN f END AS focal, coalesce(rel, alt) AS altitude, CASE WHEN placed AND axy > 0 THEN axy END AS accuracy_xy,
+    CASE WHEN rel IS NOT NULL THEN az WHEN alt IS NOT NULL AND az > 0 THEN az END AS accuracy_z, CASE WHEN placed AND nullif(d, '') IS NOT NULL THEN concat(d, ' ', t) ELSE t END AS stamp FROM v"""
 )
 def metadata_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Which of an image's readings hold."""
+    """Which of an image's readings hold. NaN is no reading; an accuracy needs what it is the accuracy of, and holds above zero only (beside a relative altitude as it is)."""
     i, c = F.col("camera_info"), F.col("capture_info")
-    used = [c[n].alias(n) for n in ("latitude", "longitude", "altitude", "relative_altitude", "accuracy_xy", "accuracy_z", "timestamp", "datestamp")]
-    v = images(spark, d, i["focal_px"].alias("focal_px"), *used)
+    number = lambda n: F.when(~F.isnan(c[n]), c[n]).alias(n)
+    used = [*(c[n].alias(n) for n in ("latitude", "longitude", "timestamp", "datestamp")), *map(number, ("altitude", "relative_altitude", "accuracy_xy", "accuracy_z"))]
+    v = images(spark, d, F.when(~F.isnan(i["focal_px"]), i["focal_px"]).alias("focal_px"), *used)
     col = F.col
-    positive = lambda n: F.when((col(n) > 0) | F.isnan(n), col(n))  # noqa: E731  NaN compares above every number in both engines
-    dated = col("latitude").isNotNull() & col("longitude").isNotNull() & (col("datestamp") != "")
-    stamp = F.when(dated, F.concat("datestamp", F.lit(" "), F.coalesce("timestamp", F.lit("")))).otherwise(col("timestamp"))
-    return v.select("node_id", F.when(col("focal_px") > 1, col("focal_px")).alias("focal"), F.coalesce("relative_altitude", "altitude").alias("altitude"), positive("accuracy_xy").alias("accuracy_xy"), positive("accuracy_z").alias("accuracy_z"), stamp.alias("stamp"))
+    placed = col("latitude").isNotNull() & col("longitude").isNotNull()
+    stamp = F.when(placed & (col("datestamp") != ""), F.concat("datestamp", F.lit(" "), F.coalesce("timestamp", F.lit("")))).otherwise(col("timestamp"))
+    positive = F.when(col("accuracy_z") > 0, col("accuracy_z"))
+    az = F.when(col("relative_altitude").isNotNull(), col("accuracy_z")).when(col("altitude").isNotNull(), positive)
+    return v.select(
+        "node_id", F.when(col("focal_px") > 1, col("focal_px")).alias("focal"), F.coalesce("relative_altitude", "altitude").alias("altitude"),
+        F.when(placed & (col("accuracy_xy") > 0), col("accuracy_xy")).alias("accuracy_xy"), az.alias("accuracy_z"), stamp.alias("stamp"),
+    )
 
 
 # --- projection and geometry ------------------------------------------------------------------------------------------------------

@@ -90,6 +90,14 @@ def test_calibration_scales_with_the_image(spark):
     x = values(spark, *lookup.calibrated(*lit(5344, 4016, 5344, 4016, 5, -3), F.lit(None).cast("double"), F.lit(4573.0)))
     assert x == pytest.approx((2677, 2005, 4573))
     assert values(spark, *lookup.calibrated(*lit(2672, 2008, 5344, 4016, 10, 10, 1000, 4573))) == pytest.approx((1341, 1009, 1000))
+    assert values(spark, *lookup.calibrated(*lit(2672, 2008, 5344, 4016, 10, 10, 0, 4573))) == pytest.approx((1341, 1009, 4573))  # as listed, at any size
+
+
+def test_upsert_overwrites_even_with_null(spark):
+    old = spark.createDataFrame([("a", None, 1.0, "x"), ("b", 2, 2.0, "x")], "make string, w int, focal double, extra string")
+    new = spark.createDataFrame([("a", None, None), ("c", 3, 3.0)], "make string, w int, focal double")
+    got = sorted((r.make, r.w, r.focal) for r in lookup.upsert(old, new, ["make", "w"], ["focal"]).collect())
+    assert got == [("a", None, None), ("b", 2, 2.0), ("c", 3, 3.0)]
 
 
 def test_camera_round_trip(spark):
