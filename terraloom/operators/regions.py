@@ -1,9 +1,10 @@
 """Points near other points or in regions: ear-clipped triangles, distributed through a bounding-volume hierarchy.
 
 A top hierarchy, split at the medians of a bounded sample of points, gives each point exactly one leaf and each triangle the leaves its
-box overlaps. Within a leaf a linear hierarchy over the triangles finds candidates, which are tested exactly. A point is in one leaf
-only, so duplicates from shared edges are dropped there. Leaves with more points than ``block_rows`` are split into blocks of points,
-each of which gets the leaf's triangles: a crowded place is no single task.
+box overlaps. Within a leaf a linear hierarchy over the triangles finds candidates, which are tested exactly. Leaves with more points or
+triangles than ``block_rows`` are split into blocks on both sides, and every pair of blocks is a task of its own: no crowded place is a
+single task, and none sees more than ``block_rows`` of either side. Shared-boundary hits are dropped where they arise, over all blocks
+where a leaf's triangles lie in several.
 
 Defined results: points or polygons with null, NaN or unusable coordinates take part in nothing; polygons of zero area contain
 nothing; a boundary counts as inside; a point in two regions gives two rows; repeated rows of a key count once.
@@ -59,26 +60,30 @@ def ear_clip(ring: np.ndarray) -> np.ndarray:
 
 
 class TopTree:
-    """Axis-aligned splits of the plane: node k has children 2k+1 and 2k+2; the leaves are numbered from left to right."""
+    """Axis-aligned splits of space: node k has children 2k+1 and 2k+2; the leaves are numbered from left to right. ``scale`` says how
+    wide the boxes that will be looked up are along each axis, so that nodes are cut where they are widest in boxes."""
 
-    def __init__(self, xy: np.ndarray, depth: int):
+    def __init__(self, at: np.ndarray, depth: int, scale: np.ndarray | None = None):
         self.depth = depth
         inner = 2**depth - 1
+        scale = np.ones(at.shape[1]) if scale is None else scale
         self.axis, self.at = np.zeros(inner, np.int8), np.zeros(inner)
-        parts = {0: xy}
+        parts = {0: at}
         for k in range(inner):
             p = parts.pop(k)
             if len(p):
-                span = p.max(0) - p.min(0)
-                self.axis[k] = axis = int(span[1] > span[0])
-                self.at[k] = np.median(p[:, axis])
+                self.axis[k] = axis = int(((p.max(0) - p.min(0)) / scale).argmax())
+                v = p[:, axis]
+                self.at[k] = np.median(v)
+                if (v >= self.at[k]).all() and v.max() > self.at[k]:  # half of them at one value: cut behind it
+                    self.at[k] = v[v > self.at[k]].min()
             right = p[:, self.axis[k]] >= self.at[k]
             parts[2 * k + 1], parts[2 * k + 2] = p[~right], p[right]
 
-    def leaf_of(self, xy: np.ndarray) -> np.ndarray:
-        k, rows = np.zeros(len(xy), np.int64), np.arange(len(xy))
+    def leaf_of(self, at: np.ndarray) -> np.ndarray:
+        k, rows = np.zeros(len(at), np.int64), np.arange(len(at))
         for _ in range(self.depth):
-            k = 2 * k + 1 + (xy[rows, self.axis[k]] >= self.at[k])
+            k = 2 * k + 1 + (at[rows, self.axis[k]] >= self.at[k])
         return k - (2**self.depth - 1)
 
     def leaves_of(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,27 +97,31 @@ class TopTree:
 
 
 class TriangleTree:
-    """Linear bounding-volume hierarchy over triangles (n, 3, 2) in Morton order."""
+    """Linear bounding-volume hierarchy over triangles (n, 3, 2) in Morton order; with ``heights`` (n, 2) each holds in that range only."""
 
-    def __init__(self, tri: np.ndarray):
+    def __init__(self, tri: np.ndarray, heights: np.ndarray | None = None):
         low, high = tri.min(1), tri.max(1)
+        if heights is not None:
+            low, high = np.column_stack([low, heights[:, 0]]), np.column_stack([high, heights[:, 1]])
+        dims = low.shape[1]
         mid = (low + high) / 2
         span = np.maximum(np.ptp(mid, axis=0), 1e-300)
         q = ((mid - mid.min(0)) / span * 65535).astype(np.uint64)
         code = np.zeros(len(tri), np.uint64)
         for b in range(16):
-            for d in range(2):
-                code |= ((q[:, d] >> np.uint64(b)) & np.uint64(1)) << np.uint64(2 * b + d)
+            for d in range(dims):
+                code |= ((q[:, d] >> np.uint64(b)) & np.uint64(1)) << np.uint64(dims * b + d)
         self.order = np.argsort(code, kind="stable")
         leaves = 1
         while leaves * _LEAF < len(tri):
             leaves *= 2
         pad = leaves * _LEAF - len(tri)
-        lo = np.concatenate([low[self.order], np.full((pad, 2), np.inf)]).reshape(leaves, _LEAF, 2).min(1)
-        hi = np.concatenate([high[self.order], np.full((pad, 2), -np.inf)]).reshape(leaves, _LEAF, 2).max(1)
+        self.low, self.high = low[self.order], high[self.order]
+        lo = np.concatenate([self.low, np.full((pad, dims), np.inf)]).reshape(leaves, _LEAF, dims).min(1)
+        hi = np.concatenate([self.high, np.full((pad, dims), -np.inf)]).reshape(leaves, _LEAF, dims).max(1)
         self.levels = [(lo, hi)]
         while len(lo) > 1:
-            lo, hi = lo.reshape(-1, 2, 2).min(1), hi.reshape(-1, 2, 2).max(1)
+            lo, hi = lo.reshape(-1, 2, dims).min(1), hi.reshape(-1, 2, dims).max(1)
             self.levels.insert(0, (lo, hi))
         self.tri = tri[self.order]
 
@@ -127,61 +136,72 @@ class TriangleTree:
         rows, t = np.repeat(rows, _LEAF), (node[:, None] * _LEAF + np.arange(_LEAF)).ravel()
         real = t < len(self.tri)
         rows, t = rows[real], t[real]
+        boxed = ((xy[rows] >= self.low[t]) & (xy[rows] <= self.high[t])).all(1)
+        rows, t = rows[boxed], t[boxed]
         p, c = xy[rows], self.tri[t]
         side = [(c[:, (k + 1) % 3, 0] - c[:, k, 0]) * (p[:, 1] - c[:, k, 1]) - (c[:, (k + 1) % 3, 1] - c[:, k, 1]) * (p[:, 0] - c[:, k, 0]) for k in range(3)]
         side = np.array(side)
-        boxed = ((p >= c.min(1)) & (p <= c.max(1))).all(1)
-        inside = boxed & ((side >= 0).all(0) | (side <= 0).all(0))
+        inside = (side >= 0).all(0) | (side <= 0).all(0)
         return rows[inside], self.order[t[inside]]
 
 
-def _top_tree(points: DataFrame, x: str, y: str, leaf_rows: int) -> TopTree:
+def _top_tree(points: DataFrame, axes: list[str], leaf_rows: int, scale: list[float] | None = None) -> TopTree:
     n = points.count()
     share = min(1.0, SAMPLE_POINTS / max(n, 1))
-    sample = points.select(F.col(x).cast("double"), F.col(y).cast("double"))
-    sample = (sample.sample(share, seed=7) if share < 1 else sample).toPandas().to_numpy(float).reshape(-1, 2)
+    sample = points.select(*(F.col(c).cast("double") for c in axes))
+    sample = (sample.sample(share, seed=7) if share < 1 else sample).toPandas().to_numpy(float).reshape(-1, len(axes))
     depth = 0
     while n > leaf_rows * 2**depth and 2 ** (depth + 1) <= max(1, len(sample) // 4):
         depth += 1
-    return TopTree(sample, depth)
+    return TopTree(sample, depth, None if scale is None else np.array(scale))
 
 
-def _join(points: DataFrame, triangles: DataFrame, tree: TopTree, match, schema: str, block_rows: int) -> DataFrame:
+def _join(points: DataFrame, triangles: DataFrame, tree: TopTree, match, schema: str, block_rows: int, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Bring points and triangles of a leaf together and run ``match(points, triangles)`` on each pair of blocks.
 
-    ``points`` has x and y, ``triangles`` ax … cy; both may have more columns."""
+    ``points`` has the ``axes``, ``triangles`` ax … cy, and for a third axis its range z_low, z_high; both may have more columns."""
     spark = points.sparkSession
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(leaf=shared.value.leaf_of(b[["x", "y"]].to_numpy(float)))
+            yield b.assign(leaf=shared.value.leaf_of(b[list(axes)].to_numpy(float)))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t = b[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(float).reshape(-1, 3, 2)
-            rows, leaf = shared.value.leaves_of(t.min(1), t.max(1))
+            low, high = t.min(1), t.max(1)
+            if len(axes) > 2:
+                low, high = np.column_stack([low, b["z_low"]]), np.column_stack([high, b["z_high"]])
+            rows, leaf = shared.value.leaves_of(low, high)
             yield b.iloc[rows].assign(leaf=leaf)
 
     ddl = lambda df: ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", leaf long"
     placed, spread_out = points.mapInPandas(place, ddl(points)), triangles.mapInPandas(spread, ddl(triangles))
-    crowded = {r.leaf: -(-r.n // block_rows) for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).collect()}
-    blocks = F.lit(1)
-    if crowded:
-        blocks = F.coalesce(F.create_map(*(F.lit(int(v)) for kv in crowded.items() for v in kv))[F.col("leaf").cast("int")], F.lit(1))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("x", "y", *[c for c in points.columns if c not in ("x", "y")]), blocks))
-    spread_out = spread_out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    full = lambda df: {r.leaf: -(-r.n // block_rows) for r in df.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).collect()}
+    p_blocks, t_blocks = full(placed), full(spread_out)
+
+    def cut(df: DataFrame, own: dict, other: dict, mine: str, theirs: str) -> DataFrame:
+        many = lambda d: F.coalesce(F.create_map(*(F.lit(int(v)) for kv in d.items() for v in kv))[F.col("leaf").cast("int")], F.lit(1)) if d else F.lit(1)
+        df = df.withColumn(mine, F.pmod(F.xxhash64(*df.columns), many(own)).cast("int"))
+        return df.withColumn(theirs, F.explode(F.sequence(F.lit(0), many(other).cast("int") - 1)) if other else F.lit(0))
+
+    placed, spread_out = cut(placed, p_blocks, t_blocks, "_pb", "_tb"), cut(spread_out, t_blocks, p_blocks, "_tb", "_pb")
 
     def both(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         return match(p, t)
 
-    return placed.groupBy("leaf", "block").cogroup(spread_out.groupBy("leaf", "block")).applyInPandas(both, schema)
+    keys = ["leaf", "_pb", "_tb"]
+    out = placed.groupBy(*keys).cogroup(spread_out.groupBy(*keys)).applyInPandas(both, schema)
+    return out.distinct() if t_blocks else out
 
 
 def _pairs(p: pd.DataFrame, t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not len(p) or not len(t):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return TriangleTree(t[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(float).reshape(-1, 3, 2)).containing(p[["x", "y"]].to_numpy(float))
+    heights = t[["z_low", "z_high"]].to_numpy(float) if "z_low" in t else None
+    tree = TriangleTree(t[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(float).reshape(-1, 3, 2), heights)
+    return tree.containing(p[["x", "y"] if heights is None else ["x", "y", "alt"]].to_numpy(float))
 
 
 def triangulate(polygons: DataFrame, key: str, ring: str, key_type: str = "bigint") -> DataFrame:
@@ -210,7 +230,7 @@ def regions_of_points(points: DataFrame, key: str, x: str, y: str, polygons: Dat
         i, j = _pairs(p, t)
         return pd.DataFrame({"key": p["key"].to_numpy()[i], "region": t["region"].to_numpy()[j]}).drop_duplicates()
 
-    out = _join(usable, triangulate(polygons, region, ring, types[1][region]), _top_tree(usable, "x", "y", leaf_rows), match, f"key {types[0][key]}, region {types[1][region]}", block_rows)
+    out = _join(usable, triangulate(polygons, region, ring, types[1][region]), _top_tree(usable, ["x", "y"], leaf_rows), match, f"key {types[0][key]}, region {types[1][region]}", block_rows)
     return out
 
 
@@ -239,16 +259,48 @@ def haversine_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.n
     return 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(h)))
 
 
-def points_nearby(points: DataFrame, key: str, lat: str, lon: str, alt: str, metres: float, climb: float, leaf_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
-    """Pairs (node_a, node_b), smaller key first, at most ``metres`` apart on the sphere and ``climb`` in altitude.
-
-    Around each point stands the region its disc fits into, clipped into triangles; the points in them are the candidates and the
-    great-circle distance decides. Latitudes beyond 90 and (0, 0) are no places."""
-    kind = dict(points.dtypes)[key]
+def usable_places(points: DataFrame, key: str, lat: str, lon: str, alt: str) -> DataFrame:
+    """(key, x, y, alt) of the points that are somewhere; longitudes from -180 up to 180, repeated rows of a key once."""
     p = points.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(n) for c, n in ((lat, "y"), (lon, "lon"), (alt, "alt"))))
     ok = " and ".join(f"{c} is not null and not isnan({c})" for c in ("y", "lon", "alt"))
     p = p.filter(f"key is not null and {ok} and abs(y) <= 90 and abs(lon) < 1e6 and not (y = 0 and lon = 0)").dropDuplicates(["key"])
-    p = materialise(p.withColumn("x", F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180).drop("lon"))
+    return p.select("key", (F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180).alias("x"), (F.col("y") + 0.0).alias("y"), (F.col("alt") + 0.0).alias("alt"))
+
+
+def place_classes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(representatives, members): one row (key, x, y, alt) for each different place, with the smallest key there, and the rows (first, key)
+    of all points at places that hold more than one."""
+    classes = materialise(places.groupBy("x", "y", "alt").agg(F.min("key").alias("first"), F.count("*").alias("n")))
+    several = classes.filter("n > 1").drop("n")
+    members = places.join(several, ["x", "y", "alt"]).select("first", "key")
+    return classes.select(F.col("first").alias("key"), "x", "y", "alt"), members
+
+
+def points_nearby(points: DataFrame, key: str, lat: str, lon: str, alt: str, metres: float, climb: float, leaf_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
+    """Pairs (node_a, node_b), smaller key first, at most ``metres`` apart on the sphere and ``climb`` in altitude.
+
+    Points at exactly one place are one representative until the end: pairs of representatives come from the hierarchy, and only they
+    are written out for all members. Latitudes beyond 90 and (0, 0) are no places."""
+    places = materialise(usable_places(points, key, lat, lon, alt))
+    representatives, members = place_classes(places)
+    near = nearby_places(representatives, metres, climb, leaf_rows, block_rows)
+    members = materialise(members)
+    if members.isEmpty():
+        return near
+    pairs = near.join(members.select(F.col("first").alias("node_a"), F.col("key").alias("_a")), "node_a", "left").join(members.select(F.col("first").alias("node_b"), F.col("key").alias("_b")), "node_b", "left")
+    a, b = F.coalesce("_a", "node_a"), F.coalesce("_b", "node_b")
+    pairs = pairs.select(F.least(a, b).alias("node_a"), F.greatest(a, b).alias("node_b"))
+    one, two = members.select("first", F.col("key").alias("node_a")), members.select("first", F.col("key").alias("node_b"))
+    return pairs.unionByName(one.join(two, "first").filter("node_a < node_b").select("node_a", "node_b"))
+
+
+def nearby_places(p: DataFrame, metres: float, climb: float, leaf_rows: int = 16384, block_rows: int = 65536) -> DataFrame:
+    """Pairs (node_a, node_b) of different places (key, x, y, alt).
+
+    Around each place stands the region its disc fits into, clipped into triangles, from ``climb`` below to ``climb`` above; the places in
+    them are the candidates and the great-circle distance decides. The top hierarchy splits by altitude too, so a crowd of places above
+    each other is cut."""
+    kind = dict(p.dtypes)["key"]
 
     def discs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -258,9 +310,10 @@ def points_nearby(points: DataFrame, key: str, lat: str, lon: str, alt: str, met
             tri = np.concatenate([rings[:, c] for c in corners])
             at = np.tile(rows, len(corners))
             out = pd.DataFrame(tri.reshape(-1, 6), columns=["ax", "ay", "bx", "by", "cx", "cy"])
-            yield pd.DataFrame({"owner": b["key"].to_numpy()[at], "olat": b["y"].to_numpy()[at], "olon": b["x"].to_numpy()[at], "oalt": b["alt"].to_numpy()[at]}).join(out)
+            z = b["alt"].to_numpy()[at]
+            yield pd.DataFrame({"owner": b["key"].to_numpy()[at], "olat": b["y"].to_numpy()[at], "olon": b["x"].to_numpy()[at], "oalt": z}).join(out).assign(z_low=z - climb, z_high=z + climb)
 
-    schema = f"owner {kind}, olat double, olon double, oalt double, ax double, ay double, bx double, by double, cx double, cy double"
+    schema = f"owner {kind}, olat double, olon double, oalt double, ax double, ay double, bx double, by double, cx double, cy double, z_low double, z_high double"
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         i, j = _pairs(p, t)
@@ -271,4 +324,6 @@ def points_nearby(points: DataFrame, key: str, lat: str, lon: str, alt: str, met
         near &= np.abs(t["oalt"].to_numpy()[j] - p["alt"].to_numpy()[i]) <= climb
         return pd.DataFrame({"node_a": t["owner"].to_numpy()[j[near]], "node_b": p["key"].to_numpy()[i[near]]}).drop_duplicates()
 
-    return _join(p.select("key", "x", "y", "alt"), p.mapInPandas(discs, schema), _top_tree(p, "x", "y", leaf_rows), match, f"node_a {kind}, node_b {kind}", block_rows)
+    wide = float(np.degrees(metres / EARTH_RADIUS_M))
+    tree = _top_tree(p, ["x", "y", "alt"], leaf_rows, [wide, wide, max(climb, 1e-9)])
+    return _join(p, p.mapInPandas(discs, schema), tree, match, f"node_a {kind}, node_b {kind}", block_rows, ("x", "y", "alt"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.operators import nested, readings, regions, timestamps
-from terraloom.runtime import read
+from terraloom.runtime import materialise, read
 
 READINGS = [
     readings.Reading("altitude", -500.0, 12_000.0),
@@ -61,6 +61,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return regions.points_nearby(points, "node_id", "latitude", "longitude", "altitude", 5.0, 10.0)
 
 
+SIDE = 0.002  # degrees
+
+
+def _parcels(places: DataFrame) -> DataFrame:
+    """(region, ring): two parcels, a concave and a square one with shared edges, for each cell of SIDE that holds a place."""
+    i, j = F.floor(F.col("x") / SIDE), F.floor(F.col("y") / SIDE)
+    cells = places.select(i.alias("i"), j.alias("j")).distinct()
+    at = lambda u, v: F.array((F.col("i") + u) * SIDE, (F.col("j") + v) * SIDE)
+    ring = lambda *corners: F.array(*(at(u, v) for u, v in corners))
+    both = F.array(
+        F.struct(F.lit("angle").alias("part"), ring((0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.5, 0.5), (0.5, 1.0), (0.0, 1.0)).alias("ring")),
+        F.struct(F.lit("corner").alias("part"), ring((0.5, 0.5), (1.0, 0.5), (1.0, 1.0), (0.5, 1.0)).alias("ring")),
+    )
+    return cells.select("i", "j", F.explode(both).alias("p")).select(F.concat_ws(":", "i", "j", "p.part").alias("region"), "p.ring")
+
+
+def p6_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The parcels that contain each image's place, those on a shared edge in both."""
+    c = F.col("capture_info")
+    points = read(spark, d, "images").select("node_id", *(c[n].alias(n) for n in ("latitude", "longitude", "altitude")))
+    places = materialise(regions.usable_places(points, "node_id", "latitude", "longitude", "altitude"))
+    out = regions.regions_of_points(places, "key", "x", "y", _parcels(places), "region", "ring")
+    return out.withColumnRenamed("key", "node_id")
+
+
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
     return nested.shred(read(spark, d, "graph_docs"), "graph_id", "body", frozenset({"features"}))
 
@@ -76,13 +101,19 @@ def p7_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_masks, p5_method, p5_found, p5_reasons, p5_fences, p6_found, p7_found, p7_objects)}
+    return {f.__name__: f for f in (p3_found, p3_masks, p5_method, p5_found, p5_reasons, p5_fences, p6_found, p6_regions, p7_found, p7_objects)}
 
 
 _P6 = """WITH p AS (SELECT DISTINCT node_id, capture_info.latitude AS la, capture_info.longitude AS lo, capture_info.altitude AS z FROM images
     WHERE abs(capture_info.latitude) <= 90 AND NOT isnan(capture_info.longitude) AND NOT isnan(capture_info.altitude) AND NOT (capture_info.latitude = 0 AND capture_info.longitude = 0)),
   pairs AS (SELECT a.node_id AS node_a, b.node_id AS node_b, a.la AS la1, a.lo AS lo1, b.la AS la2, b.lo AS lo2 FROM p a JOIN p b ON b.la BETWEEN a.la - 0.0001 AND a.la + 0.0001 AND a.node_id < b.node_id AND abs(a.z - b.z) <= 10)
   SELECT node_a, node_b FROM pairs WHERE 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2)))) <= 5"""
+_P6_REGIONS = f"""WITH p AS (SELECT DISTINCT node_id, (capture_info.longitude + 180) % 360 - 180 AS x, capture_info.latitude AS y FROM images WHERE abs(capture_info.latitude) <= 90 AND abs(capture_info.longitude) < 1e6
+    AND NOT isnan(capture_info.altitude) AND capture_info.altitude IS NOT NULL AND NOT (capture_info.latitude = 0 AND capture_info.longitude = 0)),
+  c AS (SELECT DISTINCT CAST(floor(x / {SIDE}) AS BIGINT) AS i, CAST(floor(y / {SIDE}) AS BIGINT) AS j FROM p),
+  n AS (SELECT node_id, x, y, i, j FROM (SELECT *, CAST(floor(x / {SIDE}) AS BIGINT) + unnest([-1, 0, 1]) AS i, CAST(floor(y / {SIDE}) AS BIGINT) AS j0 FROM p), (SELECT unnest([-1, 0, 1]) AS dj) t, LATERAL (SELECT j0 + dj AS j) u),
+  h AS (SELECT n.*, x >= i * {SIDE} AND x <= (i + 1.0) * {SIDE} AND y >= j * {SIDE} AND y <= (j + 1.0) * {SIDE} AS inside, x >= (i + 0.5) * {SIDE} AS right_half, y >= (j + 0.5) * {SIDE} AS upper_half, x > (i + 0.5) * {SIDE} AND y > (j + 0.5) * {SIDE} AS open_corner FROM n JOIN c USING (i, j))
+  SELECT node_id, concat_ws(':', i, j, 'angle') AS region FROM h WHERE inside AND NOT open_corner UNION ALL SELECT node_id, concat_ws(':', i, j, 'corner') AS region FROM h WHERE inside AND right_half AND upper_half"""
 _P7 = """WITH b AS (SELECT DISTINCT graph_id, ltrim(body, chr(65279)) AS t FROM graph_docs WHERE body IS NOT NULL), j AS (SELECT graph_id, CAST(t AS JSON) AS j FROM b WHERE json_valid(t)),
   n AS (SELECT graph_id, coalesce(j -> '$.graph.nodes', j -> '$.nodes') AS n FROM j),
   e AS (SELECT graph_id, json_type(n) AS kind, unnest(CASE json_type(n) WHEN 'OBJECT' THEN json_keys(n) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(n) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE [] END) AS k, n FROM n),
@@ -119,4 +150,4 @@ def _p5_sql() -> str:
 
 
 def oracle_sql() -> dict:
-    return {"p3_masks": _P3_MASKS, "p5_found": _p5_sql(), "p6_found": _P6, "p7_found": _P7}
+    return {"p3_masks": _P3_MASKS, "p5_found": _p5_sql(), "p6_found": _P6, "p6_regions": _P6_REGIONS, "p7_found": _P7}

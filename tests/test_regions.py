@@ -74,3 +74,28 @@ def test_crowded_place_and_empty(spark):
     df = spark.createDataFrame([(i, 10.0, 20.0, 1.0) for i in range(60)], "id bigint, la double, lo double, z double")
     assert g.points_nearby(df, "id", "la", "lo", "z", 5.0, 10.0, leaf_rows=10, block_rows=8).count() == 60 * 59 // 2
     assert g.points_nearby(df.limit(0), "id", "la", "lo", "z", 5.0, 10.0).count() == 0
+
+
+def test_a_third_at_one_place_is_cut_on_both_sides(spark):
+    """300,000 points, a third at one place at different heights and a group of exact copies: the pairs of brute force along the height, and no block above its bound."""
+    n, copies = 300_000, 40
+    hot = spark.range(n // 3).selectExpr("id", "48.0D as la", "11.0D as lo", "cast(id as double) * 7 as z")
+    rest = spark.range(n // 3, n - copies).selectExpr("id", "-60.05D + (id % 1201) * 0.1D as la", "-170 + floor(id / 1201) * 1.0D as lo", "0.0D as z")
+    same = spark.range(n - copies, n).selectExpr("id", "50.0D as la", "12.0D as lo", "5.0D as z")
+    df = hot.unionByName(rest).unionByName(same)
+    seen = spark.sparkContext.accumulator(0)
+    bound = 4096
+    kept = g._pairs
+
+    def counted(p, t):
+        assert len(p) <= 2 * bound and len(t) <= 2 * bound, (len(p), len(t))  # hashing fills blocks unevenly
+        seen.add(1)
+        return kept(p, t)
+
+    g._pairs = counted
+    try:
+        out = g.points_nearby(df, "id", "la", "lo", "z", 5.0, 10.0, leaf_rows=4096, block_rows=bound)
+        got = out.groupBy((out["node_a"] < n // 3).alias("hot")).count().collect()
+    finally:
+        g._pairs = kept
+    assert {r.hot: r["count"] for r in got} == {True: n // 3 - 1, False: copies * (copies - 1) // 2}
