@@ -35,6 +35,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components are still growing")
     return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 

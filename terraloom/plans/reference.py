@@ -125,7 +125,7 @@ _D2 = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)"
 def knn_links(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest images, itself included, among those of batches already there."""
     p = positions(spark, d)
-    near = neighbours.knn_join(_probes(p), _points(p), 10, F.col("q_batch") <= F.col("p_batch")).filter("p <> q")
+    near = neighbours.knn_join(_probes(p), _points(p), 10, ("p_batch", "q_batch")).filter("p <> q")
     return near.select(F.col("p").alias("src"), F.col("q").alias("dst"), F.col("rank").cast("bigint").alias("k"), r("d2", 5).alias("d2"))
 
 

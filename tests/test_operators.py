@@ -79,6 +79,34 @@ def test_ratio_match_brute_force(spark):
     assert all(r.distance == pytest.approx(2 / 486) for r in got)
 
 
+@pytest.mark.parametrize("leaf, block", [(16, 9), (64, 1000)])
+def test_knn_with_order_and_depth_matches_brute_force(spark, monkeypatch, leaf, block):
+    """Points in the order of their batch, a third at one place; slices small enough that several are used."""
+    monkeypatch.setattr(neighbours, "FIRST_SLICE", 40)
+    rng = np.random.default_rng(2)
+    xyz = rng.normal(0, 20, (300, 3)).round(1)
+    xyz[::3] = 1.5
+    batch = np.sort(rng.integers(0, 30, 300))
+    rows = [(i, *map(float, p), int(b)) for i, (p, b) in enumerate(zip(xyz, batch))]
+    probes = spark.createDataFrame([*rows, (900, None, 0.0, 0.0, 3), (901, float("nan"), 0.0, 0.0, 3), (902, 0.0, 0.0, 0.0, -1), (903, 0.0, 1e6, 0.0, 29)], "p bigint, px double, py double, pz double, pb int")
+    points = spark.createDataFrame([*rows, (None, 0.0, 0.0, 0.0, 0)], "q bigint, qx double, qy double, qz double, qb int")
+    for axes, n in (("xy", 2), ("xyz", 3)):
+        want = set()
+        for p, x, y, z, b in [*rows, (903, 0.0, 1e6, 0.0, 29)]:
+            d = sorted((float(sum((u - v) ** 2 for u, v in zip((x, y, z)[:n], r[1 : 1 + n]))), r[0]) for r in rows if r[4] <= b)[:7]
+            want |= {(p, q, k + 1) for k, (_, q) in enumerate(d)}
+        got = neighbours.knn_join(probes, points, 7, ("pb", "qb"), axes=axes, leaf_rows=leaf, block_rows=block).collect()
+        assert len(got) == len(want) and {(r.p, r.q, r["rank"]) for r in got} == want
+
+
+def test_crowded_cells_of_a_radius_join_are_cut(spark):
+    a = spark.range(300).selectExpr("id as a", "0.5D as px", "case when id < 200 then 0.5D else cast(id as double) end as py")
+    b = spark.range(300).selectExpr("id as b", "0.5D as qx", "case when id < 200 then 0.5D else cast(id as double) end as qy")
+    got = {(r.a, r.b) for r in neighbours.radius_join(a, b, 1.0, block_rows=16).collect()}
+    at = lambda k: 0.5 if k < 200 else float(k)
+    assert got == {(i, j) for i in range(300) for j in range(300) if abs(at(i) - at(j)) <= 1.0}
+
+
 def test_tiered_lookup_prefers_tier_then_order(spark):
     db = spark.createDataFrame([(1, "Parrot", "Anafi", "", 5344), (2, "parrot", "ANAFI", "", 4608), (3, "Parrot", "Anafi", "x", 4608)], "ord int, make string, model string, lens string, w int")
     q = spark.createDataFrame([(1, "PARROT", "anafi", "", 4608), (2, "Parrot", "Anafi", "y", 4608), (3, "Parrot", "Anafi", None, 1), (4, "Nobody", "Anafi", "", 1), (5, None, None, None, None)], "id bigint, make string, model string, lens string, w int")
