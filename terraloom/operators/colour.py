@@ -1,78 +1,145 @@
-"""Colour balance between overlapping images: a linear model, solved by reweighted normal equations from distributed sums."""
+"""Colour balance between overlapping images: a linear model with robust weights.
+
+Images are solved in groups (batches, or components of the overlap graph) that share no image: one task holds a group's rows and solves by
+conjugate gradients without ever building a matrix. What groups share, the vignetting of the models, is a system of three unknowns a
+model, summed up over all groups; groups and models take turns until nothing moves."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terraloom.operators.graph import components
+from terraloom.runtime import materialise
 
 HUBER, ROUNDS, PRIOR = 5.0, 20, 0.1
+TURNS = 12  # of groups and models
+MOVED = 1e-4  # of a parameter, below which a solve has ended
 _PER_IMAGE = 6  # offsets of L, a, b; reflectance; slope in x and y
+#: Weights of the priors that pull to zero: offsets, reflectance and slopes of an image (by the root of its rows), vignetting of a model.
+_LOOSE, _TIGHT, _MODEL_PRIOR = 1e-3, 100.0, 100.0
+PARAMETERS = ["offset_l", "offset_a", "offset_b", "reflectance", "slope_x", "slope_y"]
+_NEEDED = ["cam_a", "cam_b", "model_a", "model_b", "lab_a", "lab_b"]
 
 
-def balance(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-    """(image -> offsets L a b, reflectance, slope x y; model -> vignetting of r2, r4, r6), so that corrected colours agree.
-
-    ``pairs``: cam_a, cam_b, model_a, model_b, lab_a, lab_b (arrays), r_a, r_b, theta_a, theta_b, nx_a, ny_a, nx_b, ny_b. Each round sends
-    the partial normal equations of every batch of rows, summed by cells of the matrix, to the driver; its size is that of the images' graph."""
-    ids = sorted({r[0] for r in pairs.select("cam_a").union(pairs.select("cam_b")).distinct().collect() if r[0] is not None})
-    models = sorted({r[0] for r in pairs.select("model_a").union(pairs.select("model_b")).distinct().collect() if r[0] is not None})
-    if not ids:
-        return {}, {}
-    cam = {c: k * _PER_IMAGE for k, c in enumerate(ids)}
-    mod = {m: len(ids) * _PER_IMAGE + 3 * k for k, m in enumerate(models)}
-    n = len(ids) * _PER_IMAGE + 3 * len(models)
-    counts = {c: 0 for c in ids}
-    for side in ("cam_a", "cam_b"):
-        for r in pairs.groupBy(side).count().collect():
-            if r[0] in counts:
-                counts[r[0]] += r[1]
-    x = np.zeros(n)
-
-    def equations(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per row three equations: indices (rows, 18), coefficients of L, and the measured differences."""
-        idx, val = [], []
-        for s, sign in (("a", 1.0), ("b", -1.0)):
-            base = pdf[f"cam_{s}"].map(cam).to_numpy(int)
-            m = pdf[f"model_{s}"].map(mod).to_numpy(int)
-            r2 = pdf[f"r_{s}"].to_numpy(float) ** 2
-            one = np.ones(len(pdf))
-            idx += [base, base + 3, base + 4, base + 5, m, m + 1, m + 2]
-            val += [sign * v for v in (one, pdf[f"theta_{s}"].to_numpy(float) ** 2, pdf[f"nx_{s}"].to_numpy(float), pdf[f"ny_{s}"].to_numpy(float), r2, r2**2, r2**3)]
-        d = np.stack(pdf["lab_a"].to_numpy()).astype(float) - np.stack(pdf["lab_b"].to_numpy()).astype(float)
-        return np.stack(idx, 1), np.stack(val, 1), d
+def _robust(residual: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(residual) <= HUBER, 1.0, HUBER / np.maximum(np.abs(residual), 1e-12))
 
+
+def _gradients(apply, b: np.ndarray, x: np.ndarray, rounds: int) -> np.ndarray:
+    """Conjugate gradients for the system ``apply(x) = b``."""
+    r = b - apply(x)
+    p, rr = r.copy(), r @ r
     for _ in range(rounds):
-        now = x.copy()
-
-        def sums(batches):
-            for b in batches:
-                b = b.dropna(subset=["cam_a", "cam_b", "model_a", "model_b", "lab_a", "lab_b"])
-                if not len(b):
-                    continue
-                idx, val, d = equations(b)
-                parts = []
-                for ch in range(3):
-                    i, v = (idx, val) if ch == 0 else (idx[:, [0, 7]] + ch, val[:, [0, 7]])
-                    res = d[:, ch] - (v * now[i]).sum(1)
-                    w = np.where(np.abs(res) <= HUBER, 1.0, HUBER / np.maximum(np.abs(res), 1e-12))
-                    a = np.repeat(i[:, :, None], i.shape[1], 2).ravel(), np.repeat(i[:, None], i.shape[1], 1).ravel()
-                    parts += [pd.DataFrame({"i": a[0], "j": a[1], "v": (w[:, None, None] * v[:, :, None] * v[:, None]).ravel()}), pd.DataFrame({"i": i.ravel(), "j": -1, "v": (w[:, None] * v * d[:, ch][:, None]).ravel()})]
-                yield pd.concat(parts).groupby(["i", "j"], as_index=False)["v"].sum()
-
-        a, g = np.zeros((n, n)), np.zeros(n)
-        for r in pairs.mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").sum("v").collect():
-            if r[1] < 0:
-                g[r[0]] = r[2]
+        if rr < 1e-14 * max(1.0, b @ b):
+            break
+        q = apply(p)
+        a = rr / max(p @ q, 1e-300)
+        x, r = x + a * p, r - a * q
+        rr, old = r @ r, rr
+        p = r + rr / old * p
+    return x
+
+
+def _vignette(rows: pd.DataFrame, side: str) -> np.ndarray:
+    r2 = rows[f"r_{side}"].to_numpy(float) ** 2
+    return np.stack([r2, r2**2, r2**3], 1)
+
+
+def solve_group(rows: pd.DataFrame, vignetting: dict, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(images, their parameters (n, 6), remaining differences of L, robust weights) of a group's rows, with the models' vignetting given."""
+    ids, at = np.unique(np.concatenate([rows["cam_a"], rows["cam_b"]]), return_inverse=True)
+    a, b = at[: len(rows)], at[len(rows) :]
+    d = np.stack(rows["lab_a"].to_numpy()).astype(float) - np.stack(rows["lab_b"].to_numpy()).astype(float)
+    none = np.zeros(3)
+    for s, sign in (("a", 1.0), ("b", -1.0)):
+        coefficients = np.stack([vignetting.get(m, none) for m in rows[f"model_{s}"]])
+        d[:, 0] -= sign * (_vignette(rows, s) * coefficients).sum(1)
+    parts = [np.stack([np.ones(len(rows)), rows[f"theta_{s}"].to_numpy(float) ** 2, rows[f"nx_{s}"].to_numpy(float), rows[f"ny_{s}"].to_numpy(float)], 1) for s in "ab"]
+    weight = (PRIOR**2) * np.maximum(1, np.bincount(at, minlength=len(ids)))
+    x = np.zeros((len(ids), _PER_IMAGE))
+    res = d[:, 0]
+    for ch, cols in ((0, [0, 3, 4, 5]), (1, [1]), (2, [2])):
+        u, v = (p[:, : len(cols)] for p in parts)
+        prior = weight[:, None] * np.array([_LOOSE] + [_TIGHT] * (len(cols) - 1)) + 1e-9
+
+        def difference(y: np.ndarray) -> np.ndarray:
+            return (u * y[a]).sum(1) - (v * y[b]).sum(1)
+
+        y = np.zeros((len(ids), len(cols)))
+        for _ in range(rounds):
+            w = _robust(d[:, ch] - difference(y))
+
+            def back(e: np.ndarray) -> np.ndarray:
+                sums = [np.bincount(at, np.concatenate([u[:, k] * e, -v[:, k] * e]), len(ids)) for k in range(len(cols))]
+                return np.stack(sums, 1)
+
+            new = _gradients(lambda z: (back(w * difference(z.reshape(y.shape))) + prior * z.reshape(y.shape)).ravel(), back(w * d[:, ch]).ravel(), y.ravel(), 20 * len(cols) + 4 * int(np.sqrt(len(ids))) + 40).reshape(y.shape)
+            moved, y = np.abs(new - y).max(), new
+            if moved < MOVED / 10:
+                break
+        x[:, cols] = y
+        if ch == 0:
+            res = d[:, 0] - difference(y)
+    return ids, x, res, _robust(res)
+
+
+def balance_groups(pairs: DataFrame, group: str, rounds: int = ROUNDS, turns: int = TURNS) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """((group, cam_id, PARAMETERS), model -> vignetting of r2, r4, r6), so that corrected colours agree.
+
+    ``pairs``: ``group``, cam_a, cam_b, model_a, model_b, lab_a, lab_b (arrays), r_a, r_b, theta_a, theta_b, nx_a, ny_a, nx_b, ny_b; groups share no
+    image. A turn brings the models' normal equations, summed over all groups, to the driver: nine numbers for each pair of models that
+    meet. Rows with a null among what is needed count for nothing."""
+    spark = pairs.sparkSession
+    kind, cam = dict(pairs.dtypes)[group], dict(pairs.dtypes)["cam_a"]
+    rows = materialise(pairs.dropna(subset=[*_NEEDED, group]))
+    model = dict(rows.dtypes)["model_a"]
+    vignetting: dict[int, np.ndarray] = {}
+    ddl = f"g {kind}, cam_id {cam}, x array<double>, m1 {model}, m2 {model}, k int, v double"
+    solved = None
+    for turn in range(turns):
+        shared = spark.sparkContext.broadcast(dict(vignetting))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids, x, res, w = solve_group(pdf, shared.value, rounds)
+            out = [pd.DataFrame({"g": pdf[group].iloc[0], "cam_id": ids, "x": list(x), "m1": None, "m2": None, "k": -1, "v": 0.0})]
+            none = np.zeros(3)
+            sides = [(pdf[f"model_{s}"].to_numpy(), sign * _vignette(pdf, s)) for s, sign in (("a", 1.0), ("b", -1.0))]
+            total = res + sum((f * np.stack([shared.value.get(i, none) for i in m])).sum(1) for m, f in sides)
+            for m, f in sides:
+                for k in range(3):
+                    out.append(pd.DataFrame({"m1": m, "m2": m, "k": 9 + k, "v": w * f[:, k] * total}))
+                    for n, h in sides:
+                        out += [pd.DataFrame({"m1": m, "m2": n, "k": 3 * k + j, "v": w * f[:, k] * h[:, j]}) for j in range(3)]
+            sums = pd.concat(out[1:]).groupby(["m1", "m2", "k"], as_index=False)["v"].sum().assign(g=pdf[group].iloc[0], cam_id=None, x=None)
+            return pd.concat([out[0], sums])[["g", "cam_id", "x", "m1", "m2", "k", "v"]]
+
+        solved = materialise(rows.groupBy(group).applyInPandas(run, ddl))
+        sums = solved.filter("k >= 0").groupBy("m1", "m2", "k").agg(F.sum("v").alias("v")).collect()
+        models = sorted({r.m1 for r in sums})
+        if not models:
+            break
+        at = {m: 3 * i for i, m in enumerate(models)}
+        a, g = _MODEL_PRIOR * np.eye(3 * len(models)), np.zeros(3 * len(models))
+        for r in sums:
+            if r.k >= 9:
+                g[at[r.m1] + r.k - 9] += r.v
             else:
-                a[r[0], r[1]] = r[2]
-        for c, k in cam.items():
-            a[range(k, k + _PER_IMAGE), range(k, k + _PER_IMAGE)] += (PRIOR * np.sqrt(max(1, counts[c]))) ** 2 * np.array([1e-3, 1e-3, 1e-3, 100, 100, 100])
-        for k in mod.values():
-            a[range(k, k + 3), range(k, k + 3)] += 100.0
-        new = np.linalg.solve(a + 1e-9 * np.eye(n), g)
-        done = np.abs(new - x).max() < 1e-6
-        x = new
-        if done:
+                a[at[r.m1] + r.k // 3, at[r.m2] + r.k % 3] += r.v
+        new = np.linalg.solve(a, g)
+        moved = max(np.abs(new[k : k + 3] - vignetting.get(m, np.zeros(3))).max() for m, k in at.items())
+        if moved < MOVED or turn == turns - 1:
             break
-    return {c: x[k : k + _PER_IMAGE] for c, k in cam.items()}, {m: x[k : k + 3] for m, k in mod.items()}
+        vignetting = {m: new[k : k + 3] for m, k in at.items()}
+    images = solved.filter("k < 0").select(F.col("g").alias(group), "cam_id", *(F.col("x")[i].alias(n) for i, n in enumerate(PARAMETERS)))
+    return images, vignetting
+
+
+def balance(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """(image -> PARAMETERS, model -> vignetting) of few images: groups are the components of the overlaps, and the result is fetched."""
+    whole = pairs.dropna(subset=_NEEDED)
+    groups = components(whole, "cam_a", "cam_b").select(F.col("node").alias("cam_a"), F.col("component").alias("_group"))
+    images, models = balance_groups(whole.join(groups, "cam_a"), "_group", rounds)
+    return {r.cam_id: np.array([r[n] for n in PARAMETERS]) for r in images.collect()}, models

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.runtime import materialise
+
 
 def histogram_bounds(df: DataFrame, column: str, tail: float = 0.025) -> DataFrame:
     """(low, high): values are cut to whole numbers and counted; the bounds leave ``tail`` on either side and are widened around the upper
@@ -74,6 +76,42 @@ def round_robin(tables: list[DataFrame], order: list[str]) -> DataFrame:
     """Rows of several tables interleaved by their place; column ``list`` tells the table, ``pos`` the place."""
     out = None
     for k, t in enumerate(tables):
-        t = t.withColumn("list", F.lit(k)).withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(*order)) - 1)
+        t = numbered(t, order).withColumnRenamed("_number", "pos").withColumn("list", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+def spread_evenly(lists: list[DataFrame], order: list[str]) -> DataFrame:
+    """All rows of ``lists`` with ``list``, ``pos`` and ``at``, the share of its list that stands before a row: ordered by ``at`` and list,
+    every list is spread evenly over the whole. A list is numbered over sorted partitions, of which one count each reaches the driver."""
+    out = None
+    for k, df in enumerate(lists):
+        rows = numbered(df, order).withColumnRenamed("_number", "pos")
+        n = df.sparkSession.createDataFrame([(df.count(),)], "_n bigint")
+        one = rows.join(F.broadcast(n)).withColumn("list", F.lit(k)).withColumn("at", F.col("pos") / F.greatest("_n", F.lit(1))).drop("_n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_number``: its place, from 0, in the order of ``order`` (which should end with a key)."""
+    return _offset(df, order, F.lit(1), "_number", inclusive=False)
+
+
+def running_sum(df: DataFrame, order: list[str], weight: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` up to and with each row in the order of ``order`` (which should end with a key)."""
+    return _offset(df, order, weight, name, inclusive=True)
+
+
+def _offset(df: DataFrame, order: list[str], weight: Column, name: str, inclusive: bool) -> DataFrame:
+    """Sums over sorted range partitions: within each by a window, before it by the partitions' totals."""
+    kept = materialise(df.withColumn("_w", weight).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    spark, before, table = df.sparkSession, 0, []
+    for p, w in sorted(map(tuple, kept.groupBy("_part").agg(F.sum("_w")).collect())):
+        table.append((p, before))
+        before += w or 0
+    kind = "double" if any(isinstance(b, float) for _, b in table) or isinstance(before, float) else "bigint"
+    offsets = F.broadcast(spark.createDataFrame([(p, float(b) if kind == "double" else b) for p, b in table] or [(0, 0 if kind == "bigint" else 0.0)], f"_part int, _before {kind}"))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col("_before") + F.sum("_w").over(w) - (F.lit(0) if inclusive else F.col("_w"))
+    return kept.join(offsets, "_part").withColumn(name, total).drop("_w", "_part", "_before")

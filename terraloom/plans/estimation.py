@@ -149,44 +149,32 @@ def bundle_adjust(spark: SparkSession, d: str) -> DataFrame:
 
 
 def color_balance(spark: SparkSession, d: str) -> DataFrame:
-    """Colour offsets of images linked with each other, from colours the images' serial numbers give them."""
+    """Radiometric parameters of images linked with each other, a batch being a block that shares no image with others. The tables hold no
+    colours: lightness is what the images' ids, places in the frame and view angles make of it."""
     i = images(spark, d, "model_id", "batch")
-    e = links(spark, d)
     tone = lambda c: F.pmod(F.xxhash64(c), F.lit(40)).cast("double")
-    e = e.join(i.select(F.col("node_id").alias("src"), F.col("model_id").alias("model_a"), "batch"), "src").join(i.select(F.col("node_id").alias("dst"), F.col("model_id").alias("model_b")), "dst")
-    base = F.pmod(F.xxhash64("edge_id"), F.lit(50)).cast("double")
+    share = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1000)) / 1000.0
+    ends = {s: i.select(F.col("node_id").alias(f"cam_{s}"), F.col("model_id").alias(f"model_{s}"), "batch") for s in "ab"}
+    e = links(spark, d).withColumnsRenamed({"src": "cam_a", "dst": "cam_b"}).join(ends["a"], "cam_a").join(ends["b"], ["cam_b", "batch"])
+    e = e.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    for s in "ab":
+        place = share(f"cam_{s}", "edge_id", "sample")
+        e = e.withColumns({f"r_{s}": place, f"theta_{s}": place * 0.5, f"nx_{s}": place * 0.7, f"ny_{s}": place * -0.7})
     z = F.lit(0.0)
-    pairs = e.select(
-        F.col("src").alias("cam_a"), F.col("dst").alias("cam_b"), "model_a", "model_b", F.array(base + tone("src"), z, z).alias("lab_a"), F.array(base + tone("dst"), z, z).alias("lab_b"),
-        *(z.alias(f"{c}_{s}") for s in "ab" for c in ("r", "theta", "nx", "ny")), "batch",
-    )
-    # A batch is one block of overlapping images; blocks don't share images, so each is its own system.
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({*pdf["cam_a"], *pdf["cam_b"]})
-        at = {c: k for k, c in enumerate(ids)}
-        a, g = 1e-4 * np.eye(len(ids)), np.zeros(len(ids))
-        x = np.zeros(len(ids))
-        i, j = pdf["cam_a"].map(at).to_numpy(), pdf["cam_b"].map(at).to_numpy()
-        diff = np.array([p[0] - q[0] for p, q in zip(pdf["lab_a"], pdf["lab_b"])])
-        for _ in range(colour.ROUNDS):
-            res = diff - (x[i] - x[j])
-            w = np.where(np.abs(res) <= colour.HUBER, 1.0, colour.HUBER / np.maximum(np.abs(res), 1e-12))
-            m, g = a.copy(), np.zeros(len(ids))
-            np.add.at(m, (i, i), w), np.add.at(m, (j, j), w), np.add.at(m, (i, j), -w), np.add.at(m, (j, i), -w)
-            np.add.at(g, i, w * diff), np.add.at(g, j, -w * diff)
-            x = np.linalg.solve(m, g)
-        return pd.DataFrame({"node_id": ids, "offset_l": x})
-
-    return pairs.groupBy("batch").applyInPandas(run, "node_id bigint, offset_l double")
+    base = F.pmod(F.xxhash64("edge_id", "sample"), F.lit(50)).cast("double")
+    for s in "ab":
+        e = e.withColumn(f"lab_{s}", F.array(base + tone(f"cam_{s}") - 4.0 * F.col(f"r_{s}") ** 2, z, z))
+    found, _ = colour.balance_groups(e, "batch")
+    return found.withColumnRenamed("cam_id", "node_id")
 
 
 def laplacian_blend(spark: SparkSession, d: str) -> DataFrame:
     """Feature strengths of each image as layers by sparsity, blended in tiles of 64 cells of 128 px."""
-    f = features(spark, d, "x", "y", "strength", "is_sparse").filter("strength is not null and x >= 0 and y >= 0 and x < 8192 and y < 8192")
-    cell = f.select("node_id", F.col("is_sparse").cast("int").alias("layer"), F.floor(F.col("y") / 128).cast("int").alias("row"), F.floor(F.col("x") / 128).cast("int").alias("col"), F.col("strength").cast("double").alias("v"))
-    cell = cell.filter("layer is not null").groupBy("node_id", "layer", "row", "col").agg(F.avg("v").alias("v"), F.count("*").cast("double").alias("weight"))
-    return raster.blend_tiles(cell, ["node_id"], ["v"], 64)
+    f = features(spark, d, "x", "y", "strength", "is_sparse").filter("strength is not null and not isnan(x) and not isnan(y)")
+    cx, cy = F.floor(F.col("x") / 128), F.floor(F.col("y") / 128)
+    cell = f.select("node_id", F.floor(cx / 64).alias("tx"), F.floor(cy / 64).alias("ty"), F.col("is_sparse").cast("int").alias("layer"), F.pmod(cy, F.lit(64)).cast("int").alias("row"), F.pmod(cx, F.lit(64)).cast("int").alias("col"), F.col("strength").cast("double").alias("v"))
+    cell = cell.filter("layer is not null").groupBy("node_id", "tx", "ty", "layer", "row", "col").agg(F.avg("v").alias("v"), F.count("*").cast("double").alias("weight"))
+    return raster.blend_tiles(cell, ["node_id", "tx", "ty"], ["v"], 64)
 
 
 def _window(places: DataFrame, low: float, step: float, margin: float) -> tuple[int, int, int, int] | None:
@@ -232,15 +220,18 @@ def ortho_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile_order(spark: SparkSession, d: str) -> DataFrame:
-    """Order of 4 x 4 tiles for a cache of 40 images, from the cameras each tile needs."""
+    """Order of the tiles over all images for a cache of 40 images, from the cameras each tile needs. The order is one greedy pass over the
+    tiles of a raster: their camera lists, a few for each tile, are what the driver holds."""
     from terraloom.plans.reference import tile_cameras
 
-    rows = tile_cameras(spark, d).collect()  # 16 tiles of at most 500 samples
-    need: dict[int, set[int]] = {}
-    for r in rows:
-        need.setdefault(r.tx + 4 * r.ty, set()).add(r.cam_id)
-    order = ordering.cache_order(4, 4, need, 40)
-    return spark.createDataFrame([(k, t, len(need.get(t, ()))) for k, t in enumerate(order)], "place int, tile int, cameras int")
+    rows = tile_cameras(spark, d).groupBy("tx", "ty").agg(F.collect_set("cam_id").alias("cams")).collect()
+    if not rows:
+        return spark.createDataFrame([], "place int, tx bigint, ty bigint, cameras int")
+    x0, y0 = min(r.tx for r in rows), min(r.ty for r in rows)
+    nx, ny = max(r.tx for r in rows) - x0 + 1, max(r.ty for r in rows) - y0 + 1
+    need = {int(r.tx - x0 + nx * (r.ty - y0)): set(r.cams) for r in rows}
+    order = ordering.cache_order(nx, ny, need, 40)
+    return spark.createDataFrame([(k, t % nx + x0, t // nx + y0, len(need.get(t, ()))) for k, t in enumerate(order)], "place int, tx bigint, ty bigint, cameras int")
 
 
 def track_rays(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions import bits, camera, geo, geom, ortho, radiometry, spatial
-from terraloom.operators import graph, lookup, matching, neighbours, tables, tracks
+from terraloom.operators import graph, lookup, matching, mesh, neighbours, tables, tracks
 from terraloom.runtime import materialise, read
 
 QUERIES: dict = {}
@@ -145,29 +146,46 @@ def median_spacing(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.median_spacing(_points(positions(spark, d))).select(r("spacing", 6).alias("spacing"))
 
 
-def _grid(spark: SparkSession, n: int, low: float, step: float) -> DataFrame:
-    g = spark.range(n * n).select(F.floor(F.col("id") / n).alias("row"), (F.col("id") % n).alias("col"), "id")
-    return g.select(F.col("id").alias("p"), "row", "col", (low + step * F.col("col")).alias("px"), (low + step * F.col("row")).alias("py"))
+def window(places: DataFrame, step: float, margin: float) -> tuple[int, int, int, int] | None:
+    """First and last column and row of a raster of ``step`` metres that holds all places and a margin; null where there are none."""
+    e = places.filter("not isnan(x) and not isnan(y)").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if e[0] is None:
+        return None
+    low = [int(np.floor((v - margin) / step)) for v in (e[0], e[2])]
+    high = [int(np.ceil((v + margin) / step)) for v in (e[1], e[3])]
+    return low[0], high[0], low[1], high[1]
 
 
-def _grid_sql(n: int, low: float, step: float) -> str:
-    return f"(SELECT i AS p, i // {n} AS \"row\", i % {n} AS col, {low} + {step} * (i % {n}) AS x, {low} + {step} * (i // {n}) AS y FROM range({n * n}) t(i))"
+def _grid(spark: SparkSession, places: DataFrame, step: float, margin: float) -> DataFrame:
+    """(p, row, col, px, py) of the raster over all places and a margin. Columns and rows count from the origin, so some are negative."""
+    c0, c1, r0, r1 = window(places, step, margin) or (0, -1, 0, -1)
+    n = c1 - c0 + 1
+    g = spark.range(n * (r1 - r0 + 1)).select("id", (F.floor(F.col("id") / max(n, 1)) + r0).alias("row"), (F.col("id") % max(n, 1) + c0).alias("col"))
+    return g.select(F.col("id").alias("p"), "row", "col", (step * F.col("col")).alias("px"), (step * F.col("row")).alias("py"))
 
 
-@query(f"WITH i AS (SELECT * FROM {POS}) SELECT p, round(z, 3) + 0.0 AS z FROM (SELECT p.p, q.z, row_number() OVER (PARTITION BY p.p ORDER BY {_D2}, q.node_id) AS k FROM {_grid_sql(20, -200.0, 20.0)} p, i q) WHERE k = 1")
+def _grid_sql(step: float, margin: float) -> str:
+    """The same over the places ``i``, with x and y."""
+    return f"""(SELECT (r - r0) * (c1 - c0 + 1) + (c - c0) AS p, r AS "row", c AS col, {step} * c AS x, {step} * r AS y FROM
+    (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM (SELECT CAST(floor((min(x) - {margin}) / {step}) AS BIGINT) AS c0, CAST(ceil((max(x) + {margin}) / {step}) AS BIGINT) AS c1,
+      CAST(floor((min(y) - {margin}) / {step}) AS BIGINT) AS r0, CAST(ceil((max(y) + {margin}) / {step}) AS BIGINT) AS r1 FROM i WHERE NOT isnan(x) AND NOT isnan(y)))))"""
+
+
+@query(f"WITH i AS (SELECT * FROM {POS}) SELECT p, round(z, 3) + 0.0 AS z FROM (SELECT p.p, q.z, row_number() OVER (PARTITION BY p.p ORDER BY {_D2}, q.node_id) AS k FROM {_grid_sql(20.0, 20.0)} p, i q) WHERE k = 1")
 def nearest_height(spark: SparkSession, d: str) -> DataFrame:
-    """Height of grid vertices from the nearest image."""
+    """Height of the vertices of a grid over all images from the nearest image."""
     p = positions(spark, d)
-    near = neighbours.knn_join(_grid(spark, 20, -200.0, 20.0).select("p", "px", "py"), _points(p), 1)
+    near = neighbours.knn_join(_grid(spark, p, 20.0, 20.0).select("p", "px", "py"), _points(p), 1)
     return near.join(p, near["q"] == p["node_id"]).select("p", r("z").alias("z"))
 
 
-_NEAREST_SQL = f"SELECT p.p, p.\"row\", p.col, arg_min(q.node_id, ({_D2}, q.node_id)) AS label FROM {_grid_sql(60, -240.0, 8.0)} p, i q GROUP BY ALL"
+_NEAREST_SQL = f"SELECT p.p, p.\"row\", p.col, arg_min(q.node_id, ({_D2}, q.node_id)) AS label FROM {_grid_sql(8.0, 16.0)} p, i q GROUP BY ALL"
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    g = _grid(spark, 60, -240.0, 8.0)
-    return neighbours.knn_join(g.select("p", "px", "py"), _points(positions(spark, d)), 1).join(g, "p").select("row", "col", F.col("q").alias("label"))
+    p = positions(spark, d)
+    g = _grid(spark, p, 8.0, 16.0)
+    return neighbours.knn_join(g.select("p", "px", "py"), _points(p), 1).join(g, "p").select("row", "col", F.col("q").alias("label"))
 
 
 @query(
@@ -175,12 +193,12 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     'WINDOW h AS (PARTITION BY "row" ORDER BY col), v AS (PARTITION BY col ORDER BY "row")) WHERE (a <> label OR b <> label OR c <> label OR e <> label) AND ("row" + col) % 3 = 0'
 )
 def voronoi_boundary(spark: SparkSession, d: str) -> DataFrame:
-    """Cells at a seam between nearest cameras, thinned by a modulo."""
+    """Cells at a seam between nearest cameras, over all images, thinned by a modulo."""
     return tables.boundary(_labels(spark, d), "row", "col", "label").filter("(row + col) % 3 = 0").select("row", "col", "label")
 
 
 @query(
-    f"WITH i AS (SELECT * FROM {POS}), g AS ({_NEAREST_SQL}) SELECT a.\"row\", a.col, count(*) AS n, round(avg(b.\"row\" + b.col), 6) AS mean FROM g a JOIN g b ON b.\"row\" BETWEEN a.\"row\" - 2 AND a.\"row\" + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 AND a.label = b.label GROUP BY ALL"
+    f"WITH i AS (SELECT * FROM {POS}), g AS ({_NEAREST_SQL}) SELECT a.\"row\", a.col, count(*) AS n, round(avg(b.\"row\" + b.col), 6) + 0.0 AS mean FROM g a JOIN g b ON b.\"row\" BETWEEN a.\"row\" - 2 AND a.\"row\" + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 AND a.label = b.label GROUP BY ALL"
 )
 def kernel_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean over 5 x 5 cells of the same camera."""
@@ -188,16 +206,17 @@ def kernel_mean(spark: SparkSession, d: str) -> DataFrame:
     near = g.select(F.explode(F.sequence(F.col("row") - 2, F.col("row") + 2)).alias("r2"), "col", F.col("row").alias("r0"), "label")
     near = near.select("r2", F.explode(F.sequence(F.col("col") - 2, F.col("col") + 2)).alias("c2"), "r0", F.col("col").alias("c0"), "label")
     b = g.select(F.col("row").alias("r2"), F.col("col").alias("c2"), "label")
-    return near.join(b, ["r2", "c2", "label"]).groupBy(F.col("r0").alias("row"), F.col("c0").alias("col")).agg(F.count("*").alias("n"), r(F.avg(F.col("r2") + F.col("c2")), 6).alias("mean"))
+    return near.join(b, ["r2", "c2", "label"]).groupBy(F.col("r0").alias("row"), F.col("c0").alias("col")).agg(F.count("*").alias("n"), (r(F.avg(F.col("r2") + F.col("c2")), 6) + 0.0).alias("mean"))
 
 
 @query(
-    f"WITH i AS (SELECT * FROM {POS}), s AS (SELECT p.p, p.\"row\" // 10 AS ty, p.col // 10 AS tx, q.node_id, row_number() OVER (PARTITION BY p.p ORDER BY {_D2}, q.node_id) AS k FROM {_grid_sql(40, -200.0, 10.0)} p, i q) SELECT DISTINCT tx, ty, node_id AS cam_id FROM s WHERE k <= 5"
+    f"WITH i AS (SELECT * FROM {POS}), s AS (SELECT p.p, floor(p.\"row\" / 10.0) AS ty, floor(p.col / 10.0) AS tx, q.node_id, row_number() OVER (PARTITION BY p.p ORDER BY {_D2}, q.node_id) AS k FROM {_grid_sql(10.0, 10.0)} p, i q) SELECT DISTINCT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, node_id AS cam_id FROM s WHERE k <= 5"
 )
 def tile_cameras(spark: SparkSession, d: str) -> DataFrame:
-    """Cameras a tile needs: five nearest of 10 x 10 samples."""
-    g = _grid(spark, 40, -200.0, 10.0)
-    near = neighbours.knn_join(g.select("p", "px", "py"), _points(positions(spark, d)), 5).join(g, "p")
+    """Cameras each tile over all images needs: five nearest of 10 x 10 samples."""
+    p = positions(spark, d)
+    g = _grid(spark, p, 10.0, 10.0)
+    near = neighbours.knn_join(g.select("p", "px", "py"), _points(p), 5).join(g, "p")
     return near.select(F.floor(F.col("col") / 10).alias("tx"), F.floor(F.col("row") / 10).alias("ty"), F.col("q").alias("cam_id")).distinct()
 
 
@@ -597,26 +616,42 @@ def xyz_in_bounds(spark: SparkSession, d: str) -> DataFrame:
     return p.join(bounds[0]).join(bounds[1]).filter("x > xl and x < xh and y > yl and y < yh").select("node_id", "x", "y", "z")
 
 
+_TILT = 0.1, 0.05  # of the mesh's plane
+_FALL = (1 + _TILT[0] ** 2 + _TILT[1] ** 2) ** 0.5
+
+
 @query(
-    f"""SELECT cx, cy, half, count(*) AS n, round(avg(z - 100), 9) + 0.0 AS mean, CASE WHEN count(*) > 1 THEN round(greatest(avg((z - 100) * (z - 100)) - avg(z - 100) * avg(z - 100), 0), 3) ELSE 0.0 END AS variance FROM
-  (SELECT CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy, CAST((x / 50 - floor(x / 50)) + (y / 50 - floor(y / 50)) > 1 AS INT) AS half, z FROM {POS}) GROUP BY ALL"""
+    f"""SELECT cx, cy, half, count(*) AS n, round(avg(g), 6) + 0.0 AS mean, CASE WHEN count(*) > 1 THEN round(greatest(avg(g * g) - avg(g) * avg(g), 0), 3) ELSE 0.0 END AS variance FROM
+  (SELECT CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy, CAST((x / 50 - floor(x / 50)) + (y / 50 - floor(y / 50)) > 1 AS INT) AS half, (z - 100 - {_TILT[0]} * x - {_TILT[1]} * y) / {_FALL} AS g FROM {POS}) GROUP BY ALL"""
 )
 def cell_plane_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Count, mean and population variance of the distance from a plane, for each triangle of a regular mesh."""
-    fx, fy = F.col("x") / 50 - F.floor(F.col("x") / 50), F.col("y") / 50 - F.floor(F.col("y") / 50)
-    cx, cy = spatial.cell(F.col("x"), F.col("y"), 50.0)
-    p = positions(spark, d).select(cx.alias("cx"), cy.alias("cy"), (fx + fy > 1).cast("int").alias("half"), (F.col("z") - 100).alias("g"))
-    var = F.when(F.count("*") > 1, r(F.greatest(F.avg(F.col("g") * F.col("g")) - F.avg("g") * F.avg("g"), F.lit(0.0)))).otherwise(F.lit(0.0))
-    return p.groupBy("cx", "cy", "half").agg(F.count("*").alias("n"), r(F.avg("g"), 9).alias("mean"), var.alias("variance"))
+    """Count, mean and population variance of the images' distances from the plane of the triangle they lie in, on a regular mesh over all images."""
+    p = positions(spark, d)
+    g = _grid(spark, p, 50.0, 50.0)
+    low = [("a", 0, 0), ("b", 1, 0), ("c", 0, 1)], [("a", 1, 1), ("b", 0, 1), ("c", 1, 0)]
+    z = lambda u, v: F.lit(100.0) + _TILT[0] * u + _TILT[1] * v
+    halves = []
+    for half, corners in enumerate(low):
+        at = {n: (F.col("px") + 50.0 * u, F.col("py") + 50.0 * v) for n, u, v in corners}
+        cols = [c for n, (u, v) in at.items() for c in (u.alias(f"{n}x"), v.alias(f"{n}y"), z(u, v).alias(f"{n}z"))]
+        halves.append(F.struct((2 * F.col("p") + half).alias("t"), *cols))
+    corners = g.select(F.explode(F.array(*halves)).alias("c")).select("c.*")
+    found = mesh.triangle_counts(p.select("x", "y", "z"), corners, 50.0)
+    at = g.select("p", F.col("col").alias("cx"), F.col("row").alias("cy"))
+    out = found.withColumns({"p": F.floor(F.col("t") / 2), "half": (F.col("t") % 2).cast("int")}).join(at, "p")
+    return out.select("cx", "cy", "half", "n", (r("mean", 6) + 0.0).alias("mean"), F.when(F.col("n") > 1, r("variance")).otherwise(F.lit(0.0)).alias("variance"))
 
 
-@query("SELECT p.p_partkey, round(coalesce(sum(l.l_extendedprice * l.l_quantity) / nullif(sum(l.l_quantity), 0), any_value(p.p_retailprice)), 2) AS merged, count(l.l_partkey) AS n FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_partkey")
+@query(
+    f"""WITH v AS (SELECT batch AS s, CAST(floor(x / 25) AS BIGINT) AS cx, CAST(floor(y / 25) AS BIGINT) AS cy, avg(z) AS h, CASE WHEN batch % 3 = 0 THEN 0 ELSE count(*) END AS w FROM {POS} GROUP BY batch, CAST(floor(x / 25) AS BIGINT), CAST(floor(y / 25) AS BIGINT))
+  SELECT cx, cy, round(CASE WHEN sum(w) > 0 THEN sum(h * w) / sum(w) ELSE arg_min(h, s) END, 6) AS z FROM v GROUP BY cx, cy"""
+)
 def weighted_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted mean of what several surfaces say of a vertex, or the first one's value (here: prices of parts)."""
-    price, qty = F.col("l_extendedprice"), F.col("l_quantity")
-    sums = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum(price * qty).alias("s"), F.sum(qty).alias("w"), F.count("*").alias("n"))
-    merged = F.coalesce(F.col("s") / F.nullif(F.col("w"), F.lit(0)), F.col("p_retailprice"))
-    return read(spark, d, "part").join(sums, "p_partkey", "left").select("p_partkey", r(merged, 2).alias("merged"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Surfaces of the batches merged: a vertex has the mean of what they say, weighted by their images around it, or what the first says where none has weight."""
+    cx, cy = spatial.cell(F.col("x"), F.col("y"), 25.0)
+    v = positions(spark, d).groupBy(F.col("batch").alias("surface_id"), cx.alias("cx"), cy.alias("cy")).agg(F.avg("z").alias("z"), F.count("*").alias("n"))
+    v = v.select("surface_id", F.struct("cx", "cy").alias("node_id"), (25.0 * F.col("cx")).alias("x"), (25.0 * F.col("cy")).alias("y"), "z", F.when(F.col("surface_id") % 3 == 0, 0).otherwise(F.col("n")).alias("weight"))
+    return mesh.merge_surfaces(v).select("node_id.cx", "node_id.cy", r("z", 6).alias("z"))
 
 
 @query(f"SELECT batch, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, round(avg(z), 9) AS mean_z, count(*) AS n FROM {POS} GROUP BY batch")
@@ -764,29 +799,45 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
     return lloyd(positions(spark, d), ["x", "y"], _SEEDS, 2).select("cluster", "n", *(r(c, 6).alias(c) for c in ("cx", "cy")))
 
 
-@query("SELECT step, name, CAST(weight AS DOUBLE) AS weight, CAST(done AS DOUBLE) AS done FROM (VALUES (0, 'load', 1.0, 0.1), (1, 'link', 2.0, 0.3), (2, 'relax', 4.0, 0.7), (3, 'ortho', 3.0, 1.0)) t(step, name, weight, done)")
+@query(f"WITH b AS (SELECT batch, count(*) AS weight FROM {IM} GROUP BY batch) SELECT batch, weight, round(sum(weight) OVER (ORDER BY batch) / sum(weight) OVER (), 9) AS done FROM b")
 def progress_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the whole that is done after each stage."""
-    s = spark.createDataFrame([(0, "load", 1.0), (1, "link", 2.0), (2, "relax", 4.0), (3, "ortho", 3.0)], "step int, name string, weight double")
-    done = F.sum("weight").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(Window.partitionBy())
-    return s.withColumn("done", r(done, 6))
+    """Share of all images that is done after each batch."""
+    b = images(spark, d, "batch").groupBy("batch").agg(F.count("*").alias("weight"))
+    total = F.broadcast(b.agg(F.sum("weight").alias("all")))
+    return tables.running_sum(b, ["batch"], F.col("weight"), "sum").join(total).select("batch", "weight", r(F.col("sum") / F.col("all"), 9).alias("done"))
 
 
-@query("SELECT n_name AS name, 0 AS list, row_number() OVER (ORDER BY n_name) - 1 AS pos FROM nation UNION ALL SELECT r_name, 1, row_number() OVER (ORDER BY r_name) - 1 FROM region")
+@query(
+    f"""WITH l AS (SELECT 0 AS list, node_id AS id FROM {POS} UNION ALL SELECT 1, edge_id FROM {LK} UNION ALL SELECT 2, model_id FROM camera_models),
+  n AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY list) AS n FROM l) SELECT list, id, pos, round(pos / n, 9) AS at FROM n"""
+)
 def interleave_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Two lists interleaved by place."""
+    """Images, links and models spread evenly over one order: by the share of its list that stands before a row."""
+    lists = [positions(spark, d).select(F.col("node_id").alias("id")), links(spark, d).select(F.col("edge_id").alias("id")), read(spark, d, "camera_models").select(F.col("model_id").alias("id"))]
+    return tables.spread_evenly(lists, ["id"]).select("list", "id", "pos", r("at", 9).alias("at"))
+
+
+@query("SELECT n_name AS name, 0 AS list, row_number() OVER (ORDER BY n_name) - 1 AS pos FROM nation UNION ALL SELECT r_name, 1, row_number() OVER (ORDER BY r_name) - 1 FROM region")
+def round_robin(spark: SparkSession, d: str) -> DataFrame:
+    """Two lists by turns."""
     lists = [read(spark, d, t).select(F.col(c).alias("name")) for t, c in (("nation", "n_name"), ("region", "r_name"))]
     return tables.round_robin(lists, ["name"]).select("name", "list", F.col("pos").cast("bigint").alias("pos")).orderBy("pos", "list")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query(
+    f"SELECT 'images' AS part, node_id AS id, CAST(batch AS BIGINT) AS ref, round(x, 6) AS v FROM {POS} UNION ALL SELECT 'links', edge_id, src, CAST(len(poses) AS DOUBLE) FROM {LK} "
+    f"UNION ALL SELECT 'models', model_id, CAST(pixels_cols AS BIGINT), round(focal, 6) FROM camera_models UNION ALL SELECT 'features', node_id, CAST(idx AS BIGINT), round(x, 6) FROM {FT}"
+)
 def checkpoint_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A table after a checkpoint was written and read again."""
+    """The tables of a state after a checkpoint was written and read again."""
     from terraloom.plans.checkpoint import load, save
     from terraloom.runtime import checkpoint_root
 
-    where = save(f"{checkpoint_root(spark)}/terraloom/state", {"nation": read(spark, d, "nation")}, "complete")
-    return load(spark, where).tables["nation"]
+    state = {"images": positions(spark, d), "links": links(spark, d, "poses"), "models": read(spark, d, "camera_models"), "features": features(spark, d, "x", "y", "strength", "descriptor")}
+    t = load(spark, save(f"{checkpoint_root(spark)}/terraloom/state", state, "complete")).tables
+    pick = lambda name, i, ref, v: t[name].select(F.lit(name).alias("part"), F.col(i).alias("id"), F.col(ref).cast("bigint").alias("ref"), v.cast("double").alias("v"))
+    out = pick("images", "node_id", "batch", r("x", 6)).unionByName(pick("links", "edge_id", "src", F.when(F.col("poses").isNotNull(), F.size("poses"))))
+    return out.unionByName(pick("models", "model_id", "pixels_cols", r("focal", 6))).unionByName(pick("features", "node_id", "idx", r("x", 6)))
 
 
 def queries() -> dict:
