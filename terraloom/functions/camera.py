@@ -62,18 +62,37 @@ def unproject_inverse(px: Vec, m: dict[str, Column]) -> Vec:
     return unit((*d, F.lit(1.0)))
 
 
-def unproject_forward(px: Vec, m: dict[str, Column], rounds: int = 10) -> Vec:
-    """Unit ray of a pixel for a forward model: ``rounds`` fixed-point steps of the inverse distortion, kept as one array expression."""
-    tx, ty = (px[0] - m["ppx"]) / m["focal"], (px[1] - m["ppy"]) / m["focal"]
+def _undistort(tx: Column, ty: Column, m: dict[str, Column], rounds: int) -> Column:
+    """Array (x, y) whose distorted place is (tx, ty): ``rounds`` Newton steps, kept as one array expression."""
 
     def step(p: Column, _: Column) -> Column:
-        dx, dy = distort((p[0], p[1]), m)
-        return F.array(p[0] + tx - dx, p[1] + ty - dy)
+        x, y = p[0], p[1]
+        r2 = x * x + y * y
+        s = 1 + m["k1"] * r2 + m["k2"] * r2 * r2 + m["k3"] * r2 * r2 * r2
+        grow = m["k1"] + 2 * m["k2"] * r2 + 3 * m["k3"] * r2 * r2
+        dx, dy = distort((x, y), m)
+        a, d = s + 2 * x * x * grow + 2 * y * m["t1"] + 6 * x * m["t2"], s + 2 * y * y * grow + 2 * x * m["t2"] + 6 * y * m["t1"]
+        b = 2 * x * y * grow + 2 * x * m["t1"] + 2 * y * m["t2"]
+        det = a * d - b * b
+        ex, ey = dx - tx, dy - ty
+        return F.when(F.abs(det) > 1e-9, F.array(x - (d * ex - b * ey) / det, y - (a * ey - b * ex) / det)).otherwise(p)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(tx, ty), step)
 
-    p = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(tx, ty), step)
+
+def unproject_forward(px: Vec, m: dict[str, Column], rounds: int = 10) -> Vec:
+    """Unit ray of a pixel for a forward model."""
+    p = _undistort((px[0] - m["ppx"]) / m["focal"], (px[1] - m["ppy"]) / m["focal"], m, rounds)
     return unit((p[0], p[1], F.lit(1.0)))
 
 
+def project_inverse(v: Vec, m: dict[str, Column], rounds: int = 10) -> Vec:
+    """Pixel of a vector in camera coordinates for a model whose distortion is applied from pixel to ray."""
+    z = F.greatest(v[2], F.lit(LEAST_DEPTH))
+    p = _undistort(v[0] / z, v[1] / z, m, rounds)
+    return p[0] * m["focal"] + m["ppx"], p[1] * m["focal"] + m["ppy"]
+
+
 def seen(point: Vec, position: Vec, q: Vec, m: dict[str, Column]) -> Column:
     """Struct (px, py, depth) of a world point in a camera. The camera coordinates are bound once, so that the expression stays small."""
     fields = {n: c.alias(n) for n, c in m.items()}

@@ -47,3 +47,17 @@ def within_hops(edges: DataFrame, a: str, b: str, start: DataFrame, hops: int) -
     for _ in range(hops):
         seen = seen.unionByName(both.join(seen, "node", "left_semi").select(F.col("to").alias("node"))).distinct()
     return seen
+
+
+def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``edges`` and those of ``new`` whose ends are both in ``nodes`` (column node) and whose ``key`` isn't taken."""
+    known = nodes.select("node").distinct()
+    fit = new.join(known.withColumnRenamed("node", a), a, "left_semi").join(known.withColumnRenamed("node", b), b, "left_semi")
+    return edges.unionByName(fit.select(*edges.columns).dropDuplicates([key]).join(edges.select(key), key, "left_anti"))
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without the nodes of ``gone`` (column node) and without every edge at one of them."""
+    gone = gone.select("node").distinct()
+    left = edges.join(gone.withColumnRenamed("node", a), a, "left_anti").join(gone.withColumnRenamed("node", b), b, "left_anti")
+    return nodes.join(gone, "node", "left_anti"), left.select(*edges.columns)

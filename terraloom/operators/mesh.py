@@ -234,3 +234,76 @@ def ground_triangle(cameras: np.ndarray, height: float) -> np.ndarray:
     size = max((hi - lo).max(), 1.0) * 4
     m = (lo + hi) / 2
     return np.array([[m[0] - size, m[1] - size, height], [m[0] + size, m[1] - size, height], [m[0], m[1] + size, height]])
+
+
+#: What a walk over the mesh ends with.
+HIT, PARALLEL, OUTSIDE, INCONSISTENT, UNINITIALIZED = "INTERSECTION", "RAY_PARALLEL_TO_PLANE", "OUTSIDE_BORDER", "GRAPH_STRUCTURE_INCONSISTENT", "UNINITIALIZED"
+MOST_STEPS = 100
+
+
+class Walker:
+    """Where rays meet a mesh given as tables (``Mesh.tables``): all rays of a batch walk at once, each from triangle to triangle across
+    the edge its plane hit lies beyond, from a common first triangle. A walk of more than MOST_STEPS ends where it is, as a hit."""
+
+    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
+        self.xyz = nodes[["x", "y", "z"]].to_numpy(float)
+        at = {n: i for i, n in enumerate(nodes["node_id"])}
+        self.corners, self.across = np.zeros((0, 3), int), np.zeros((0, 3), int)
+        found: dict[tuple, int] = {}
+        beside: dict[tuple, list[int]] = {}
+        for a, b, o0, o1 in zip(edges["src"], edges["dst"], edges["opp0"], edges["opp1"]):
+            for o in (o0, o1):
+                if not pd.isna(o):
+                    t = tuple(sorted((at[a], at[b], at[int(o)])))
+                    k = found.setdefault(t, len(found))
+                    if k not in beside.setdefault(tuple(sorted((at[a], at[b]))), []):
+                        beside[tuple(sorted((at[a], at[b])))].append(k)
+        if found:
+            self.corners = np.array(list(found), int)
+            p = self.xyz[self.corners]
+            turned = np.cross(p[:, 1, :2] - p[:, 0, :2], p[:, 2, :2] - p[:, 0, :2]) < 0
+            self.corners[turned, :2] = self.corners[turned, 1::-1]
+            # Beyond the edge from corner k to the next: another triangle, -1 for the border, -2 for an edge the tables don't have.
+            known = {tuple(sorted((at[a], at[b]))) for a, b in zip(edges["src"], edges["dst"])}
+            self.across = np.full(self.corners.shape, -2)
+            for i, t in enumerate(self.corners):
+                for k in range(3):
+                    e = tuple(sorted((t[k], t[(k + 1) % 3])))
+                    if e in known:
+                        self.across[i, k] = next((j for j in beside[e] if j != i), -1)
+
+    def walk(self, directions: np.ndarray, origins: np.ndarray, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code, triangle, point, steps) of each ray."""
+        n = len(origins)
+        code, at, where, steps = np.full(n, UNINITIALIZED, object), np.full(n, start), np.full((n, 3), np.nan), np.zeros(n, int)
+        if not len(self.corners):
+            return code, at, where, steps
+        code[:] = ""
+        todo = np.arange(n)
+        while len(todo):
+            p = self.xyz[self.corners[at[todo]]]
+            normal = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+            normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-300)
+            slope = (normal * directions[todo]).sum(1)
+            flat = ~(np.abs(slope) >= 1e-9)
+            t = (normal * (p[:, 0] - origins[todo])).sum(1) / np.where(flat, 1.0, slope)
+            hit = origins[todo] + t[:, None] * directions[todo]
+            hit[flat] = np.nan
+            where[todo] = hit
+            nxt = np.roll(p, -1, axis=1)
+            side = (nxt[:, :, 0] - p[:, :, 0]) * (hit[:, None, 1] - p[:, :, 1]) - (nxt[:, :, 1] - p[:, :, 1]) * (hit[:, None, 0] - p[:, :, 0])
+            beyond = side < 0
+            edge = beyond.argmax(1)
+            inside = ~beyond.any(1)
+            then = self.across[at[todo], edge]
+            long = steps[todo] >= MOST_STEPS
+            code[todo[flat]] = PARALLEL
+            code[todo[~flat & (inside | long)]] = HIT
+            go = ~flat & ~inside & ~long
+            code[todo[go & (then == -1)]] = OUTSIDE
+            code[todo[go & (then == -2)]] = INCONSISTENT
+            go &= then >= 0
+            at[todo[go]] = then[go]
+            steps[todo[go]] += 1
+            todo = todo[go]
+        return code, at, where, steps

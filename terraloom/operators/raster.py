@@ -128,6 +128,26 @@ def layers(pixels: DataFrame, cameras: DataFrame, count: int, nearest: int = 5)
     return c.withColumn("layer", layer).filter(F.col("layer") < count).select("p", "layer", F.col("q").alias("cam_id"), F.col("seen.px").alias("px"), F.col("seen.py").alias("py"), "d2")
 
 
+GREY = 64, 128  # of the chequered ground that no camera shows
+
+
+def preview(pixels: DataFrame, cameras: DataFrame, scale: float, nearest: int = 5) -> DataFrame:
+    """(p, row, col, cam_id, tx, ty, grey) from ground pixels (p, row, col, px, py, z): the first of the nearest cameras whose thumbnail, of
+    ``scale`` of its size, shows the pixel inside its first row and column, and where; a grey of the chequered ground where none does."""
+    near = knn_join(pixels.select("p", "px", "py"), cameras.select(F.col("node_id").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy")), nearest)
+    ground = pixels.select("p", F.col("px").alias("gx"), F.col("py").alias("gy"), F.col("z").alias("gz"))
+    c = near.join(ground, "p").join(cameras.withColumnRenamed("node_id", "q"), "q")
+    cols = lambda *n: tuple(map(F.col, n))
+    model = {n: F.col(n) for n in ("focal", "ppx", "ppy", "k1", "k2", "k3", "t1", "t2")}
+    c = c.withColumn("seen", camera.seen(cols("gx", "gy", "gz"), cols("x", "y", "z"), cols("qx", "qy", "qz", "qw"), model)).filter("seen.depth > 0")
+    at = lambda v: F.col(f"seen.{v}") * scale
+    c = c.withColumns({"tx": at("px").cast("int"), "ty": at("py").cast("int")})
+    c = c.filter((F.col("tx") > 0) & (F.col("tx") < F.floor(F.col("w_px") * scale)) & (F.col("ty") > 0) & (F.col("ty") < F.floor(F.col("h_px") * scale)))
+    first = c.groupBy("p").agg(F.min(F.struct("rank", "q", "tx", "ty")).alias("f")).select("p", F.col("f.q").alias("cam_id"), "f.tx", "f.ty")
+    grey = F.when(F.col("cam_id").isNull(), F.when((F.col("row") + F.col("col")) % 2 == 0, GREY[0]).otherwise(GREY[1]))
+    return pixels.select("p", "row", "col").join(first, "p", "left").withColumn("grey", grey)
+
+
 def footprint_mean(image: np.ndarray, px: np.ndarray, jacobian: np.ndarray, gsd: float, most: int = 16) -> np.ndarray:
     """Colours (n, channels) of ground cells of size ``gsd`` at pixels ``px`` (n, 2): the nearest pixel where the cell's ellipse in the image
     (``jacobian``, n x 2 x 2, pixels for each metre) is smaller than one, else the mean over the ellipse, whose radius is cut at ``most``."""

@@ -249,3 +249,55 @@ def ransac(df: DataFrame, by: str, model: Model, kind: str = "bigint") -> DataFr
         return pd.DataFrame({by: [pdf[by].iloc[0]], "score": [score], "model": [None if m is None else m.ravel().tolist()], "pairs": [len(pdf)], "inliers": [int(inside.sum())]})
 
     return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, score double, model array<double>, pairs int, inliers int")
+
+
+LEAST_INLIERS = Homography.points * 1.5  # a link holds with more of them
+REFRESHES = 3
+_LINK = "score double, relation array<double>, inliers int, decomposable boolean, accepted boolean, matches array<struct<idx1:int,idx2:int>>"
+
+
+def _accepted(by: str, pdf: pd.DataFrame, score: float, m: np.ndarray | None, inside: np.ndarray, a: np.ndarray) -> pd.DataFrame:
+    """One row of a link: its inlier matches only if the homography can be taken apart and enough of them are left; the link stays either way."""
+    poses = [] if m is None or not np.isfinite(m).all() else Homography().decompose(m)
+    decomposable = any(Homography.votes(r, n, a[inside]) > 0 for r, _, n in poses)
+    accepted = decomposable and inside.sum() > LEAST_INLIERS
+    pairs = sorted(zip(pdf["idx1"].to_numpy()[inside].tolist(), pdf["idx2"].to_numpy()[inside].tolist())) if accepted else []
+    return pd.DataFrame({by: [pdf[by].iloc[0]], "score": [score], "relation": [None if m is None else m.ravel().tolist()], "inliers": [int(inside.sum())], "decomposable": [decomposable], "accepted": [bool(accepted)], "matches": [pairs]})
+
+
+def _bearings(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    a, b = np.stack(pdf["a"].to_numpy()).astype(float), np.stack(pdf["b"].to_numpy()).astype(float)
+    ok = np.isfinite(a).all(1) & np.isfinite(b).all(1)
+    order = np.lexsort((*b[ok].T, *a[ok].T))
+    return pdf[ok].iloc[order], a[ok][order], b[ok][order]
+
+
+def accept_links(df: DataFrame, by: str, kind: str = "bigint") -> DataFrame:
+    """(by, score, relation, inliers, decomposable, accepted, matches) for each group of correspondences (idx1, idx2, a, b, quality)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, a, b = _bearings(pdf)
+        score, m, inside = consensus(Homography(), a, b, rows["quality"].to_numpy(float))
+        return _accepted(by, rows if len(rows) else pdf, score, m, inside, a)
+
+    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, {_LINK}")
+
+
+def refresh_links(df: DataFrame, by: str, kind: str = "bigint") -> DataFrame:
+    """As :func:`accept_links` for links whose cameras have changed, without sampling: from the matches that were inliers (``inlier``) the
+    homography is fitted and the inliers taken again, three times."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, a, b = _bearings(pdf)
+        h, m, score = Homography(), None, 0.0
+        inside = rows["inlier"].to_numpy(bool)
+        for _ in range(REFRESHES):
+            if inside.sum() < h.points:
+                m, inside = None, np.zeros(len(rows), bool)
+                break
+            m = h.refit(a[inside], b[inside], np.ones(inside.sum()))
+            e = h.error(m, a, b)
+            inside, score = e < h.threshold, float(np.maximum(0, 1 - (e / h.threshold) ** 2).mean())
+        return _accepted(by, rows if len(rows) else pdf, score, m, inside, a)
+
+    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, {_LINK}")

@@ -77,12 +77,6 @@ def refine_mesh(spark: SparkSession, d: str) -> DataFrame:
     return positions(spark, d).groupBy("batch").applyInPandas(run, "batch int, vertices int, edges int, triangles int, conforming boolean")
 
 
-def terrain_mesh(spark: SparkSession, d: str) -> DataFrame:
-    """Regular mesh over all images with the points' statistics for each of its edges' vertices."""
-    nodes, edges = mesh.grid_mesh(positions(spark, d), 25.0, 25.0)
-    return edges.join(nodes.select(F.col("node_id").alias("src"), F.col("z").alias("z_src")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("z").alias("z_dst")), "dst")
-
-
 def _batch_links(spark: SparkSession, d: str) -> DataFrame:
     """(batch, src, dst) of links, by the batch of their first image."""
     ends = images(spark, d, "batch").select(F.col("node_id").alias("src"), "batch")
@@ -177,48 +171,6 @@ def laplacian_blend(spark: SparkSession, d: str) -> DataFrame:
     return raster.blend_tiles(cell, ["node_id", "tx", "ty"], ["v"], 64)
 
 
-def _window(places: DataFrame, low: float, step: float, margin: float) -> tuple[int, int, int, int] | None:
-    """Column and row of the first vertex ``low + step * k`` and how many columns and rows there are, so that they hold all places and a margin."""
-    p = places.filter("not isnan(x) and not isnan(y)")
-    e = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if e[0] is None:
-        return None
-    first = [int(np.floor((v - margin - low) / step)) for v in (e[0], e[2])]
-    last = [int(np.ceil((v + margin - low) / step)) for v in (e[1], e[3])]
-    return *first, *(b - a + 1 for a, b in zip(first, last))
-
-
-def dsm_tile(spark: SparkSession, d: str) -> DataFrame:
-    """Surface heights over all images and a margin on a raster of 5 m over a mesh of 25 m. Rows and columns count from -200 m, so those
-    before it are negative."""
-    p = positions(spark, d)
-    step, low, fine = 25.0, -200.0, 5
-    window = _window(p, low, step, step)
-    if window is None:
-        return spark.createDataFrame([], "row bigint, col bigint, z double")
-    i, j, n, m = window
-    x0, y0 = low + step * i, low + step * j
-    g = spark.range(n * m).select(F.col("id").alias("p"), (x0 + step * (F.col("id") % n)).alias("px"), (y0 + step * F.floor(F.col("id") / n)).alias("py"))
-    from terraloom.operators.neighbours import knn_join
-
-    near = knn_join(g, p.select(F.col("node_id").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy")), 1)
-    nodes = materialise(near.join(p.select(F.col("node_id").alias("q"), "z"), "q").select(F.col("p").alias("node_id"), "z"))
-    k = fine * (n - 1)
-    px = spark.range(k * fine * (m - 1)).select((F.col("id") % k + fine * i).alias("col"), (F.floor(F.col("id") / k) + fine * j).alias("row"))
-    px = px.select("row", "col", (low + step / fine * F.col("col")).alias("px"), (low + step / fine * F.col("row")).alias("py"))
-    return raster.surface_heights(px, nodes, (x0, y0), step, n).select("row", "col", "z")
-
-
-def ortho_layers(spark: SparkSession, d: str) -> DataFrame:
-    """First two cameras that show each ground pixel (gx, gy) of 5 m over all images and a margin."""
-    cameras = solved(spark, d).filter("projection = 'PLANAR'")
-    step, low = 5.0, -150.0
-    i, j, n, m = _window(positions(spark, d), low, step, 25.0) or (0, 0, 0, 0)
-    gx, gy = low + step * (F.col("p") % n + i), low + step * (F.floor(F.col("p") / n) + j)
-    px = spark.range(n * m).select(F.col("id").alias("p")).select("p", gx.alias("px"), gy.alias("py"), F.lit(0.0).alias("z"))
-    return raster.layers(px, cameras, 2).withColumns({"gx": gx, "gy": gy})
-
-
 def tile_order(spark: SparkSession, d: str) -> DataFrame:
     """Order of the tiles over all images for a cache of 40 images, from the cameras each tile needs. The order is one greedy pass over the
     tiles of a raster: their camera lists, a few for each tile, are what the driver holds."""
@@ -234,16 +186,6 @@ def tile_order(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, t % nx + x0, t // nx + y0, len(need.get(t, ()))) for k, t in enumerate(order)], "place int, tx bigint, ty bigint, cameras int")
 
 
-def track_rays(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks of matched features: connected features of at least two images, with how many each has."""
-    from terraloom.operators.graph import components
-
-    m = matching.ratio_match(links(spark, d), features(spark, d, "descriptor"), 1.0).join(links(spark, d), "edge_id")
-    e = m.select(F.concat_ws(":", "src", "idx1").alias("a"), F.concat_ws(":", "dst", "idx2").alias("b"))
-    c = components(e, "a", "b").withColumn("image", F.split("node", ":")[0])
-    return c.groupBy(F.col("component").alias("track")).agg(F.count("*").alias("features"), F.countDistinct("image").alias("images"))
-
-
 def queries() -> dict:
-    names = (ransac_links, ransac_fundamental, ransac_essential, kmeans_clusters, spectral_groups, refine_mesh, terrain_mesh, bundle_adjust, color_balance, laplacian_blend, dsm_tile, ortho_layers, tile_order, track_rays)
+    names = (ransac_links, ransac_fundamental, ransac_essential, kmeans_clusters, spectral_groups, refine_mesh, bundle_adjust, color_balance, laplacian_blend, tile_order)
     return {f.__name__: f for f in names}

@@ -408,13 +408,13 @@ def unproject_inverse(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d).withColumns(dict(zip(("ux", "uy", "uz"), u))).select("node_id", "idx", *(r(c, 6).alias(n) for c, n in zip(ray, ("rx", "ry", "rz"))))
 
 
-@query()
+@query(f"SELECT node_id, idx, true AS back FROM {_Q} s JOIN {FT} t USING (node_id)")
 def unproject_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Rays of features by inverting the distortion, and how far they project from where they came (in pixels)."""
+    """Whether the rays of features, by inverting the distortion, project to within a hundredth of a pixel of where they came from."""
     m = {n: F.col(n) for n in _MODEL}
     u = _pixels(spark, d).withColumns(dict(zip(("ux", "uy", "uz"), camera.unproject_forward(_cols("fx", "fy"), m))))
     px, py = camera.project(_cols("ux", "uy", "uz"), m)
-    return u.select("node_id", "idx", "ux", "uy", "uz", F.hypot(px - F.col("fx"), py - F.col("fy")).alias("residual"))
+    return u.select("node_id", "idx", (F.hypot(px - F.col("fx"), py - F.col("fy")) < 0.01).alias("back"))
 
 
 _AXIS = _qrot_sql("s", ("0", "0", "1"))

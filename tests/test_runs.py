@@ -159,7 +159,7 @@ def test_rasters_hold_all_images(spark, tmp_path):
     """Images far from the origin: nothing of them lies within 300 m."""
     from pyspark.sql import functions as F
 
-    from terraloom.plans import estimation
+    from terraloom.plans import scenes
     from terraloom.plans.reference import positions
     from terraloom.runtime import read
     from tests.conftest import DATA
@@ -167,10 +167,10 @@ def test_rasters_hold_all_images(spark, tmp_path):
     p = F.col("position")
     read(spark, DATA, "images").withColumn("position", F.when(p.isNotNull(), F.array(p[0] + 1000, p[1] - 700, p[2]))).write.parquet(f"{tmp_path}/images.parquet")
     read(spark, DATA, "camera_models").write.parquet(f"{tmp_path}/camera_models.parquet")
-    there = {(int((r.x + 200) // 5), int((r.y + 200) // 5)) for r in positions(spark, str(tmp_path)).collect()}
-    tile = estimation.dsm_tile(spark, str(tmp_path)).collect()
+    there = {(int(r.x // 5), int(r.y // 5)) for r in positions(spark, str(tmp_path)).collect()}
+    tile = scenes.dsm_tile(spark, str(tmp_path)).collect()
     assert there <= {(r.col, r.row) for r in tile} and all(r.z is not None for r in tile)
-    here, moved = (estimation.ortho_layers(spark, d).select("gx", "gy", "layer", "cam_id").collect() for d in (DATA, str(tmp_path)))
+    here, moved = (scenes.ortho_layers(spark, d).select("gx", "gy", "layer", "cam_id").collect() for d in (DATA, str(tmp_path)))
     assert len(here) > 0 and {(r.gx + 1000, r.gy - 700, r.layer, r.cam_id) for r in here} == {(r.gx, r.gy, r.layer, r.cam_id) for r in moved}
 
 
