@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.operators.graph import components
-from terraloom.runtime import materialise
+from terraloom.runtime import materialise, spread
 
 HUBER, ROUNDS, PRIOR = 5.0, 20, 0.1
 TURNS = 12  # of groups and models
@@ -116,7 +116,7 @@ def balance_groups(pairs: DataFrame, group: str, rounds: int = ROUNDS, turns: in
             sums = pd.concat(out[1:]).groupby(["m1", "m2", "k"], as_index=False)["v"].sum().assign(g=pdf[group].iloc[0], cam_id=None, x=None)
             return pd.concat([out[0], sums])[["g", "cam_id", "x", "m1", "m2", "k", "v"]]
 
-        solved = materialise(rows.groupBy(group).applyInPandas(run, ddl))
+        solved = materialise(spread(rows, group).groupBy(group).applyInPandas(run, ddl))
         sums = solved.filter("k >= 0").groupBy("m1", "m2", "k").agg(F.sum("v").alias("v")).collect()
         models = sorted({r.m1 for r in sums})
         if not models:

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from terraloom.runtime import spread
+
 SEED, LEAST_ROUNDS, MOST_ROUNDS, CONFIDENCE, REFITS = 42, 20, 10_000, 0.999, 5
 EARLY, EARLY_SHARE = 20, 0.6
 POOL_EVERY = 10
@@ -248,7 +250,7 @@ def ransac(df: DataFrame, by: str, model: Model, kind: str = "bigint") -> DataFr
         score, m, inside = consensus(model, a[ok][order], b[ok][order], pdf["quality"].to_numpy(float)[ok][order])
         return pd.DataFrame({by: [pdf[by].iloc[0]], "score": [score], "model": [None if m is None else m.ravel().tolist()], "pairs": [len(pdf)], "inliers": [int(inside.sum())]})
 
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, score double, model array<double>, pairs int, inliers int")
+    return spread(df, by).groupBy(by).applyInPandas(run, f"`{by}` {kind}, score double, model array<double>, pairs int, inliers int")
 
 
 LEAST_INLIERS = Homography.points * 1.5  # a link holds with more of them
@@ -280,7 +282,7 @@ def accept_links(df: DataFrame, by: str, kind: str = "bigint") -> DataFrame:
         score, m, inside = consensus(Homography(), a, b, rows["quality"].to_numpy(float))
         return _accepted(by, rows if len(rows) else pdf, score, m, inside, a)
 
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, {_LINK}")
+    return spread(df, by).groupBy(by).applyInPandas(run, f"`{by}` {kind}, {_LINK}")
 
 
 def refresh_links(df: DataFrame, by: str, kind: str = "bigint") -> DataFrame:
@@ -300,4 +302,4 @@ def refresh_links(df: DataFrame, by: str, kind: str = "bigint") -> DataFrame:
             inside, score = e < h.threshold, float(np.maximum(0, 1 - (e / h.threshold) ** 2).mean())
         return _accepted(by, rows if len(rows) else pdf, score, m, inside, a)
 
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, {_LINK}")
+    return spread(df, by).groupBy(by).applyInPandas(run, f"`{by}` {kind}, {_LINK}")

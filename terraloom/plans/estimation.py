@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import camera
 from terraloom.operators import clusters, colour, matching, mesh, ordering, raster, robust, solve
 from terraloom.plans.reference import features, images, links, positions, solved
-from terraloom.runtime import materialise
+from terraloom.runtime import spread
 
 _MODEL = ["focal", "ppx", "ppy", "k1", "k2", "k3", "t1", "t2"]
 
@@ -60,7 +60,7 @@ def spectral_groups(spark: SparkSession, d: str) -> DataFrame:
         g = clusters.spectral_groups(len(pdf), edges, np.ones(len(edges)), k, pdf[["x", "y"]].to_numpy(float))
         return pd.DataFrame({"node_id": pdf["node_id"], "batch": pdf["batch"], "cluster": g})
 
-    return positions(spark, d).groupBy("batch").cogroup(_batch_links(spark, d).groupBy("batch")).applyInPandas(run, "node_id bigint, batch int, cluster int")
+    return spread(positions(spark, d), "batch").groupBy("batch").cogroup(spread(_batch_links(spark, d), "batch").groupBy("batch")).applyInPandas(run, "node_id bigint, batch int, cluster int")
 
 
 def refine_mesh(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def refine_mesh(spark: SparkSession, d: str) -> DataFrame:
         n, e = m.tables()
         return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "vertices": [len(n)], "edges": [len(e)], "triangles": [len(m.triangles)], "conforming": [m.conforming()]})
 
-    return positions(spark, d).groupBy("batch").applyInPandas(run, "batch int, vertices int, edges int, triangles int, conforming boolean")
+    return spread(positions(spark, d), "batch").groupBy("batch").applyInPandas(run, "batch int, vertices int, edges int, triangles int, conforming boolean")
 
 
 def _batch_links(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ def bundle_adjust(spark: SparkSession, d: str) -> DataFrame:
         pdf = pdf.sort_values("path").reset_index(drop=True)
         return turned_and_solved(pdf, _edges(pdf["node_id"], e))
 
-    found = solved(spark, d).groupBy("batch").cogroup(_batch_links(spark, d).groupBy("batch")).applyInPandas(run, "node_id bigint, batch int, error_before double, error_after double")
+    found = spread(solved(spark, d), "batch").groupBy("batch").cogroup(spread(_batch_links(spark, d), "batch").groupBy("batch")).applyInPandas(run, "node_id bigint, batch int, error_before double, error_after double")
     return found.select("node_id", "batch", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("error_before", "error_after")))
 
 

@@ -408,13 +408,17 @@ def unproject_inverse(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d).withColumns(dict(zip(("ux", "uy", "uz"), u))).select("node_id", "idx", *(r(c, 6).alias(n) for c, n in zip(ray, ("rx", "ry", "rz"))))
 
 
-@query(f"SELECT node_id, idx, true AS back FROM {_Q} s JOIN {FT} t USING (node_id)")
+@query(
+    f"SELECT node_id, idx, round(vx / n, 6) + 0.0 AS ux, round(vy / n, 6) + 0.0 AS uy, round(1 / n, 6) AS uz FROM (SELECT *, sqrt(vx * vx + vy * vy + 1) AS n FROM (SELECT node_id, idx, 0.5 * (t.x - ppx) / f AS vx, 0.5 * (t.y - ppy) / f AS vy FROM {_Q} s JOIN {FT} t USING (node_id)))"
+)
 def unproject_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the rays of features, by inverting the distortion, project to within a hundredth of a pixel of where they came from."""
+    """Rays halfway out to features, projected into the frame and recovered by inverting the distortion."""
     m = {n: F.col(n) for n in _MODEL}
-    u = _pixels(spark, d).withColumns(dict(zip(("ux", "uy", "uz"), camera.unproject_forward(_cols("fx", "fy"), m))))
-    px, py = camera.project(_cols("ux", "uy", "uz"), m)
-    return u.select("node_id", "idx", (F.hypot(px - F.col("fx"), py - F.col("fy")) < 0.01).alias("back"))
+    half = lambda p, c: 0.5 * (F.col(p) - F.col(c)) / F.col("focal")
+    px, py = camera.project((half("fx", "ppx"), half("fy", "ppy"), F.lit(1.0)), m)
+    u = _pixels(spark, d).withColumns({"px": px, "py": py})
+    ray = camera.unproject_forward(_cols("px", "py"), m)
+    return u.select("node_id", "idx", *((r(c, 6) + 0.0).alias(n) for c, n in zip(ray[:2], ("ux", "uy"))), r(ray[2], 6).alias("uz"))
 
 
 _AXIS = _qrot_sql("s", ("0", "0", "1"))

@@ -50,6 +50,12 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into all shuffle partitions: for groups that cost time rather than bytes, which adaptive execution would
+    put together by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
