@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.runtime import broadcast_if_small, materialise
+
 BRIDGE = "doc bigint, parent string, parent_hash binary, member string, ordinal int, path string, child_hash binary, content string"
 
 
@@ -35,8 +37,7 @@ def parse(body: str | None):
         return False, None
 
 
-def _holds_objects(v: list) -> bool:
-    return any(isinstance(x, dict) or isinstance(x, list) and _holds_objects(x) for x in v)
+_dumps = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
 
 
 def _step(name: str) -> str:
@@ -49,34 +50,39 @@ def shred_value(value, embedded: frozenset[str] = frozenset()) -> list[tuple]:
     ``content`` is the canonical JSON of the plain members. A text member named in ``embedded`` that is JSON itself is opened."""
     rows: list[tuple] = []
 
-    def node(v, path: str) -> tuple[bytes, str]:
-        plain, children = {}, []
-        items = v.items() if isinstance(v, dict) else ((None, x) for x in v)
-        for k, (name, x) in enumerate(items):
-            if isinstance(x, str) and name in embedded:
+    def node(v, path: str) -> tuple[bytes, str] | None:
+        """Identity and content of an object, or of an array that holds objects; nothing for an array that holds none."""
+        plain, children, is_object = {}, [], isinstance(v, dict)
+        for k, (name, x) in enumerate(v.items() if is_object else ((None, x) for x in v)):
+            if embedded and isinstance(x, str) and name in embedded:
                 ok, inner = parse(x)
                 x = inner if ok and isinstance(inner, (dict, list)) else x
-            step = f"{path}/{_step(name) if name is not None else k}"
-            if isinstance(x, dict) or isinstance(x, list) and _holds_objects(x):
-                children.append((name, None if name is not None else k, step, *node(x, step)))
-            else:
-                plain[name if name is not None else str(k)] = x
-        content = json.dumps(plain, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            if isinstance(x, (dict, list)):
+                step = f"{path}/{_step(name) if is_object else k}"
+                below = node(x, step)
+                if below is not None:
+                    children.append((name, None if is_object else k, step, *below))
+                    continue
+            plain[name if is_object else str(k)] = x
+        if not is_object and not children:
+            return None
+        content = _dumps(plain)
         h = hashlib.blake2b(digest_size=16)
-        h.update(("{" if isinstance(v, dict) else f"[{len(v)}").encode())
+        h.update(("{" if is_object else f"[{len(v)}").encode())
         h.update(content.encode("utf-8", "surrogatepass"))
         for name, k, _, digest, _ in sorted(children, key=lambda c: (c[0] or "", c[1] or 0)):
-            h.update(json.dumps([name, k]).encode() + digest)
+            h.update(_dumps([name, k]).encode("utf-8", "surrogatepass") + digest)
         identity = h.digest()
         rows.extend((path, identity, name, k, step, digest, inner) for name, k, step, digest, inner in children)
         return identity, content
 
     if isinstance(value, (dict, list)):
         try:
-            identity, content = node(value, "")
+            whole = node(value, "")
         except RecursionError:
             return []
-        rows.append((None, None, None, None, "", identity, content))
+        if whole is not None:
+            rows.append((None, None, None, None, "", *whole))
     return rows
 
 
@@ -95,7 +101,7 @@ def shred(df: DataFrame, key: str, body: str, embedded: frozenset[str] = frozens
             yield out
 
     texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(body).alias("body")).filter("doc is not null and body is not null")
-    return texts.mapInPandas(run, BRIDGE)
+    return texts.distinct().mapInPandas(run, BRIDGE)
 
 
 def tables(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,27 +111,40 @@ def tables(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
     return objects, bridge.select("doc", "r.parent", "r.parent_hash", "r.member", "r.ordinal", "path", "r.child_hash")
 
 
+#: Occurrences of one object above which it is kept in several copies for joins, each for a part of them.
+HOT = 100_000
+
+
+def with_content(occurrences: DataFrame, hot: int = HOT) -> DataFrame:
+    """Occurrences (child_hash, …) with their object's content, joined by the hash; an object that a third of all documents share is joined in parts."""
+    objects = materialise(occurrences.groupBy("child_hash").agg(F.min("content").alias("content"), F.ceil(F.count("*") / hot).cast("int").alias("_parts")))
+    shared = objects.filter("_parts > 1").select("child_hash", "_parts")  # at most rows / HOT
+    bridge = occurrences.drop("content")
+    if shared.isEmpty():
+        return bridge.join(objects.drop("_parts"), "child_hash")
+    bridge = bridge.join(broadcast_if_small(shared), "child_hash", "left").withColumn("_part", F.pmod(F.xxhash64("doc", "path"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    objects = objects.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return bridge.join(objects, ["child_hash", "_part"]).drop("_part")
+
+
 def graph_features(occurrences: DataFrame) -> DataFrame:
-    """Rows (graph_id, node_id, feature_idx, model_id) of measurement graphs, from the object and bridge tables.
+    """Rows (graph_id, node_id, feature_idx, model_id) of measurement graphs, from objects and the bridge of their occurrences.
 
     Nodes are the members of ``nodes`` (a map by id, or a list of objects with ``id``), at the top or under ``graph``; features a list, or
-    one object; a model an object with ``id`` or the id itself."""
-    objects, bridge = tables(occurrences)
-    in_nodes = F.col("parent").isin("/nodes", "/graph/nodes")
-    text = lambda c, name: F.get_json_object(c, f"$.{name}")
-    nodes = bridge.filter(in_nodes).select("doc", F.col("path").alias("node"), "member", F.col("child_hash").alias("hash"))
-    nodes = nodes.join(objects.select("hash", "content"), "hash")
-    nodes = nodes.select("doc", "node", F.coalesce("member", text("content", "id")).alias("node_id"), text("content", "model").alias("model_ref"))
+    one object; a model an object with ``id`` or the id itself. Only nodes and models need their objects; features are places in the bridge."""
+    occurrences = materialise(occurrences.drop("parent_hash"))
     under = F.regexp_extract("parent", r"^((?:/graph)?/nodes/[^/]*)$", 1)
-    models = bridge.filter((F.col("member") == "model") & (under != "")).select("doc", F.col("parent").alias("node"), F.col("child_hash").alias("hash"))
-    models = models.join(objects.select("hash", "content"), "hash").select("doc", "node", text("content", "id").alias("model_obj"))
-    lone = bridge.filter((F.col("member") == "features") & (under != "")).select("doc", F.col("parent").alias("node"), F.col("path").alias("flist"), F.col("child_hash").alias("fhash"))
     of_list = F.regexp_extract("parent", r"^((?:/graph)?/nodes/[^/]*)/features$", 1)
-    listed = bridge.filter((of_list != "") & F.col("ordinal").isNotNull()).select("doc", of_list.alias("node"), F.col("ordinal").alias("feature_idx"))
+    text = lambda c, name: F.get_json_object(c, f"$.{name}")
+    is_node, is_model = F.col("parent").isin("/nodes", "/graph/nodes"), (F.col("member") == "model") & (under != "")
+    held = materialise(with_content(occurrences.filter(is_node | is_model)))
+    nodes = held.filter(is_node).select("doc", F.col("path").alias("node"), F.coalesce("member", text("content", "id")).alias("node_id"), text("content", "model").alias("model_ref"))
+    models = held.filter(is_model).select("doc", F.col("parent").alias("node"), text("content", "id").alias("model_obj"))
     # A features member that is an array has the array's content, whose places are numbers; a lone feature is an object.
-    is_array = bridge.filter((of_list != "") & F.col("ordinal").isNotNull()).select("doc", F.col("parent").alias("flist")).distinct()
-    single = lone.join(is_array, ["doc", "flist"], "left_anti").select("doc", "node", F.lit(0).alias("feature_idx"))
-    features = listed.unionByName(single)
-    out = features.join(nodes, ["doc", "node"]).join(models, ["doc", "node"], "left")
+    listed = occurrences.filter((of_list != "") & F.col("ordinal").isNotNull()).select("doc", of_list.alias("node"), F.col("ordinal").alias("feature_idx"))
+    lone = occurrences.filter((F.col("member") == "features") & (under != "")).select("doc", F.col("parent").alias("node"), F.lit(0).alias("feature_idx"))
+    single = lone.join(listed.select("doc", "node").distinct(), ["doc", "node"], "left_anti")
     model = F.coalesce(F.expr("try_cast(model_obj as bigint)"), F.expr("try_cast(model_ref as bigint)"), F.lit(-1).cast("bigint"))
-    return out.filter("node_id is not null").groupBy(F.col("doc").alias("graph_id"), "node_id", "feature_idx").agg(F.max(model).alias("model_id"))
+    known = nodes.join(models, ["doc", "node"], "left").filter("node_id is not null").groupBy("doc", "node", "node_id").agg(F.max(model).alias("model_id"))
+    out = listed.unionByName(single).join(known, ["doc", "node"])
+    return out.groupBy(F.col("doc").alias("graph_id"), "node_id", "feature_idx").agg(F.max("model_id").alias("model_id"))

@@ -64,3 +64,13 @@ def test_depth(depth):
 
 def test_empty(spark):
     assert n.graph_features(run(spark, [])).count() == 0
+
+
+def test_an_object_of_many_documents_is_joined_in_parts(spark):
+    bodies = [(k, '{"nodes": {"%d": {"model": {"id": 5}, "features": [{"x": 1}, null, {"x": 2}]}}}' % (k % 3)) for k in range(200)]
+    o = n.shred(spark.createDataFrame(bodies, "id bigint, body string"), "id", "body")
+    whole = {tuple(r) for r in n.with_content(o).select("doc", "path", "child_hash", "content").collect()}
+    parts = {tuple(r) for r in n.with_content(o, hot=16).select("doc", "path", "child_hash", "content").collect()}
+    assert whole == parts and len(whole) == o.count()
+    got = n.graph_features(o)
+    assert {tuple(r) for r in got.collect()} == {(k, str(k % 3), i, 5) for k in range(200) for i in (0, 2)}
