@@ -3,7 +3,8 @@
 Vectors are packed bits; with bits as signs, the fewest differing bits are the greatest inner product. A bounded sample fits
 (a) centroids that split the collection into cells and (b) product codebooks of 16 words for each subspace, whose loss weighs the
 residual parallel to the vector more than the rest of it (score-aware). Every vector is indexed in its best ``SPILL`` cells and asks
-its best ``PROBES`` cells; in a cell the asker's look-up tables, 8 bits wide, are summed over the four-bit codes, and all whose sum
+its best ``PROBES`` cells; cells near each other are regions, so that a vector travels once for each region it asks, not once for each
+cell. In a cell the asker's look-up tables, 8 bits wide, are summed over the four-bit codes, and all whose sum
 could belong to a vector within the wanted bits are compared bit by bit. The bound of that sum is fitted, too: all but ``MISSED`` of the
 sample's vectors with as many bits flipped stay above it. Only descriptors that differ enter the index; equal ones are one row with their smallest keys.
 
@@ -25,7 +26,8 @@ from terraloom.runtime import materialise
 WORDS, BITS = 8, 486
 SAMPLE_ROWS = 65_536  # bound of the sample that fits centroids and codebooks
 CODEBOOK_ROWS = 8_192  # of which the codebooks use so many
-MAX_CELLS = 4_096
+CELLS_PER_REGION = 16
+LEAST_PER_CELL = 8  # rows of the sample for each cell, which bounds the number of cells
 SPILL, PROBES = 2, 20
 SUBSPACES, CODES = 18, 16
 ALIGNMENT = 0.2  # inner products above this share of the greatest count in the score-aware loss
@@ -141,6 +143,7 @@ def fit_bound(v: np.ndarray, books: np.ndarray, max_bits: int, seed: int = 1) ->
 @dataclass
 class Index:
     centroids: np.ndarray
+    regions: np.ndarray  # of each cell
     books: np.ndarray
     bound: float
 
@@ -160,11 +163,13 @@ def _fit(groups: DataFrame, max_bits: int) -> Index:
     w = w[np.lexsort(w.T)] if len(w) else np.ones((1, WORDS), np.int64)  # in an order that doesn't hang on partitions
     v = unpack(w)
     cells = 1
-    while cells * cells < 4 * n and cells < MAX_CELLS:
+    while cells * cells < 4 * n and 2 * LEAST_PER_CELL * cells <= SAMPLE_ROWS:
         cells *= 2
     part, others = codebook_rows(len(v))
     books = fit_books(v[part])
-    return Index(fit_cells(v, min(cells, max(1, len(v) // 8))), books, fit_bound(v[others], books, max_bits))
+    centroids = fit_cells(v, min(cells, max(1, len(v) // LEAST_PER_CELL)))
+    middles = fit_cells(centroids, -(-len(centroids) // CELLS_PER_REGION))
+    return Index(centroids, (centroids @ middles.T).argmax(1), books, fit_bound(v[others], books, max_bits))
 
 
 def valid_vectors(df: DataFrame, node: str, idx: str, vector: str) -> DataFrame:
@@ -188,6 +193,7 @@ def candidates(groups: DataFrame, k: int, max_bits: int) -> DataFrame:
     index = spark.sparkContext.broadcast(_fit(groups, max_bits))
 
     def assign(batches):
+        """Each vector once for each region of its cells, with those cells there that it asks and those it lives in."""
         x = index.value
         spill, probes = min(SPILL, len(x.centroids)), min(PROBES, len(x.centroids))
         for b in batches:
@@ -196,42 +202,59 @@ def candidates(groups: DataFrame, k: int, max_bits: int) -> DataFrame:
             best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), 1, kind="stable"), 1)
             codes = encode(v, x.books, parallel_weight())
-            yield b.assign(codes=[c.tobytes() for c in codes], homes=[r.tolist() for r in best[:, :spill]], cells=[r.tolist() for r in best])
+            at = x.regions[best]
+            rows = np.repeat(np.arange(len(b)), probes)
+            keys = rows * (len(x.regions) + 1) + at.ravel()
+            order = np.argsort(keys, kind="stable")  # a vector's homes are its first cells, and stay in front
+            first = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0]) if len(keys) else np.empty(0, int)
+            cells = np.split(best.ravel()[order], first[1:])
+            is_home = np.tile(np.arange(probes) < spill, len(b))[order]
+            homes = [c[h] for c, h in zip(cells, np.split(is_home, first[1:]))]
+            own = rows[order][first]
+            yield b.iloc[own].assign(region=at.ravel()[order][first], asked=[c.tolist() for c in cells], home=[h.tolist() for h in homes], codes=[codes[r].tobytes() if len(h) else None for r, h in zip(own, homes)])
 
     rows = groups.select(F.col("keys")[0]["node"].alias("node"), F.col("keys")[0]["idx"].alias("idx"), *_W)
-    ddl = "node bigint, idx int, " + ", ".join(f"{w} bigint" for w in _W) + ", codes binary, homes array<int>, cells array<int>"
-    rows = materialise(rows.mapInPandas(assign, ddl))
-    # At most MAX_CELLS counts reach the driver; they decide how crowded cells are cut into blocks.
-    count = lambda c: {r.c: r.n for r in rows.select(F.explode(c).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    indexed, asked = count("homes"), count("cells")
-    cuts = {c: (-(-indexed.get(c, 1) // DB_BLOCK), -(-n // QUERY_BLOCK)) for c, n in asked.items()}
-    crowded = [(c, *x) for c, x in cuts.items() if x != (1, 1)]
-    table = F.broadcast(spark.createDataFrame(crowded, "cell int, db_cuts int, q_cuts int"))
-    spread = rows.select("*", F.posexplode("cells").alias("rank", "cell")).drop("cells")
-    spread = spread.withColumn("db", F.array_contains("homes", F.col("cell"))).drop("homes", "rank").join(table, "cell", "left").fillna(1, ["db_cuts", "q_cuts"])
+    words = ", ".join(f"{w} bigint" for w in _W)
+    spread = materialise(rows.mapInPandas(assign, f"node bigint, idx int, {words}, region int, asked array<int>, home array<int>, codes binary"))
+    # One count for each region, of which there are a sixteenth of the cells, reaches the driver; they decide how crowded regions are cut into blocks.
+    told = F.size("home") > 0
+    crowded = [(r.region, -(-max(r.d, 1) // DB_BLOCK), -(-r.q // QUERY_BLOCK)) for r in spread.groupBy("region").agg(F.count("*").alias("q"), F.sum(told.cast("int")).alias("d")).collect()]
+    table = F.broadcast(spark.createDataFrame([c for c in crowded if c[1:] != (1, 1)], "region int, db_cuts int, q_cuts int"))
+    spread = spread.join(table, "region", "left").fillna(1, ["db_cuts", "q_cuts"])
     h = F.xxhash64("node", "idx")
     own_db, own_q = F.pmod(h, F.col("db_cuts")).cast("int"), F.pmod(h, F.col("q_cuts")).cast("int")
-    asks = F.transform(F.sequence(F.lit(0), F.col("db_cuts") - 1), lambda d: F.struct(d.alias("d"), own_q.alias("q"), F.lit(True).alias("asks"), (F.col("db") & (d == own_db)).alias("told")))
-    told = F.filter(
-        F.transform(F.sequence(F.lit(0), F.col("q_cuts") - 1), lambda q: F.struct(own_db.alias("d"), q.alias("q"), F.lit(False).alias("asks"), F.col("db").alias("told"))),
+    asks = F.transform(F.sequence(F.lit(0), F.col("db_cuts") - 1), lambda d: F.struct(d.alias("d"), own_q.alias("q"), F.lit(True).alias("asks"), (told & (d == own_db)).alias("told")))
+    tells = F.filter(
+        F.transform(F.sequence(F.lit(0), F.col("q_cuts") - 1), lambda q: F.struct(own_db.alias("d"), q.alias("q"), F.lit(False).alias("asks"), told.alias("told"))),
         lambda s: s["told"] & (s["q"] != own_q),
     )
-    spread = spread.withColumn("s", F.explode(F.concat(asks, told)))
-    spread = spread.select("cell", F.col("s.d").alias("d"), F.col("s.q").alias("q"), F.col("s.asks").alias("asks"), F.when(F.col("s.told"), F.col("codes")).alias("codes"), "node", "idx", *_W)
+    spread = spread.withColumn("s", F.explode(F.concat(asks, tells)))
+    cells = F.when(F.col("s.asks"), F.col("asked")).alias("asked"), F.when(F.col("s.told"), F.col("home")).alias("home"), F.when(F.col("s.told"), F.col("codes")).alias("codes")
+    spread = spread.select("region", F.col("s.d").alias("d"), F.col("s.q").alias("q"), *cells, "node", "idx", *_W)
+
+    def listed(lists) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of a column of lists, sorted by cell."""
+        sizes = np.array([0 if x is None else len(x) for x in lists], int)
+        cell = np.concatenate([x for x in lists if x is not None]).astype(int) if sizes.sum() else np.empty(0, int)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(cell, kind="stable")
+        return row[order], cell[order]
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        told = pdf["codes"].notna().to_numpy()
-        asks = pdf["asks"].to_numpy(bool)
         words = pdf[_W].to_numpy(np.int64).view(np.uint64)
         node, idx = pdf["node"].to_numpy(), pdf["idx"].to_numpy()
         out = {"qnode": [], "qidx": [], "node": [], "idx": [], "bits": []}
-        if told.any():
-            dw, dn, di = words[told], node[told], idx[told]
-            codes = np.frombuffer(b"".join(pdf["codes"].to_numpy()[told]), np.uint8).reshape(-1, SUBSPACES)
-            for at in np.array_split(np.flatnonzero(asks), -(-int(asks.sum()) // 1024) or 1):
-                if not len(at):
-                    continue
-                r, j = scan(words[at].view(np.int64), codes, index.value.books, index.value.bound)
+        codes = np.zeros((len(pdf), SUBSPACES), np.uint8)
+        known = np.flatnonzero(pdf["codes"].notna().to_numpy())
+        if len(known):
+            codes[known] = np.frombuffer(b"".join(pdf["codes"].to_numpy()[known]), np.uint8).reshape(-1, SUBSPACES)
+        (askers, asked), (tellers, home) = listed(pdf["asked"]), listed(pdf["home"])
+        for cell in np.intersect1d(asked, home):
+            db = tellers[slice(*np.searchsorted(home, [cell, cell + 1]))]
+            of = askers[slice(*np.searchsorted(asked, [cell, cell + 1]))]
+            dw, dn, di = words[db], node[db], idx[db]
+            for at in np.array_split(of, -(-len(of) // 1024)):
+                r, j = scan(words[at].view(np.int64), codes[db], index.value.books, index.value.bound)
                 b = np.concatenate([np.bitwise_count(words[at[r[s : s + RERANK_PAIRS]]] ^ dw[j[s : s + RERANK_PAIRS]]).sum(1, dtype=np.int32) for s in range(0, max(1, len(r)), RERANK_PAIRS)])
                 near_by = (b <= max_bits) & ((dn[j] != node[at][r]) | (di[j] != idx[at][r]))
                 r, j, b = r[near_by], j[near_by], b[near_by]
@@ -244,7 +267,7 @@ def candidates(groups: DataFrame, k: int, max_bits: int) -> DataFrame:
                     out[name].append(x)
         return pd.DataFrame({n: np.concatenate(x) if x else np.empty(0, np.int64) for n, x in out.items()})
 
-    return spread.groupBy("cell", "d", "q").applyInPandas(near, "qnode bigint, qidx int, node bigint, idx int, bits int")
+    return spread.groupBy("region", "d", "q").applyInPandas(near, "qnode bigint, qidx int, node bigint, idx int, bits int")
 
 
 def nearest_pairs(df: DataFrame, node: str, idx: str, vector: str, k: int = 5, max_bits: int = 96) -> DataFrame:
