@@ -26,7 +26,7 @@ WORDS, BITS = 8, 486
 SAMPLE_ROWS = 65_536  # bound of the sample that fits centroids and codebooks
 CODEBOOK_ROWS = 8_192  # of which the codebooks use so many
 MAX_CELLS = 4_096
-SPILL, PROBES = 2, 20
+SPILL, PROBES = 4, 12
 SUBSPACES, CODES = 18, 16
 ALIGNMENT = 0.2  # inner products above this share of the greatest count in the score-aware loss
 MISSED = 0.001
