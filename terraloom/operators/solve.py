@@ -65,6 +65,18 @@ def matrix(q: np.ndarray) -> np.ndarray:
     return np.stack([np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], 1), np.stack([2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], 1), np.stack([2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], 1)], 1)
 
 
+def quaternion(r: np.ndarray) -> np.ndarray:
+    """Unit quaternions (n, 4: x, y, z, w), w not negative, of rotation matrices (n, 3, 3): the dominant eigenvector of each one's form."""
+    r = r.reshape(-1, 3, 3)
+    k = np.zeros((len(r), 4, 4))
+    t = np.trace(r, axis1=1, axis2=2)
+    k[:, :3, :3] = r + np.transpose(r, (0, 2, 1)) - t[:, None, None] * np.eye(3)
+    k[:, :3, 3] = k[:, 3, :3] = np.stack([r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]], 1)
+    k[:, 3, 3] = t
+    q = np.linalg.eigh(k)[1][:, :, -1]
+    return q * np.where(q[:, 3:] < 0, -1.0, 1.0)
+
+
 def huber(r: np.ndarray, d: float) -> np.ndarray:
     """Weights whose squares make the plain loss a Huber loss."""
     a = np.abs(r)

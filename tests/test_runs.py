@@ -221,3 +221,52 @@ def test_crowded_batch_is_refined_to_the_end(spark, tmp_path):
         assert len(own) == (counts[i].n if i in counts else 0)
         if len(own) == len(m.held[i]) > 1:
             assert m.variance(i) == pytest.approx(counts[i].variance, rel=1e-9)
+
+
+def test_a_run_from_tables_to_mosaic(spark, tmp_path):
+    """All stages over the test tables, with colours of the ground that every camera sees a little differently."""
+    from pyspark.sql import functions as F
+
+    from terraloom.plans import stages
+    from tests.conftest import DATA
+
+    def sample(layers):
+        tone = F.pmod(F.xxhash64("cam_id"), F.lit(9)).cast("double")
+        return layers.withColumns({"l": 40 + F.pmod(F.col("row") + F.col("col"), F.lit(10)) + tone, "a": F.lit(3.0), "b": F.lit(-2.0)})
+
+    p = pipeline.Pipeline(spark, stages.default_steps(stages.Settings(pixel=20.0, sample=sample)), folder=str(tmp_path))
+    p.state.tables.update(stages.start(spark, DATA))
+    p.run_all()
+    assert p.failure is None, f"{p.history[-1].stage}: {str(p.failure)[:600]}"
+    assert [h.stage for h in p.history if h.run == 0] == pipeline.STAGES[:-1]
+    t = p.state.tables
+    assert {"links", "nodes", "edges", "preview", "points", "layers", "colours", "mosaic"} <= set(t)
+    assert t["mosaic"].count() > 0 and t["mosaic"].filter("isnan(l) or l < 30 or l > 70").count() == 0
+    again = pipeline.Pipeline(spark, stages.default_steps(), folder=str(tmp_path))
+    again.resume(p.saved, "blend_layers")
+    assert again.run_all().tables["mosaic"].count() == t["mosaic"].count()
+
+
+def test_matched_images_are_turned_onto_the_plane():
+    from terraloom.operators import solve
+    from terraloom.plans import stages
+
+    rng = np.random.default_rng(0)
+    n = 6
+    pos = np.column_stack([10.0 * np.arange(n), 4.0 * (np.arange(n) % 2), np.full(n, 60.0)])
+    true = solve.matrix(np.tile([1.0, 0, 0, 0], (n, 1)))
+    start = true @ solve.rotation(rng.normal(0, 0.02, (n, 3)))
+    q = solve.quaternion(start)
+    assert np.abs(solve.matrix(q) - start).max() < 1e-9
+    model = {"model_id": 1, "focal": 800.0, "ppx": 500.0, "ppy": 400.0, "k1": 0.0, "k2": 0.0, "k3": 0.0, "t1": 0.0, "t2": 0.0}
+    g = pd.DataFrame({"node_id": np.arange(n), "batch": 0, "path": [f"{k}" for k in range(n)], "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], **{c: q[:, k] for k, c in enumerate(("qx", "qy", "qz", "qw"))}, **model})
+    rows = []
+    for i in range(n):
+        for j in range(i + 1, min(i + 3, n)):
+            for w in np.column_stack([rng.uniform(pos[i, 0] - 10, pos[j, 0] + 10, 12), rng.uniform(-15, 15, 12), np.zeros(12)]):
+                px = [((w - pos[k]) @ true[k])[:2] / ((w - pos[k]) @ true[k])[2] * 800 + [500, 400] for k in (i, j)]
+                rows.append((0, i, j, *px[0], *px[1]))
+    out = stages.turned(g, pd.DataFrame(rows, columns=["batch", "src", "dst", "x1", "y1", "x2", "y2"]), 50)
+    angle = lambda m: np.arccos(np.clip((np.einsum("nij,nij->n", m, true) - 1) / 2, -1, 1))
+    after = angle(solve.matrix(out[["qx", "qy", "qz", "qw"]].to_numpy()))
+    assert after.max() < 0.3 * angle(start).max() and (out["moved"] > 0).all()
