@@ -16,7 +16,7 @@ LEAST_SIZE = 1.0  # metres of the longest edge; smaller triangles aren't refined
 
 
 def grid_mesh(cameras: DataFrame, spacing: float, margin: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a regular triangle mesh over the cameras (node_id, x, y, z) and a margin; a vertex has the height of its nearest camera.
+    """(nodes, edges) of a regular triangle mesh over the cameras (node_id, x, y, z) and a margin; a vertex has the height of its nearest camera. A side has at most MOST_CELLS cells, as in the original: above that, spacing grows with the extent.
 
     nodes: node_id, x, y, z. edges: edge_id, src, dst, border, opp0, opp1."""
     spark = cameras.sparkSession

@@ -10,12 +10,11 @@ from terraloom.runtime import materialise
 
 def histogram_bounds(df: DataFrame, column: str, tail: float = 0.025) -> DataFrame:
     """(low, high): values are cut to whole numbers and counted; the bounds leave ``tail`` on either side and are widened around the upper
-    one. The window runs over the distinct whole numbers only."""
+    one. Counts are summed up over sorted ranges of the whole numbers."""
     h = df.filter(F.col(column).isNotNull()).groupBy(F.expr(f"cast(`{column}` as bigint)").alias("v")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    up = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    down = F.sum("n").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0))
-    h = h.select("v", up.alias("up"), down.alias("down"), total.alias("total"))
+    h = materialise(running_sum(h, ["v"], F.col("n"), "up"))
+    total = F.broadcast(h.agg(F.max("up").alias("total")))  # one row
+    h = h.join(total).withColumn("down", F.col("total") - F.col("up") + F.col("n"))
     e = h.agg(F.min(F.when(F.col("up") > F.col("total") * tail, F.col("v"))).alias("lo"), F.max(F.when(F.col("down") > F.col("total") * tail, F.col("v"))).alias("hi"))
     w = 2 * (F.col("hi") - F.col("lo"))
     return e.select((F.col("lo") + w / 2 - w).alias("low"), (F.col("lo") + w / 2 + w).alias("high"))

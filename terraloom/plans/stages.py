@@ -18,7 +18,7 @@ from terraloom.operators import clusters, colour, dense, matching, mesh, raster,
 from terraloom.operators.neighbours import knn_join
 from terraloom.plans import reference
 from terraloom.plans.pipeline import NEXT, REPEAT, Pipeline, Step
-from terraloom.runtime import materialise, spread
+from terraloom.runtime import materialise, release, spread
 
 _MODEL = ["focal", "ppx", "ppy", "k1", "k2", "k3", "t1", "t2"]
 _TURN = ["qx", "qy", "qz", "qw"]
@@ -272,6 +272,7 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         p.state.tables.update(start(spark, o.tables))
     p.run_all()
+    release(spark)
     if p.failure:
         raise p.failure
 

@@ -125,8 +125,9 @@ _P7 = """WITH b AS (SELECT DISTINCT graph_id, ltrim(body, chr(65279)) AS t FROM
 _P3_MASKS = "SELECT regexp_replace(regexp_replace(trim(t), '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS mask, count(*) AS images FROM (SELECT node_id, min(capture_info.timestamp) AS t FROM images GROUP BY node_id) GROUP BY 1"
 
 
-def _p5_sql() -> str:
+def _p5_sql(reasons: bool = False) -> str:
     """The rules as one window over each batch."""
+    reason = lambda r: f", '{r}' AS reason" if reasons else ""
     fields = {"altitude": "v < -500 OR v > 12000", "yaw": "v < -360 OR v > 360", "accuracy_xy": "v <= 0"}
     gap = lambda a, b: f"CASE WHEN field = 'yaw' THEN least(abs({a} - {b}) % 180, 180 - abs({a} - {b}) % 180) ELSE abs({a} - {b}) END"
     far = lambda a, b: f"coalesce({gap(a, b)} > lim, false)"
@@ -146,8 +147,8 @@ def _p5_sql() -> str:
   t AS (SELECT *, CASE WHEN NOT stuck AND NOT lag(stuck) OVER ({w}) THEN abs(v - lag(v) OVER ({w})) END AS step FROM s),
   u AS (SELECT batch, field, quantile_disc(step, 0.5) > 0 AND count(step) >= 3 AS varies FROM t GROUP BY ALL), c AS (SELECT t.*, stuck AND coalesce(varies, false) AS is_case FROM t JOIN u USING (batch, field)),
   l AS (SELECT node_id, batch, field, v, {lags} FROM c WHERE NOT is_case WINDOW w AS ({w})), m AS (SELECT batch, field, 10 * quantile_disc({gap('v', v[-1])}, 0.5) AS lim FROM l GROUP BY ALL)
-  SELECT node_id, field FROM r WHERE bad UNION SELECT node_id, field FROM c WHERE is_case UNION SELECT node_id, field FROM l JOIN m USING (batch, field) WHERE {' OR '.join(cases)}"""
+  SELECT node_id, field{reason('impossible')} FROM r WHERE bad UNION SELECT node_id, field{reason('stuck')} FROM c WHERE is_case UNION SELECT node_id, field{reason('spike')} FROM l JOIN m USING (batch, field) WHERE {' OR '.join(cases)}"""
 
 
 def oracle_sql() -> dict:
-    return {"p3_masks": _P3_MASKS, "p5_found": _p5_sql(), "p6_found": _P6, "p6_regions": _P6_REGIONS, "p7_found": _P7}
+    return {"p3_masks": _P3_MASKS, "p5_found": _p5_sql(), "p5_reasons": _p5_sql(True), "p6_found": _P6, "p6_regions": _P6_REGIONS, "p7_found": _P7}

@@ -39,10 +39,21 @@ def _drop_fallback_dirs() -> None:
         shutil.rmtree(d, ignore_errors=True)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/terraloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application has written by :func:`materialise`. Results that weren't fetched or saved are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/terraloom/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -62,8 +73,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only where the estimated size is within ``limit``; beyond it Catalyst picks a shuffled join."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Hint a broadcast only where the rows, counted, at the width of their types are within ``limit``; beyond it Catalyst picks a shuffled
+    join. Catalyst's estimate comes first, so that nothing large is counted; alone it would be the size of compressed files."""
+    if estimated_bytes(df) > limit:
+        return df
+    return F.broadcast(df) if df.count() * (int(df._jdf.schema().defaultSize()) + 16) <= limit else df
 
 
 def free_name(df: DataFrame, base: str) -> str:

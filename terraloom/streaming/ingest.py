@@ -24,16 +24,18 @@ def link_batch(state: DataFrame, batch: DataFrame, k: int = NEIGHBOURS) -> DataF
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, state: str, files_per_batch: int = 1) -> StreamingQuery:
     """Read Parquet files that arrive in ``source`` until none is left; images and links go to folders of ``target``, one for each batch.
 
-    Writing a batch again replaces its folder, so a batch that failed half-way leaves nothing twice. An image delivered before is left out."""
+    Writing a batch again replaces its folder, so a batch that failed half-way leaves nothing twice. An image delivered before is left out:
+    the ids seen are the stream's own state, kept by key from batch to batch. Of earlier batches only keys and places are read, to link
+    with. Images without a node_id are left out."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = stream.filter("node_id is not null").dropDuplicates(["node_id"])
 
     def step(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        seen = s.read.schema(schema).option("basePath", f"{target}/images").parquet(*[f"{target}/images/batch={i}" for i in range(number)]) if number else s.createDataFrame([], schema)
-        new = batch.dropDuplicates(["node_id"]).join(seen.select("node_id"), "node_id", "left_anti").select(*schema.names)
-        new.write.mode("overwrite").parquet(f"{target}/images/batch={number}")
+        batch.select(*schema.names).write.mode("overwrite").parquet(f"{target}/images/batch={number}")
+        there = s.read.schema(schema).option("basePath", f"{target}/images").parquet(*[f"{target}/images/batch={i}" for i in range(number)]) if number else s.createDataFrame([], schema)
         new = s.read.schema(schema).parquet(f"{target}/images/batch={number}")
-        link_batch(seen.select(*schema.names), new).write.mode("overwrite").parquet(f"{target}/links/batch={number}")
+        link_batch(there.select("node_id", "position"), new.select("node_id", "position")).write.mode("overwrite").parquet(f"{target}/links/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
 
