@@ -64,7 +64,7 @@ def shred_value(value, embedded: frozenset[str] = frozenset()) -> list[tuple]:
                     children.append((name, None if is_object else k, step, *below))
                     continue
             plain[name if is_object else str(k)] = x
-        if not is_object and not children:
+        if not is_object and not children and path:  # the whole document always has an identity
             return None
         content = _dumps(plain)
         h = hashlib.blake2b(digest_size=16)
