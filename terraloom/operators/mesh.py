@@ -261,7 +261,8 @@ class Walker:
         if found:
             self.corners = np.array(list(found), int)
             p = self.xyz[self.corners]
-            turned = np.cross(p[:, 1, :2] - p[:, 0, :2], p[:, 2, :2] - p[:, 0, :2]) < 0
+            u, v = p[:, 1, :2] - p[:, 0, :2], p[:, 2, :2] - p[:, 0, :2]
+            turned = u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0] < 0
             self.corners[turned, :2] = self.corners[turned, 1::-1]
             # Beyond the edge from corner k to the next: another triangle, -1 for the border, -2 for an edge the tables don't have.
             known = {tuple(sorted((at[a], at[b]))) for a, b in zip(edges["src"], edges["dst"])}
