@@ -80,15 +80,15 @@ def _nearest(d2: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return i[place < k], j[place < k]
 
 
-def _slices(points: DataFrame, n: int, order: bool) -> list[tuple[object, DataFrame]]:
-    """(greatest order, points up to it) of slices that grow fourfold; the last holds all. About where they end is enough."""
+def _slices(points: DataFrame, n: int, order: bool) -> list[tuple[object, int, DataFrame]]:
+    """(greatest order, about how many, points up to it) of slices that grow fourfold; the last holds all. About where they end is enough."""
     if not order:
-        return [(None, points)]
+        return [(None, n, points)]
     shares = []
     while FIRST_SLICE * 4 ** len(shares) < n:
         shares.append(FIRST_SLICE * 4 ** len(shares) / n)
     ends = sorted(set(points.agg(F.percentile_approx("_until", shares, 1000)).first()[0])) if shares else []
-    return [(e, points.filter(F.col("_until") <= F.lit(e))) for e in ends] + [(None, points)]
+    return [(e, min(n, FIRST_SLICE * 4**k), points.filter(F.col("_until") <= F.lit(e))) for k, e in enumerate(ends)] + [(None, n, points)]
 
 
 def knn_join(probes: DataFrame, points: DataFrame, k: int, until: tuple[str, str] | None = None, on: tuple[str, ...] = (), axes: str = "xy", leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -118,8 +118,7 @@ def knn_join(probes: DataFrame, points: DataFrame, k: int, until: tuple[str, str
     held = materialise(held.withColumn("_k", F.row_number().over(Window.partitionBy(*qs, "_until").orderBy("q"))).filter(F.col("_k") <= k).drop("_k"))
     n = held.count()
     trees, ends = [], []
-    for end, part in _slices(held, n, until is not None) if n else []:
-        size = part.count()
+    for end, size, part in _slices(held, n, until is not None) if n else []:
         share = min(1.0, SAMPLE_POINTS / max(size, 1))
         sample = (part.sample(share, seed=5) if share < 1 else part).select(*qs).toPandas().to_numpy(float).reshape(-1, len(qs))
         depth = 0
@@ -151,9 +150,16 @@ def knn_join(probes: DataFrame, points: DataFrame, k: int, until: tuple[str, str
     q_ddl = f"q {kinds[1]}, " + ", ".join(f"{c} double" for c in qs) + f", _until {number}, _slice int, _leaf bigint"
     held = materialise(held.select("q", *qs, "_until", "_slice").mapInPandas(place(qs), q_ddl))
     spot = ["_slice", "_leaf"]
-    q_full = held.groupBy(*spot).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_qn")).filter("_qn > 1")
-    q_full = materialise(q_full)
-    q_cut = not q_full.isEmpty()
+
+    def crowded(df: DataFrame, name: str) -> DataFrame | None:
+        """How many blocks the leaves with more than ``block_rows`` rows are cut into: at most rows / block_rows; nothing where there are none."""
+        sizes = df.groupBy(*spot).agg(F.count("*").alias("_n"))
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= block_rows:
+            return None
+        return materialise(sizes.filter(F.col("_n") > block_rows).select(*spot, F.ceil(F.col("_n") / block_rows).cast("int").alias(name)))
+
+    q_full = crowded(held, "_qn")
+    none = lambda name: all_.sparkSession.createDataFrame([], f"_slice int, _leaf bigint, {name} int")
     found = f"p {kinds[0]}, " + ", ".join(f"{c} double" for c in ps) + f", _until {number}, _slice int, _leaf bigint, near array<struct<d2:double,q:{kinds[1]}>>"
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -179,16 +185,16 @@ def knn_join(probes: DataFrame, points: DataFrame, k: int, until: tuple[str, str
     def look(a: DataFrame) -> DataFrame:
         """``a`` (p, …, _slice, _leaf, _reach) with what its leaf holds within the reach."""
         b, keys = held, list(spot)
-        a_full = materialise(a.groupBy(*spot).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_pn")).filter("_pn > 1"))
-        if q_cut or not a_full.isEmpty():  # at most rows / block_rows leaves
+        a_full = crowded(a, "_pn")
+        if q_full is not None or a_full is not None:
             one = lambda c: F.coalesce(F.col(c), F.lit(1))
-            cuts = a_full.join(q_full, spot, "full")
+            cuts = (none("_pn") if a_full is None else a_full).join(none("_qn") if q_full is None else q_full, spot, "full")
             a, b = a.join(cuts, spot, "left"), b.join(cuts, spot, "left")
             a = a.withColumn("_pb", F.pmod(F.xxhash64("p"), one("_pn")).cast("int")).withColumn("_qb", F.explode(F.sequence(F.lit(0), one("_qn") - 1))).drop("_pn", "_qn")
             b = b.withColumn("_qb", F.pmod(F.xxhash64("q"), one("_qn")).cast("int")).withColumn("_pb", F.explode(F.sequence(F.lit(0), one("_pn") - 1))).drop("_pn", "_qn")
             keys += ["_pb", "_qb"]
         out = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, found)
-        return _merged(out, ps, spot, k) if q_cut else out
+        return _merged(out, ps, spot, k) if q_full is not None else out
 
     first = look(asked.select("p", *ps, "_until", "_slice").mapInPandas(place(ps), p_ddl + ", _leaf bigint").withColumn("_reach", F.lit(float("inf"))))
     first = materialise(first)

@@ -778,14 +778,15 @@ def overview_pyramid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH i AS (SELECT * FROM {POS}) SELECT 'Point' AS kind, node_id AS id, path, CAST(NULL AS BIGINT) AS source, CAST(NULL AS BIGINT) AS dest, x, y, CAST(NULL AS DOUBLE) AS x2, CAST(NULL AS DOUBLE) AS y2 FROM i
-  UNION ALL SELECT 'LineString', edge_id, NULL, src, dst, a.x, a.y, b.x, b.y FROM {LK} l JOIN i a ON a.node_id = src JOIN i b ON b.node_id = dst"""
+    f"""WITH i AS (SELECT * FROM {POS}) SELECT 'Point' AS kind, node_id AS id, path, CAST(NULL AS BIGINT) AS source, CAST(NULL AS BIGINT) AS dest, x, y, CAST(NULL AS DOUBLE) AS x2, CAST(NULL AS DOUBLE) AS y2, CAST(NULL AS BIGINT) AS inliers FROM i
+  UNION ALL SELECT 'LineString', edge_id, NULL, src, dst, a.x, a.y, b.x, b.y, coalesce(len(poses), 0) FROM {LK} l JOIN i a ON a.node_id = src JOIN i b ON b.node_id = dst"""
 )
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     """The rows behind the GeoJSON sink: a point for each node, a line for each link."""
     from terraloom.sources.graph_json import feature_rows
 
-    return feature_rows(positions(spark, d), links(spark, d))
+    poses = F.when(F.col("poses").isNotNull(), F.size("poses")).otherwise(0).alias("inliers")  # the tables hold no inliers; poses stand in
+    return feature_rows(positions(spark, d), links(spark, d, "poses").select("edge_id", "src", "dst", poses))
 
 
 _SEEDS = [(-100.0, -100.0), (100.0, -100.0), (-100.0, 100.0), (100.0, 100.0)]

@@ -35,12 +35,14 @@ def test_against_sql(spark, db, name):
     want = db.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     assert rows(map(tuple, df.collect()), df.columns) == rows(want.fetchall(), names)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_runs(spark, name):
     df = QUERIES[name](spark, DATA)
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
 
 

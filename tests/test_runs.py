@@ -1,4 +1,3 @@
-import json
 
 import numpy as np
 import pandas as pd
@@ -122,6 +121,18 @@ def test_graph_text(spark, tmp_path):
     assert {(r.node_id, r.path) for r in graph_json.node_rows(g).collect()} == {("20", "/b"), ("3", "/a")}
 
 
+def test_feature_collection_of_a_part(spark, tmp_path):
+    nodes = spark.createDataFrame([(k, f"/{k}", float(k), 2.0 * k) for k in range(9)], "node_id bigint, path string, x double, y double")
+    edges = spark.createDataFrame([(k, k, k + 1, 10 * k) for k in range(8)], "edge_id bigint, src bigint, dst bigint, inliers int")
+    rows = graph_json.feature_rows(nodes, edges, node_ids=nodes.filter("node_id < 3"), edge_ids=edges.filter("edge_id = 5"))
+    graph_json.write_collection(rows, str(tmp_path / "c"))
+    text = "".join(open(f).read() for f in sorted(str(p) for p in (tmp_path / "c").glob("part-*")))
+    got = json.loads(text)
+    assert got["type"] == "FeatureCollection" and len(got["features"]) == 4
+    line = next(f for f in got["features"] if f["geometry"]["type"] == "LineString")
+    assert line["properties"] == {"id": "5", "source": "5", "dest": "6", "inliers": 50} and line["geometry"]["coordinates"] == [[5.0, 10.0], [6.0, 12.0]]
+
+
 def test_geojson(spark, tmp_path):
     nodes = spark.createDataFrame([(1, "/a", 1.0, 2.0), (2, "/b", 3.0, 4.0)], "node_id bigint, path string, x double, y double")
     edges = spark.createDataFrame([(9, 1, 2), (10, 1, 77)], "edge_id bigint, src bigint, dst bigint")
