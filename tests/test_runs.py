@@ -1,6 +1,5 @@
 import json
 
-
 import numpy as np
 import pandas as pd
 import pytest
