@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,10 @@ from terraloom.runtime import spread
 SEED, LEAST_ROUNDS, MOST_ROUNDS, CONFIDENCE, REFITS = 42, 20, 10_000, 0.999, 5
 EARLY, EARLY_SHARE = 20, 0.6
 POOL_EVERY = 10
+BLOCK, BLOCK_CELLS = 500, 1 << 18  # samples bounded at once, and their errors held
+#: Samples with triangles below FLAT of the spread, and pairs spread wider than WIDE, are too near degenerate to be bounded; SLACK is what
+#: a bound allows for rounding, of a pair's part in the score.
+FLAT, WIDE, SLACK = 1e-4, 10.0, 1e-6
 
 
 class Model(Protocol):
@@ -25,6 +30,8 @@ class Model(Protocol):
     def refit(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray | None: ...
     def error(self, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
 
+    # A model may also have ``bounds(a, b, picks)``: for each sample a score that its model doesn't exceed, infinite where that isn't known.
+
 
 def _plane(v: np.ndarray) -> np.ndarray:
     return v[:, :2] / np.where(np.abs(v[:, 2:]) < 1e-12, 1e-12, v[:, 2:])
@@ -34,13 +41,34 @@ def _null(rows: np.ndarray) -> np.ndarray:
     return np.linalg.svd(rows)[2][-1]
 
 
-def collinear(p: np.ndarray) -> bool:
-    """Any three of four points on one line."""
-    for k in range(4):
-        a, b, c = np.delete(p, k, 0)
-        if abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) < 1e-10:
-            return True
-    return False
+def collinear(p: np.ndarray) -> np.ndarray:
+    """Any three of four points on one line; of samples (k, 4, 2) for each."""
+    flat = False
+    for i, j, k in ((1, 2, 3), (0, 2, 3), (0, 1, 3), (0, 1, 2)):
+        a, b, c = (p[..., n, :] for n in (i, j, k))
+        flat |= np.abs((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])) < 1e-10
+    return flat
+
+
+def _centred(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """(points as (n, 3) around their mean within one, their spread)."""
+    d = p - p.mean(0)
+    scale = float(np.abs(d).max())
+    return np.column_stack([d / max(scale, 1e-300), np.ones(len(p))]), scale
+
+
+def _triangles(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of samples of four points (k, 4, 3): the lines opposite the first three, the fourth's products with them, the least triangle of each."""
+    lines = np.stack([np.cross(x[:, 1], x[:, 2]), np.cross(x[:, 2], x[:, 0]), np.cross(x[:, 0], x[:, 1])], 1)
+    fourth = np.einsum("krj,kj->kr", lines, x[:, 3])
+    whole = np.einsum("kj,kj->k", lines[:, 0], x[:, 0])
+    return lines, fourth, np.minimum(np.abs(fourth).min(1), np.abs(whole))
+
+
+def _squared(h: np.ndarray, p: np.ndarray, q: np.ndarray, scale: float) -> np.ndarray:
+    """(k, n) squared distances from ``q`` of ``p`` under homographies (k, 3, 3)."""
+    to = (h.reshape(-1, 3) @ p.T).reshape(len(h), 3, -1)
+    return (scale * (to[:, 0] / to[:, 2] - q[:, 0])) ** 2 + (scale * (to[:, 1] / to[:, 2] - q[:, 1])) ** 2
 
 
 class Homography:
@@ -61,6 +89,28 @@ class Homography:
     def refit(self, a, b, w):
         return self._solve(_plane(a), _plane(b), w)
 
+    def bounds(self, a, b, picks):
+        """By the four points' homography in closed form: a sample's own points add one each at most, and the others are looked at both
+        ways only where one is near enough one way. Collinear points give none."""
+        p, q = _plane(a), _plane(b)
+        none = collinear(p[picks]) | collinear(q[picks])
+        (p, scale_p), (q, scale_q) = _centred(p), _centred(q)
+        if not (0 < scale_p < WIDE and 0 < scale_q < WIDE):
+            return np.where(none, -np.inf, np.inf)
+        x, y, near = p[picks], q[picks], self.threshold**2
+        (c, u, least_p), (d, v, least_q) = _triangles(x), _triangles(y)
+        sure = (least_p > FLAT) & (least_q > FLAT)
+        hope = np.where(sure, float(self.points), np.inf)
+        with np.errstate(all="ignore"):
+            go = _squared(np.einsum("kri,kr,krj->kij", y[:, :3], v / u, c), p, q, scale_q) / 2
+            go[np.arange(len(picks))[:, None], picks] = np.inf
+            some = np.flatnonzero(sure & ~(go.min(1) >= near * (1 + SLACK)))
+            if len(some):
+                back = _squared(np.einsum("kri,kr,krj->kij", x[some, :3], u[some] / v[some], d[some]), q, p, scale_p) / 2
+                more = np.maximum(0, 1 + SLACK - (go[some] + back) / near).sum(1)
+                hope[some] += np.where(np.isnan(more), np.inf, more)
+        return np.where(none, -np.inf, hope)
+
     def error(self, m, a, b):
         """Root mean square of the transfer errors both ways."""
         p, q = _plane(a), _plane(b)
@@ -187,53 +237,98 @@ class Essential(Fundamental):
         return m
 
 
+class _Draws:
+    """The samples of :func:`consensus`, which follow from the number of pairs alone, so that the groups of a task share them."""
+
+    def __init__(self, n: int, points: int, ranked: bool, seed: int):
+        self.n, self.points, self.ranked, self.rng = n, points, ranked, np.random.default_rng(seed)
+        self.order = self.rng.permutation(n)
+        self.blocks: list[np.ndarray] = []
+        self.states = [self.rng.bit_generator.state]
+
+    def _draw(self, rng: np.random.Generator, r: int) -> np.ndarray:
+        return rng.choice(min(self.n, self.points + r // POOL_EVERY) if self.ranked else self.n, self.points, replace=False)
+
+    def block(self, k: int) -> np.ndarray:
+        while len(self.blocks) <= k:
+            s = len(self.blocks) * BLOCK
+            self.blocks.append(np.array([self._draw(self.rng, r) for r in range(s, s + BLOCK)], np.int32))
+            self.states.append(self.rng.bit_generator.state)
+        return self.blocks[k]
+
+    def after(self, rounds: int) -> np.random.Generator:
+        """The generator as it is after so many samples."""
+        rng, k = np.random.default_rng(0), rounds // BLOCK
+        if k:
+            self.block(k - 1)
+        rng.bit_generator.state = self.states[k]
+        for r in range(k * BLOCK, rounds):
+            self._draw(rng, r)
+        return rng
+
+
+@lru_cache(maxsize=64)
+def _draws(n: int, points: int, ranked: bool, seed: int) -> _Draws:
+    return _Draws(n, points, ranked, seed)
+
+
 def consensus(model: Model, a: np.ndarray, b: np.ndarray, quality: np.ndarray | None = None, rounds: int = MOST_ROUNDS, seed: int = SEED) -> tuple[float, np.ndarray | None, np.ndarray]:
     """(score per pair, model, inlier mask). Pairs of better (lower) quality are drawn first where it is known; a candidate that does badly
-    on the first pairs in random order is dropped; a new best is refitted on its inliers."""
+    on the first pairs in random order is dropped; a new best is refitted on its inliers. Samples whose bound is no better than the best
+    aren't fitted: nothing would come of it."""
     n = len(a)
     none = np.zeros(n, bool)
     if n < model.points:
         return 0.0, None, none
-    rng = np.random.default_rng(seed)
     ranked = np.argsort(quality, kind="stable") if quality is not None and (quality != 0).any() else None
-    order = rng.permutation(n)
-    first = order[:EARLY]
+    draws = _draws(n, model.points, ranked is not None, seed)
+    first = draws.order[:EARLY]
 
     def rate(m):
         e = model.error(m, a, b)
         return np.maximum(0, 1 - (e / model.threshold) ** 2).sum(), e < model.threshold
 
-    best, found, mask, need, r = 0.0, None, none, rounds, 0
-    while r < min(need, rounds) or r < min(LEAST_ROUNDS, rounds):
-        pool = min(n, model.points + r // POOL_EVERY) if ranked is not None else n
-        pick = ranked[rng.choice(pool, model.points, replace=False)] if ranked is not None else rng.choice(n, model.points, replace=False)
-        r += 1
-        m = model.fit(a[pick], b[pick])
-        if m is None or not np.isfinite(m).all():
-            continue
-        if found is not None and n > 2 * EARLY:
-            part = np.maximum(0, 1 - (model.error(m, a[first], b[first]) / model.threshold) ** 2).sum()
-            if part < EARLY_SHARE * best * len(first) / n:
-                continue
-        score, inside = rate(m)
-        if score <= best:
-            continue
-        for _ in range(REFITS):
-            if inside.sum() < max(model.points, 4):
+    best, found, mask, r, last = 0.0, None, none, 0, 0
+    limit, least, step = rounds, min(LEAST_ROUNDS, rounds), max(1, min(BLOCK, BLOCK_CELLS // n))
+    while r < limit:
+        k, at = divmod(r, BLOCK)
+        picks = draws.block(k)[at : at + step]
+        picks = picks if ranked is None else ranked[picks]
+        hope = model.bounds(a, b, picks) if hasattr(model, "bounds") else np.full(len(picks), np.inf)
+        for i in np.flatnonzero(~(hope <= best)):
+            if r + i >= limit:
                 break
-            m2 = model.refit(a[inside], b[inside], np.ones(inside.sum()))
-            if m2 is None:
-                break
-            s2, i2 = rate(m2)
-            if s2 <= score:
-                break
-            m, score, inside = m2, s2, i2
-        best, found, mask = score, m, inside
-        share = min(best / n, 1 - 1e-9)
-        if share > 0:
-            need = np.log(1 - CONFIDENCE) / np.log(max(1 - share**model.points, 1e-300))
+            if hope[i] <= best:
+                continue
+            pick = picks[i]
+            m = model.fit(a[pick], b[pick])
+            if m is None or not np.isfinite(m).all():
+                continue
+            if found is not None and n > 2 * EARLY:
+                part = np.maximum(0, 1 - (model.error(m, a[first], b[first]) / model.threshold) ** 2).sum()
+                if part < EARLY_SHARE * best * len(first) / n:
+                    continue
+            score, inside = rate(m)
+            if score <= best:
+                continue
+            for _ in range(REFITS):
+                if inside.sum() < max(model.points, 4):
+                    break
+                m2 = model.refit(a[inside], b[inside], np.ones(inside.sum()))
+                if m2 is None:
+                    break
+                s2, i2 = rate(m2)
+                if s2 <= score:
+                    break
+                m, score, inside = m2, s2, i2
+            best, found, mask, last = score, m, inside, r + int(i) + 1
+            share = min(best / n, 1 - 1e-9)
+            if share > 0:
+                need = np.log(1 - CONFIDENCE) / np.log(max(1 - share**model.points, 1e-300))
+                limit = max(min(need, rounds), least)
+        r += len(picks)
     if found is not None and hasattr(model, "rescue") and mask.sum() >= 8:
-        m = model.rescue(found, a, b, mask, rng)
+        m = model.rescue(found, a, b, mask, draws.after(max(last, int(np.ceil(limit)))))
         s, inside = rate(m)
         if s > best:
             best, found, mask = s, m, inside
