@@ -80,6 +80,12 @@ def _undistort(tx: Column, ty: Column, m: dict[str, Column], rounds: int) -> Col
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(tx, ty), step)
 
 
+def forward_ray(px: Vec, m: dict[str, Column], rounds: int = 10) -> Column:
+    """Unit ray of a pixel for a forward model, as an array. The Newton steps are bound once; as columns each mention would take them again."""
+    p = _undistort((px[0] - m["ppx"]) / m["focal"], (px[1] - m["ppy"]) / m["focal"], m, rounds)
+    return F.transform(F.array(p), lambda v: F.array(*unit((v[0], v[1], F.lit(1.0)))))[0]
+
+
 def unproject_forward(px: Vec, m: dict[str, Column], rounds: int = 10) -> Vec:
     """Unit ray of a pixel for a forward model."""
     p = _undistort((px[0] - m["ppx"]) / m["focal"], (px[1] - m["ppy"]) / m["focal"], m, rounds)

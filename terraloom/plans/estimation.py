@@ -20,8 +20,7 @@ def _bearings(spark: SparkSession, d: str) -> DataFrame:
     m = matching.ratio_match(links(spark, d), features(spark, d, "descriptor"), 1.0).join(links(spark, d), "edge_id")
     model = images(spark, d, "model_id").join(_models(spark, d), "model_id")
     f = features(spark, d, "x", "y").join(model, "node_id")
-    ray = camera.unproject_forward((F.col("x"), F.col("y")), {n: F.col(n) for n in _MODEL})
-    f = f.select("node_id", "idx", F.array(*ray).alias("ray"))
+    f = f.select("node_id", "idx", camera.forward_ray((F.col("x"), F.col("y")), {n: F.col(n) for n in _MODEL}).alias("ray"))
     one = f.select(F.col("node_id").alias("src"), F.col("idx").alias("idx1"), F.col("ray").alias("a"))
     two = f.select(F.col("node_id").alias("dst"), F.col("idx").alias("idx2"), F.col("ray").alias("b"))
     return m.join(one, ["src", "idx1"]).join(two, ["dst", "idx2"]).select("edge_id", "a", "b", F.col("distance").alias("quality"))

@@ -2,10 +2,20 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from terraloom.functions import camera
 from terraloom.operators import robust
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+def newton_steps(df):
+    """How often the plan of ``df`` undistorts a pixel."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+
+
 class Counted(robust.Homography):
     def __init__(self):
         self.fits = 0
@@ -69,3 +79,20 @@ def test_generator_after_samples():
     for r in range(1203):
         assert (rng.choice(min(30, 8 + r // robust.POOL_EVERY), 8, replace=False) == d.block(r // robust.BLOCK)[r % robust.BLOCK]).all()
     assert d.after(1203).random() == rng.random() and d.after(0).random() != d.after(500).random()
+
+
+MODEL = {"focal": 900.0, "ppx": 500.0, "ppy": 400.0, "k1": -0.1, "k2": 0.02, "k3": 0.0, "t1": 1e-3, "t2": -2e-3}
+
+
+def test_forward_rays_are_the_same(spark):
+    px = spark.createDataFrame([(0.0, 0.0), (500.0, 400.0), (931.7, 12.5), (float("nan"), 1.0), (None, 1.0)], "x double, y double")
+    m = {k: F.lit(v) for k, v in MODEL.items()}
+    at = F.col("x"), F.col("y")
+    for r in px.select(camera.forward_ray(at, m).alias("one"), F.array(*camera.unproject_forward(at, m)).alias("three")).collect():
+        assert np.array_equal(np.array(r.one, float), np.array(r.three, float), equal_nan=True)
+
+
+def test_ransac_links_undistorts_a_feature_once(spark):
+    from terraloom.plans import estimation
+
+    assert newton_steps(estimation._bearings(spark, DATA)) == 2  # at either end of a match
