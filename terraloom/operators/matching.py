@@ -41,6 +41,12 @@ def ratio_match(links: DataFrame, features: DataFrame, ratio: float = 0.8, block
     return one.groupBy("e1").cogroup(two.groupBy("e2")).applyInPandas(match, "edge_id bigint, idx1 int, idx2 int, distance double")
 
 
+def matched(features: DataFrame, matches: DataFrame) -> DataFrame:
+    """Features at either end of ``matches`` (src, idx1, dst, idx2), for what is costly to work out of all of them."""
+    ends = [matches.select(F.col(n).alias("node_id"), F.col(i).alias("idx")) for n, i in (("src", "idx1"), ("dst", "idx2"))]
+    return features.join(ends[0].union(ends[1]).distinct(), ["node_id", "idx"], "left_semi")
+
+
 def best_per_cell(df: DataFrame, keys: list[str], x: str, y: str, side: float, score: str, tie: list[str]) -> DataFrame:
     """The row of highest score in each grid cell of each group; ties to the smallest ``tie``."""
     cx, cy = F.floor(F.col(x) / side), F.floor(F.col(y) / side)

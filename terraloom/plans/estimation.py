@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from terraloom.functions import camera
 from terraloom.operators import clusters, colour, matching, mesh, ordering, raster, robust, solve
 from terraloom.plans.reference import features, images, links, positions, solved
-from terraloom.runtime import spread
+from terraloom.runtime import materialise, spread
 
 _MODEL = ["focal", "ppx", "ppy", "k1", "k2", "k3", "t1", "t2"]
 
 
 def _bearings(spark: SparkSession, d: str) -> DataFrame:
     """Matches of links as pairs of unit rays with their descriptor distance."""
-    m = matching.ratio_match(links(spark, d), features(spark, d, "descriptor"), 1.0).join(links(spark, d), "edge_id")
+    m = materialise(matching.ratio_match(links(spark, d), features(spark, d, "descriptor"), 1.0).join(links(spark, d), "edge_id"))
     model = images(spark, d, "model_id").join(_models(spark, d), "model_id")
-    f = features(spark, d, "x", "y").join(model, "node_id")
+    f = matching.matched(features(spark, d, "x", "y"), m).join(model, "node_id")
     f = f.select("node_id", "idx", camera.forward_ray((F.col("x"), F.col("y")), {n: F.col(n) for n in _MODEL}).alias("ray"))
     one = f.select(F.col("node_id").alias("src"), F.col("idx").alias("idx1"), F.col("ray").alias("a"))
     two = f.select(F.col("node_id").alias("dst"), F.col("idx").alias("idx2"), F.col("ray").alias("b"))

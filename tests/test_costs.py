@@ -95,4 +95,6 @@ def test_forward_rays_are_the_same(spark):
 def test_ransac_links_undistorts_a_feature_once(spark):
     from terraloom.plans import estimation
 
-    assert newton_steps(estimation._bearings(spark, DATA)) == 2  # at either end of a match
+    df = estimation._bearings(spark, DATA)
+    assert newton_steps(df) == 2  # at either end of a match
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2  # and of no other feature
