@@ -119,11 +119,10 @@ def tracks_one_per_image(spark: SparkSession, d: str) -> DataFrame:
 
 def _correspondences(spark: SparkSession, d: str) -> DataFrame:
     """Matches of links as pairs of unit rays with their descriptor distance."""
-    m = matching.ratio_match(links(spark, d), features(spark, d, "descriptor"), 1.0).join(links(spark, d), "edge_id")
+    m = materialise(matching.ratio_match(links(spark, d), features(spark, d, "descriptor"), 1.0).join(links(spark, d), "edge_id"))
     models = read(spark, d, "camera_models").select("model_id", *(c.alias(n) for n, c in camera.model_columns().items()))
-    f = features(spark, d, "x", "y").join(images(spark, d, "model_id").join(models, "model_id"), "node_id")
-    ray = camera.unproject_forward((F.col("x"), F.col("y")), {n: F.col(n) for n in _MODEL})
-    f = f.select("node_id", "idx", F.array(*ray).alias("ray"))
+    f = matching.matched(features(spark, d, "x", "y"), m).join(images(spark, d, "model_id").join(models, "model_id"), "node_id")
+    f = f.select("node_id", "idx", camera.forward_ray((F.col("x"), F.col("y")), {n: F.col(n) for n in _MODEL}).alias("ray"))
     end = lambda k, n, c: f.select(F.col("node_id").alias(n), F.col("idx").alias(f"idx{k}"), F.col("ray").alias(c))
     m = m.join(end(1, "src", "a"), ["src", "idx1"]).join(end(2, "dst", "b"), ["dst", "idx2"])
     return m.select("edge_id", "idx1", "idx2", "a", "b", F.col("distance").alias("quality"))

@@ -98,3 +98,10 @@ def test_ransac_links_undistorts_a_feature_once(spark):
     df = estimation._bearings(spark, DATA)
     assert newton_steps(df) == 2  # at either end of a match
     assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2  # and of no other feature
+
+
+def test_refreshed_links_undistort_a_feature_once(spark):
+    from terraloom.plans import scenes
+
+    df = scenes._correspondences(spark, DATA)
+    assert newton_steps(df) == 2 and df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
