@@ -100,14 +100,17 @@ def _by_matrix(k: np.ndarray, a: np.ndarray, b: np.ndarray, groups: int, n: int,
         z = np.concatenate([parts[0][:, :c], -parts[1][:, :c]], 1)
         place = np.concatenate([a[:, None] * c + np.arange(c), b[:, None] * c + np.arange(c)], 1)
         of, e = k, d[:, ch]
-        cell = None
+        row = None
         for _ in range(rounds):
-            if cell is None:
+            if row is None:
                 row = of[:, None] * size + place
-                cell = (row[:, :, None] * size + place[:, None, :]).ravel()
             w = _robust(e - (z * y[live].ravel()[row]).sum(1))
             wz = w[:, None] * z
-            m = np.bincount(cell, (wz[:, :, None] * z[:, None, :]).ravel(), len(live) * size * size).reshape(len(live), size, size)
+            m = np.zeros(len(live) * size * size)
+            for s in range(0, len(of), CHUNK_ROWS):  # one group may have more rows than that
+                part = slice(s, s + CHUNK_ROWS)
+                m += np.bincount((row[part, :, None] * size + place[part, None, :]).ravel(), (wz[part, :, None] * z[part, None, :]).ravel(), len(m))
+            m = m.reshape(len(live), size, size)
             m[:, np.arange(size), np.arange(size)] += prior[live]
             g = np.bincount(row.ravel(), (wz * e[:, None]).ravel(), len(live) * size).reshape(len(live), size)
             new = np.linalg.solve(m, g[:, :, None])[:, :, 0]
@@ -117,7 +120,7 @@ def _by_matrix(k: np.ndarray, a: np.ndarray, b: np.ndarray, groups: int, n: int,
                 break
             if not go.all():
                 keep = go[of]
-                of, z, place, e, live, cell = (np.cumsum(go) - 1)[of[keep]], z[keep], place[keep], e[keep], live[go], None
+                of, z, place, e, live, row = (np.cumsum(go) - 1)[of[keep]], z[keep], place[keep], e[keep], live[go], None
         x[:, :, cols] = y.reshape(groups, n, c)
     return x
 

@@ -192,3 +192,15 @@ def test_color_balance_ends_at_its_minimum(spark):
     assert set(found.index) == set(n.index) and found["group"].value_counts().to_dict() == {0: 4, 1: 7, 2: 7}
     for _, own in found.groupby("group"):
         assert abs((own["offset_l"] * n[own.index]).sum() / n[own.index].sum()) < 1e-4
+
+
+def test_colours_of_two_images_with_many_rows_take_little_memory():
+    import tracemalloc
+
+    rows = tones([2])
+    rows = rows.loc[rows.index.repeat(200_000 // len(rows))].reset_index(drop=True)
+    tracemalloc.start()
+    colour.solve_groups(rows, np.zeros(len(rows), int), {})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1000 * len(rows)  # bytes; the cells of all rows at once would be more
